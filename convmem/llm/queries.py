@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convmem.llm import packing
+from convmem.llm import packing, substring_dedup
 
 
 def tokenizer_path(name: str) -> str:
@@ -19,8 +19,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_best_fit_packing": op1_best_fit_packing}
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op2_substring_dedup": op2_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
