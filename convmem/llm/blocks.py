@@ -84,24 +84,41 @@ def mixed(h: np.ndarray) -> np.ndarray:
 class Entries:
     """Distinct fingerprints of one block in the order of (bucket, fingerprint)."""
 
-    def __init__(self, prints: np.ndarray, buckets: int):
-        """prints: 64-bit fingerprints, one for each occurrence, in the order of the occurrences."""
+    def __init__(self, prints: np.ndarray, buckets: int, heads: np.ndarray | None = None):
+        """prints: 64-bit fingerprints, one for each occurrence, in the order of the occurrences.
+
+        heads: if given, entries are distinct pairs of head and fingerprint, dealt by head.
+        """
         self.buckets = buckets
-        # Only the order must be by bucket first: the bucket is a monotone function of the value.
-        self.values, self.first, self.of = np.unique(prints, return_index=True, return_inverse=True)
-        edges = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64) if buckets > 1 else np.zeros(0, np.uint64)
-        self.bounds = np.concatenate([[0], np.searchsorted(self.values, edges), [len(self.values)]])
+        if heads is None:
+            self.values, self.first, self.of = np.unique(prints, return_index=True, return_inverse=True)
+            self.heads = None
+            dealt = self.values
+        else:
+            order = np.lexsort((prints, heads))
+            values, tops = prints[order], heads[order]
+            start = np.ones(len(order), bool)
+            start[1:] = (values[1:] != values[:-1]) | (tops[1:] != tops[:-1])
+            self.values, self.heads, self.first = values[start], tops[start], order[start]
+            self.of = np.empty(len(order), np.int64)
+            self.of[order] = np.cumsum(start) - 1
+            dealt = self.heads
+        # The bucket is a monotone function of what is dealt by, so entries in its order are in bucket order.
+        edges = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
+        self.bounds = np.concatenate([[0], np.searchsorted(dealt, edges), [len(dealt)]])
 
     def asked(self, block: int, owners: np.ndarray | None = None, short: bool = False) -> pa.RecordBatch:
-        """A row for each bucket: the fingerprints and the owners of the entries, packed."""
+        """A row for each bucket: the fingerprints, the owners of the entries and their heads, packed."""
+        more = (self.buckets - 1).bit_length()
         rows: list[tuple] = []
         for bucket in range(self.buckets):
             a, b = self.bounds[bucket], self.bounds[bucket + 1]
             if a < b:
-                values = self.values[a:b]
-                payload = _packed_values(values, SHORT_BITS + (self.buckets - 1).bit_length() if short else 64)
+                payload = _packed_values(self.values[a:b], SHORT_BITS + more if short else 64)
                 if owners is not None:
                     payload += _packed_owners(owners[a:b])
+                if self.heads is not None:
+                    payload += _packed_values(self.heads[a:b], HEAD_BITS + more)
                 rows.append((bucket, block, int(b - a), payload))
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(_ASK)], schema=_ASK)
 
@@ -128,17 +145,20 @@ def _packed_values(values: np.ndarray, bits: int) -> bytes:
 #: Bits of a short fingerprint besides those that choose the bucket. With a few million fingerprints in
 #: a bucket, some in a hundred meet a different one by chance; they are told apart at the next level.
 SHORT_BITS = 26
+#: Bits of a head besides those that choose the bucket.
+HEAD_BITS = 34
 
 
-def _unpacked_values(payload: bytes, n: int) -> tuple[np.ndarray, int]:
-    width = payload[0]
+def _unpacked_values(payload: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    """The values that start at a byte of the payload, and the byte after them."""
+    width = payload[at]
     if width == 8:
-        return np.frombuffer(payload, "<u8", n, 1).astype(np.uint64), 1 + 8 * n
+        return np.frombuffer(payload, "<u8", n, at + 1).astype(np.uint64), at + 1 + 8 * n
     width -= 16
-    base = int.from_bytes(payload[1:9], "little")
+    base = int.from_bytes(payload[at + 1 : at + 9], "little")
     steps = np.zeros((n, 8), np.uint8)
-    steps[:, :width] = np.frombuffer(payload, np.uint8, n * width, 9).reshape(n, width)
-    return (np.cumsum(steps.view("<u8").ravel()) + np.uint64(base)).astype(np.uint64), 9 + n * width
+    steps[:, :width] = np.frombuffer(payload, np.uint8, n * width, at + 9).reshape(n, width)
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64) + np.uint64(base), at + 9 + n * width
 
 
 def _packed_owners(owners: np.ndarray) -> bytes:
@@ -148,10 +168,10 @@ def _packed_owners(owners: np.ndarray) -> bytes:
     return bytes([kind.itemsize]) + least.to_bytes(8, "little", signed=True) + over.astype(kind).tobytes()
 
 
-def _unpacked_owners(payload: bytes, at: int, n: int) -> np.ndarray:
+def _unpacked_owners(payload: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
     size = payload[at]
     least = int.from_bytes(payload[at + 1 : at + 9], "little", signed=True)
-    return np.frombuffer(payload, f"<u{size}", n, at + 9).astype(np.int64) + least
+    return np.frombuffer(payload, f"<u{size}", n, at + 9).astype(np.int64) + least, at + 9 + n * size
 
 
 def _packed_bits(answers: np.ndarray) -> bytes:
@@ -172,16 +192,17 @@ def _unpacked_bits(bits: bytes, n: int) -> np.ndarray:
 
 # What a bucket answers -------------------------------------------------------------------------
 
-Decide = Callable[[list[np.ndarray], list[np.ndarray | None]], list[np.ndarray]]
+#: From the values, owners and heads that each block sent, in the order of the blocks, to its answers.
+Decide = Callable[[list[np.ndarray], list[np.ndarray], list[np.ndarray]], list[np.ndarray]]
 
 
-def in_two_blocks(values: list[np.ndarray], owners: list[np.ndarray | None]) -> list[np.ndarray]:
+def in_two_blocks(values: list[np.ndarray], owners: list[np.ndarray], heads: list[np.ndarray]) -> list[np.ndarray]:
     """1 for a fingerprint that another block has, too."""
     _, of, count = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
     return _split((count[of] > 1).astype(np.uint8), values)
 
 
-def smaller_owner(values: list[np.ndarray], owners: list[np.ndarray]) -> list[np.ndarray]:
+def smaller_owner(values: list[np.ndarray], owners: list[np.ndarray], heads: list[np.ndarray]) -> list[np.ndarray]:
     """1 for a fingerprint that another block has for a smaller owner."""
     every, owner = np.concatenate(values), np.concatenate(owners)
     order = np.lexsort((owner, every))
@@ -197,18 +218,22 @@ def _split(answers: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
     return np.split(answers, np.cumsum([len(v) for v in like])[:-1])
 
 
-def ask(asked: DataFrame, level: int, decide: Decide, with_owners: bool) -> DataFrame:
+def ask(asked: DataFrame, level: int, decide: Decide, with_owners: bool = False, with_heads: bool = False) -> DataFrame:
     """Answers to what the blocks asked, in rows that a block finds by its number."""
 
     def bucket(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
-        values, owners = [], []
+        values, owners, heads = [], [], []
         sizes = table.column("entries").to_pylist()
         for n, payload in zip(sizes, table.column("payload").to_pylist(), strict=True):
-            v, at = _unpacked_values(payload, n)
-            values.append(v)
-            owners.append(_unpacked_owners(payload, at, n) if with_owners else None)
-        bits = [_packed_bits(a) for a in decide(values, owners)]
+            found, at = _unpacked_values(payload, 0, n)
+            values.append(found)
+            if with_owners:
+                found, at = _unpacked_owners(payload, at, n)
+                owners.append(found)
+            if with_heads:
+                heads.append(_unpacked_values(payload, at, n)[0])
+        bits = [_packed_bits(a) for a in decide(values, owners, heads)]
         some = pa.array([bool(b) for b in bits])
         n = table.num_rows
         out = [table.column("block"), pa.array([level] * n, pa.int32()), table.column("bucket"), table.column("entries"), pa.array(bits, pa.binary())]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convmem.llm import packing, substring_dedup
+from convmem.llm import packing, substring_dedup, suffix_dedup
 
 
 def tokenizer_path(name: str) -> str:
@@ -23,8 +23,16 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_best_fit_packing": op1_best_fit_packing, "op2_substring_dedup": op2_substring_dedup}
+    return {
+        "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_substring_dedup": op2_substring_dedup,
+        "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

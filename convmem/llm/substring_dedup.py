@@ -109,7 +109,7 @@ def without_repeats(docs: DataFrame, width: int = 13, asked_from: int = 7, with_
             yield entries.asked(block.number, short=True)
 
         asked = B.each(stored, asking, B.ASKED) if answers is None else B.each_answered(stored, answers, asking, B.ASKED)
-        found = B.ask(asked, length, B.in_two_blocks, False)
+        found = B.ask(asked, length, B.in_two_blocks)
         answers = B.checkpoint(found if answers is None else B.with_level(answers, found))
 
     def asking_last(block: B.Block, known: pa.Table | None = None) -> Iterator[pa.RecordBatch]:
@@ -118,7 +118,7 @@ def without_repeats(docs: DataFrame, width: int = 13, asked_from: int = 7, with_
         yield entries.asked(block.number, owners)
 
     asked = B.each(stored, asking_last, B.ASKED) if answers is None else B.each_answered(stored, answers, asking_last, B.ASKED)
-    last = B.ask(asked, width, B.smaller_owner, True)
+    last = B.ask(asked, width, B.smaller_owner, with_owners=True)
     every = last if answers is None else B.with_level(answers, last)
     fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.string())] * with_text
     schema = pa.schema(fields)
