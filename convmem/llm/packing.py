@@ -93,12 +93,11 @@ class Encoder:
             first = words[0]
             words = [" " + w for w in words]
             words[0] = first
-            kinds = set(words)
-            fresh = kinds - known.keys()
+            fresh = [w for w in set(words) if w not in known]
             if any(_unsafe(w) for w in fresh):
                 split.append(None)
                 continue
-            new |= fresh
+            new.update(fresh)
             split.append(words)
         missing = list(new)
         known.update(zip(missing, self._encode(missing), strict=True))
