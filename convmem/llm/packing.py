@@ -14,10 +14,12 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from convmem.llm.common import bounded_batches, documents, task_number
@@ -62,12 +64,16 @@ class Bins:
         return sequence, self.capacity - free
 
 
+#: Fixed value: the pattern by which public byte-level BPE tokenisers part a text.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class Encoder:
     """Ids of whole texts by a byte-level BPE of the ``tokenizers`` library.
 
     The library's pre-tokeniser never joins characters across a single space that stands between
-    two other characters, so such a text is encoded word by word and words are remembered; any
-    other text is encoded whole.
+    two other characters, so such a text is encoded word by word, and words and their parts are
+    remembered; any other text is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -76,11 +82,28 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.parts = regex.compile(PARTS).findall
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in set(plain)]
+        self.alphabet = {b: chr(256 + i) for i, b in enumerate(others)}
         self.known: dict[str, bytes] = {}
+        self.known_parts: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _encode_word(self, word: str) -> bytes:
+        """Ids of one word: the library's model over the parts that its pre-tokeniser makes."""
+        out = []
+        for part in self.parts(word):
+            ids = self.known_parts.get(part)
+            if ids is None:
+                mapped = part.encode().decode("latin-1").translate(self.alphabet)
+                ids = self.known_parts[part] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            out.append(ids)
+        return b"".join(out)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split: list[list[str] | None] = []
@@ -88,6 +111,8 @@ class Encoder:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
+        if len(self.known_parts) > REMEMBERED:
+            self.known_parts.clear()
         for text in texts:
             words = text.split(" ")
             first = words[0]
@@ -99,8 +124,7 @@ class Encoder:
                 continue
             new.update(fresh)
             split.append(words)
-        missing = list(new)
-        known.update(zip(missing, self._encode(missing), strict=True))
+        known.update((w, self._encode_word(w)) for w in new)
         whole = iter(self._encode([t for t, s in zip(texts, split, strict=True) if s is None]))
         return [next(whole) if words is None else b"".join([known[w] for w in words]) for words in split]
 
