@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convmem.llm import packing, simhash, substring_dedup, suffix_dedup
+from convmem.llm import packing, quality, simhash, substring_dedup, suffix_dedup
 
 
 def tokenizer_path(name: str) -> str:
@@ -23,6 +23,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -35,6 +39,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_substring_dedup": op2_substring_dedup,
+        "op5_quality_rules": op5_quality_rules,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_suffix_array_dedup": op7_suffix_array_dedup,
     }
