@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convmem.llm import packing, quality, simhash, substring_dedup, suffix_dedup
+from convmem.llm import packing, pii, quality, simhash, substring_dedup, suffix_dedup
 
 
 def tokenizer_path(name: str) -> str:
@@ -35,6 +35,10 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -42,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": op5_quality_rules,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_suffix_array_dedup": op7_suffix_array_dedup,
+        "op8_pii": op8_pii,
     }
 
 
