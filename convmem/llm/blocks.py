@@ -24,10 +24,10 @@ from convmem.llm.common import bounded_batches, checkpoint, documents, shuffle_p
 
 #: Owner of an entry whose document has no id: later than all others.
 NO_ID = np.iinfo(np.int64).max
-ASKED = "bucket int, block long, entries int, payload binary"
+ASKED = "level int, bucket int, block long, entries int, payload binary"
 ANSWERS = "block long, level int, bucket int, entries int, bits binary"
 _ANSWER = pa.schema([("block", pa.int64()), ("level", pa.int32()), ("bucket", pa.int32()), ("entries", pa.int32()), ("bits", pa.binary())])
-_ASK = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("entries", pa.int32()), ("payload", pa.binary())])
+_ASK = pa.schema([("level", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("entries", pa.int32()), ("payload", pa.binary())])
 _BLOB = pa.schema([("block", pa.int64()), ("blob", pa.binary())])
 _DOC = pa.schema([("doc_id", pa.int64()), ("text", pa.binary())])
 
@@ -84,12 +84,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
 class Entries:
     """Distinct fingerprints of one block in the order of (bucket, fingerprint)."""
 
-    def __init__(self, prints: np.ndarray, buckets: int, heads: np.ndarray | None = None):
+    def __init__(self, prints: np.ndarray, buckets: int, heads: np.ndarray | None = None, small: bool = False):
         """prints: 64-bit fingerprints, one for each occurrence, in the order of the occurrences.
 
-        heads: if given, entries are distinct pairs of head and fingerprint, dealt by head.
+        heads: if given, entries are distinct pairs of head and fingerprint, dealt by head. With
+        ``small`` the heads are sent whole, and the fingerprints are small numbers.
         """
-        self.buckets = buckets
+        self.buckets, self.small = buckets, small
         if heads is None:
             self.values, self.first, self.of = np.unique(prints, return_index=True, return_inverse=True)
             self.heads = None
@@ -107,19 +108,20 @@ class Entries:
         edges = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
         self.bounds = np.concatenate([[0], np.searchsorted(dealt, edges), [len(dealt)]])
 
-    def asked(self, block: int, owners: np.ndarray | None = None, short: bool = False) -> pa.RecordBatch:
+    def asked(self, block: int, owners: np.ndarray | None = None, short: bool = False, level: int = 0) -> pa.RecordBatch:
         """A row for each bucket: the fingerprints, the owners of the entries and their heads, packed."""
         more = (self.buckets - 1).bit_length()
         rows: list[tuple] = []
         for bucket in range(self.buckets):
             a, b = self.bounds[bucket], self.bounds[bucket + 1]
             if a < b:
-                payload = _packed_values(self.values[a:b], SHORT_BITS + more if short else 64)
+                values = self.values[a:b]
+                payload = _packed_owners(values.astype(np.int64)) if self.small else _packed_values(values, SHORT_BITS + more if short else 64)
                 if owners is not None:
                     payload += _packed_owners(owners[a:b])
                 if self.heads is not None:
-                    payload += _packed_values(self.heads[a:b], HEAD_BITS + more)
-                rows.append((bucket, block, int(b - a), payload))
+                    payload += _packed_values(self.heads[a:b], 64 if self.small else HEAD_BITS + more)
+                rows.append((level, bucket, block, int(b - a), payload))
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(_ASK)], schema=_ASK)
 
     def answered(self, answers: pa.Table, level: int) -> np.ndarray:
@@ -152,6 +154,8 @@ HEAD_BITS = 34
 def _unpacked_values(payload: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
     """The values that start at a byte of the payload, and the byte after them."""
     width = payload[at]
+    if width > 32:
+        return _unpacked_owners(payload, at, n)
     if width == 8:
         return np.frombuffer(payload, "<u8", n, at + 1).astype(np.uint64), at + 1 + 8 * n
     width -= 16
@@ -165,11 +169,11 @@ def _packed_owners(owners: np.ndarray) -> bytes:
     least = int(owners.min())
     over = (owners - least).astype(np.uint64)
     kind = np.min_scalar_type(int(over.max()))
-    return bytes([kind.itemsize]) + least.to_bytes(8, "little", signed=True) + over.astype(kind).tobytes()
+    return bytes([32 + kind.itemsize]) + least.to_bytes(8, "little", signed=True) + over.astype(kind).tobytes()
 
 
 def _unpacked_owners(payload: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
-    size = payload[at]
+    size = payload[at] - 32
     least = int.from_bytes(payload[at + 1 : at + 9], "little", signed=True)
     return np.frombuffer(payload, f"<u{size}", n, at + 9).astype(np.int64) + least, at + 9 + n * size
 
@@ -239,7 +243,7 @@ def ask(asked: DataFrame, level: int, decide: Decide, with_owners: bool = False,
         out = [table.column("block"), pa.array([level] * n, pa.int32()), table.column("bucket"), table.column("entries"), pa.array(bits, pa.binary())]
         return pa.Table.from_arrays(out, schema=_ANSWER).filter(some)
 
-    return asked.groupBy("bucket").applyInArrow(bucket, ANSWERS)
+    return asked.where(F.col("level").isin(0, level)).groupBy("bucket").applyInArrow(bucket, ANSWERS)
 
 
 def each(stored: DataFrame, run: Callable[[Block], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convmem.llm import packing, pii, quality, simhash, substring_dedup, suffix_dedup, toxicity
+from convmem.llm import line_dedup, packing, pii, quality, simhash, substring_dedup, suffix_dedup, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -39,6 +39,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_suffix_array_dedup": op7_suffix_array_dedup,
         "op8_pii": op8_pii,
+        "op9_line_dedup": op9_line_dedup,
         "op10_toxicity": op10_toxicity,
     }
 
