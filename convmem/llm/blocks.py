@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convmem.llm.common import bounded_batches, checkpoint, documents, shuffle_partitions, task_number
+from convmem.llm.common import BATCH_BYTES, bounded_batches, checkpoint, checkpoint_dealt, documents, shuffle_partitions, task_number
 
 #: Owner of an entry whose document has no id: later than all others.
 NO_ID = np.iinfo(np.int64).max
@@ -32,10 +32,10 @@ _BLOB = pa.schema([("block", pa.int64()), ("blob", pa.binary())])
 _DOC = pa.schema([("doc_id", pa.int64()), ("text", pa.binary())])
 
 
-def blocks(docs: DataFrame) -> DataFrame:
+def blocks(docs: DataFrame, size: int = BATCH_BYTES) -> DataFrame:
     """Documents in blocks of one Arrow batch each, ordered by id within a block, compressed, written once and dealt by block."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, size)
 
     def pack(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = task_number() << 32
@@ -49,7 +49,7 @@ def blocks(docs: DataFrame) -> DataFrame:
                 number += 1
 
     packed = documents(docs).mapInArrow(pack, "block long, blob binary")
-    return checkpoint(packed.repartition(shuffle_partitions(spark), "block"))
+    return checkpoint_dealt(packed, shuffle_partitions(spark), "block")
 
 
 class Block:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -17,12 +18,32 @@ BATCH_ROWS = 4096
 SPACES = "\\x20\\x09-\\x0D"
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     """Bound Arrow batches by bytes as well as rows, so that a few very long texts cannot fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for a while."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def checkpoint_dealt(df: DataFrame, partitions: int, *columns: str) -> DataFrame:
+    """Checkpoint rows dealt by columns so that Spark still knows how they are dealt, and need not shuffle them again.
+
+    An adaptive plan does not say how its rows are partitioned, so this one is planned without.
+    """
+    with setting(df.sparkSession, "spark.sql.adaptive.enabled", "false"):
+        return checkpoint(df.repartition(partitions, *columns))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the folder that the cluster shares."""
     context = df.sparkSession.sparkContext

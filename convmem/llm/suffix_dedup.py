@@ -30,6 +30,8 @@ from convmem.llm import blocks as B
 from convmem.llm.common import sha256
 
 GRAM = 32
+#: Bytes of text in a batch; a task holds about a hundred bytes for each.
+BLOCK_BYTES = 4 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = B.mixed(np.arange(1, 257, dtype=np.uint64) * _STEP)
 _BASE = 0xD6E8FEB86659FD93
@@ -159,7 +161,7 @@ def without_repeats(docs: DataFrame, width: int = 100, with_text: bool = False)
     """Counts and digest of what is left of every document; ``with_text`` adds the kept bytes as ``kept``."""
     if width < GRAM:
         raise ValueError(f"strings of under {GRAM} bytes have no anchors")
-    stored = B.blocks(docs)
+    stored = B.blocks(docs, BLOCK_BYTES)
     buckets = B.buckets_for(stored)
 
     def owners(block: B.Block, text: Text, at: np.ndarray) -> np.ndarray:
