@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convmem.llm import line_dedup, packing, pii, quality, simhash, substring_dedup, suffix_dedup, toxicity
+from convmem.llm import embedding_dedup, line_dedup, packing, pii, quality, simhash, substring_dedup, suffix_dedup, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -23,6 +23,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_embedding_near_dedup": op3_embedding_near_dedup,
         "op5_quality_rules": op5_quality_rules,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_suffix_array_dedup": op7_suffix_array_dedup,
