@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from convmem.llm.common import BATCH_BYTES, bounded_batches, checkpoint, checkpoint_dealt, documents, shuffle_partitions, task_number
 
@@ -29,11 +31,13 @@ ANSWERS = "block long, level int, bucket int, entries int, bits binary"
 _ANSWER = pa.schema([("block", pa.int64()), ("level", pa.int32()), ("bucket", pa.int32()), ("entries", pa.int32()), ("bits", pa.binary())])
 _ASK = pa.schema([("level", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("entries", pa.int32()), ("payload", pa.binary())])
 _BLOB = pa.schema([("block", pa.int64()), ("blob", pa.binary())])
-_DOC = pa.schema([("doc_id", pa.int64()), ("text", pa.binary())])
 
 
-def blocks(docs: DataFrame, size: int = BATCH_BYTES) -> DataFrame:
-    """Documents in blocks of one Arrow batch each, ordered by id within a block, compressed, written once and dealt by block."""
+def blocks(docs: DataFrame, size: int = BATCH_BYTES, more: bool = False) -> DataFrame:
+    """Documents in blocks of one Arrow batch each, ordered by id within a block, compressed, written once and dealt by block.
+
+    With ``more`` a block also holds the other columns of ``docs``.
+    """
     spark = docs.sparkSession
     bounded_batches(spark, size)
 
@@ -41,14 +45,15 @@ def blocks(docs: DataFrame, size: int = BATCH_BYTES) -> DataFrame:
         number = task_number() << 32
         for batch in source:
             if batch.num_rows:
-                table = pa.Table.from_arrays([batch.column("doc_id"), batch.column("text").cast(pa.binary())], schema=_DOC).sort_by("doc_id")
+                table = pa.Table.from_batches([batch]).sort_by("doc_id")
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, _DOC, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                     writer.write_table(table.combine_chunks())
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=_BLOB)
                 number += 1
 
-    packed = documents(docs).mapInArrow(pack, "block long, blob binary")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")] if more else []
+    packed = documents(docs, *others).mapInArrow(pack, "block long, blob binary")
     return checkpoint_dealt(packed, shuffle_partitions(spark), "block")
 
 
@@ -56,11 +61,11 @@ class Block:
     """The documents of one block: ids, owners (the ids with null as the largest) and texts as bytes."""
 
     def __init__(self, number: int, blob: bytes):
-        table = pa.ipc.open_stream(blob).read_all()
+        self.table = table = pa.ipc.open_stream(blob).read_all()
         self.number = number
         self.ids: list[int | None] = table.column("doc_id").to_pylist()
         self.owners = np.array([NO_ID if i is None else i for i in self.ids], np.int64)
-        self.texts: list[bytes] = [t or b"" for t in table.column("text").to_pylist()]
+        self.texts: list[bytes] = [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
 
 
 def _blobs(batch: pa.RecordBatch | pa.Table) -> Iterator[Block]:
@@ -262,19 +267,10 @@ def each_answered(stored: DataFrame, answers: DataFrame, run: Callable[[Block, p
 
     def every(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [pa.Table.from_batches([b]) for block in _blobs(left) for b in run(block, right)]
-        return pa.concat_tables(out) if out else None
-
-    def checked(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = every(left, right)
-        return found if found is not None else empty
-
-    empty = _empty(schema)
-    return stored.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(checked, schema)
-
+        return pa.concat_tables(out) if out else empty
 
-def _empty(schema: str) -> pa.Table:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
-    return pa.schema([(n, kinds[t]) for n, t in (f.split() for f in schema.split(","))]).empty_table()
+    empty = to_arrow_schema(_parse_datatype_string(schema)).empty_table()
+    return stored.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(every, schema)
 
 
 def buckets_for(stored: DataFrame) -> int:

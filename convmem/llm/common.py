@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -44,17 +45,30 @@ def checkpoint_dealt(df: DataFrame, partitions: int, *columns: str) -> DataFrame
         return checkpoint(df.repartition(partitions, *columns))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder that the cluster shares."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares for checkpoints and intermediate tables."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:  # only where no cluster names one, as in tests
             folder = f"/tmp/checkpoints/{context.applicationId}"
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in the folder that the cluster shares."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, read again."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -265,8 +266,6 @@ def linked(vectors: DataFrame, threshold: float, shard_rows: int, recall: float,
         forest = pa.table({"id": pa.array(a[keep], pa.int64()), "other": pa.array(b[keep], pa.int64()), "links": pa.nulls(len(keep), pa.int64())})
         return pa.concat_tables([counts.filter(pa.compute.greater(counts["links"], 0)), forest])
 
-    import pyarrow.compute  # noqa: F401
-
     columns = ("shard", "id", "vector", "copies")
     bounded_batches(spark)
     return own.select(*columns).groupBy("shard").cogroup(asked.select(*columns).groupBy("shard")).applyInArrow(run, _FOUND)

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 
@@ -122,9 +123,18 @@ def near_earlier(roles: list[np.ndarray], owners: list[np.ndarray], keys: list[n
     return np.split(out, np.cumsum([len(k) for k in keys])[:-1])
 
 
-def without_repeats(docs: DataFrame, least: int = 3, fuzzy: int = 5, with_text: bool = False) -> DataFrame:
-    """Counts and digest of the lines that stay of every document; ``with_text`` adds the text of them as ``kept``."""
-    stored = B.blocks(docs)
+def cleaned(docs: DataFrame, least: int = 3, fuzzy: int = 5) -> DataFrame:
+    """The input's rows and columns with the lines that stay as ``text``; null texts stay null."""
+    return _applied(docs, least, fuzzy, whole_rows=True)
+
+
+def without_repeats(docs: DataFrame, least: int = 3, fuzzy: int = 5) -> DataFrame:
+    """Counts and digest of the lines that stay of every document."""
+    return _applied(docs, least, fuzzy, whole_rows=False)
+
+
+def _applied(docs: DataFrame, least: int, fuzzy: int, whole_rows: bool) -> DataFrame:
+    stored = B.blocks(docs, more=whole_rows)
     buckets = B.buckets_for(stored)
 
     def ask_exact(block: B.Block) -> Iterator[pa.RecordBatch]:
@@ -156,8 +166,8 @@ def without_repeats(docs: DataFrame, least: int = 3, fuzzy: int = 5, with_text:
     exact = B.ask(asked, EXACT, earlier, with_owners=True)
     first = B.checkpoint(B.with_level(exact, B.ask(asked, HALF, B.in_two_blocks)))
     near = B.ask(B.each_answered(stored, first, ask_near, B.ASKED), NEAR, near_earlier, with_owners=True, with_heads=True)
-    fields = [("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.string())] * with_text
-    schema = pa.schema(fields)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
+    names = docs.columns
 
     def cut(block: B.Block, known: pa.Table) -> Iterator[pa.RecordBatch]:
         lines, gone, at = settled(block, known)
@@ -176,7 +186,7 @@ def without_repeats(docs: DataFrame, least: int = 3, fuzzy: int = 5, with_text:
         hit |= other[entries.of] < of
         gone[of[hit]] = True
         seen = gone.tolist()
-        rows = []
+        rows, kept_texts = [], []
         for doc_id, text, parts, own in zip(block.ids, block.texts, lines.lines, lines.of, strict=True):
             keep = []
             for part, at_line in zip(parts, own, strict=True):
@@ -186,7 +196,16 @@ def without_repeats(docs: DataFrame, least: int = 3, fuzzy: int = 5, with_text:
                         seen[at_line] = True  # whatever equals it comes later
             removed = len(parts) - len(keep)
             kept = b"\n".join(keep) if removed else text
-            rows.append((doc_id, len(parts), removed, sha256(kept), *[kept.decode()] * with_text))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(schema)], schema=schema)
-
-    return B.each_answered(stored, B.with_level(first, near), cut, "doc_id long, n_lines long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+            kept_texts.append(kept)
+            if not whole_rows:
+                rows.append((doc_id, len(parts), removed, sha256(kept)))
+        if whole_rows:
+            was_null = block.table.column("text").is_null()
+            text = pa.compute.if_else(was_null, pa.scalar(None, pa.string()), pa.chunked_array([pa.array([t.decode() for t in kept_texts], pa.string())]))
+            yield from pa.table([text if c == "text" else block.table.column(c) for c in names], names=names).combine_chunks().to_batches()
+        else:
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(schema)], schema=schema)
+
+    as_was = ", ".join(f"`{f.name}` {'bigint' if f.name == 'doc_id' else 'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema)
+    counts = "doc_id long, n_lines long, n_removed long, kept_sha256 string"
+    return B.each_answered(stored, B.with_level(first, near), cut, as_was if whole_rows else counts)

@@ -184,3 +184,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFra
     found = checkpoint(checkpoint(merged).join(least, "component").select("bits", "component_id"))
     # A fingerprint that many documents share is a skewed key here: both sides come from a shuffle of their own, so adaptive execution can split it.
     return every.join(found.hint("merge"), "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
+    """The rows of the input whose id is the least of its component; of rows without an id those without a twin that has one."""
+    found = near_duplicates(docs, width, budget)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
+    return docs.join(stay, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_stay")), "left_semi")

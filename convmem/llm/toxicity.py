@@ -154,9 +154,10 @@ class Model:
         """Adds ``score`` to a table that has the features."""
         if self.trees is None:
             return featured.withColumn("score", F.lit(self.share))
-        rows = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(featured)
-        rows = self.trees.transform(rows).withColumn("_raw", vector_to_array("probability")[1])
-        return rows.withColumn("score", self._calibrated(F.col("_raw"))).drop("_features", "_raw", "rawPrediction", "probability", "prediction")
+        rows = VectorAssembler(inputCols=[f"_{k}" for k in FEATURES], outputCol="_features").transform(featured)
+        trees = self.trees.setRawPredictionCol("_rawPrediction").setProbabilityCol("_probability").setPredictionCol("_prediction")
+        rows = trees.transform(rows).withColumn("_raw", vector_to_array("_probability")[1])
+        return rows.withColumn("score", self._calibrated(F.col("_raw"))).drop("_features", "_raw", "_rawPrediction", "_probability", "_prediction")
 
     def _calibrated(self, raw: Column) -> Column:
         """Linear between the isotonic steps; blended with the raw score, so that ties keep the trees' order."""
@@ -179,7 +180,7 @@ def fit(learn: DataFrame, trees: int = 20, depth: int = 3) -> Model:
     if not 0 < share < 1:
         return Model(None, (), (), share)
     rows = known.withColumn("label", F.col("toxic").cast("double")).withColumn("_part", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(4)), F.lit(4)))
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(rows).select("label", "_features", "_part")
+    rows = VectorAssembler(inputCols=[f"_{k}" for k in FEATURES], outputCol="_features").transform(rows).select("label", "_features", "_part")
     # The bounded sample fits few partitions.
     rows = checkpoint(rows.coalesce(6))
     grown = GBTClassifier(labelCol="label", featuresCol="_features", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=1, maxMemoryInMB=128, cacheNodeIds=False)
@@ -194,26 +195,44 @@ def fit(learn: DataFrame, trees: int = 20, depth: int = 3) -> Model:
     return Model(model, tuple(bounds), tuple(values), share)
 
 
-def featured(docs: DataFrame, known: Learnt) -> DataFrame:
-    """The id and the features of every document, in one pass over the texts."""
-    own = documents(docs)
-    return own.select("doc_id", *[c.alias(k) for k, c in features(F.coalesce(F.col("text"), F.lit("")), known).items()])
-
-
 def sampled(known: DataFrame, sample: int) -> DataFrame:
     """About ``sample`` of the labelled rows, chosen by hash: the same at every run, whatever the partitions."""
     n = known.count()
     return known if n <= sample else known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(10)), F.lit(1 << 20)) < int(sample / n * (1 << 20)))
 
 
-def scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document; labels are learnt from the rows outside the held-out fold only."""
+@dataclass(frozen=True)
+class Scorer:
+    """What has been learnt: the lexicon and the calibrated trees."""
+
+    lexicon: Learnt
+    model: Model
+
+    def scored(self, docs: DataFrame) -> DataFrame:
+        """The input's rows and columns and ``score``, in one pass over the texts."""
+        wide = docs.withColumns({f"_{k}": c for k, c in features(F.coalesce(F.col("text").cast("string"), F.lit("")), self.lexicon).items()})
+        return self.model.scored(wide).drop(*[f"_{k}" for k in FEATURES])
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
+    """From the labelled rows outside the held-out fold, a bounded sample of them."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold(F.col("doc_id")) != 0)
     known = F.broadcast(checkpoint(sampled(known, sample)))  # its size is bounded by ``sample``
     both = known.agg(F.min("toxic"), F.max("toxic")).first()
-    lexicon = learnt(documents(docs).where("text is not null").join(known, "doc_id").drop("doc_id")) if tuple(both) == (0, 1) else Learnt()
-    rows = checkpoint(featured(docs, lexicon))
-    scored = fit(rows.join(known, "doc_id")).scored(rows)
+    rows = documents(docs).join(known, "doc_id")
+    lexicon = learnt(rows.where("text is not null").drop("doc_id")) if tuple(both) == (0, 1) else Learnt()
+    found = features(F.coalesce(F.col("text"), F.lit("")), lexicon)
+    return Scorer(lexicon, fit(rows.select("doc_id", "toxic", *[c.alias(f"_{k}") for k, c in found.items()])))
+
+
+def scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document; labels are learnt from the rows outside the held-out fold only."""
+    scored = learn(docs, labels, sample).scored(documents(docs))
     held_out = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(True))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """The rows of the input that are not rejected."""
+    return learn(docs, labels, sample).scored(docs).where(F.col("score") < threshold).select(docs.columns)
