@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convmem.llm import embedding_dedup, line_dedup, packing, pii, quality, simhash, substring_dedup, suffix_dedup, toxicity
+from convmem.llm import embedding_dedup, line_dedup, packing, pieces, pii, quality, simhash, substring_dedup, suffix_dedup, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -27,6 +27,10 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_embedding_near_dedup": op3_embedding_near_dedup,
+        "op4_sentencepiece": op4_sentencepiece,
         "op5_quality_rules": op5_quality_rules,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_suffix_array_dedup": op7_suffix_array_dedup,
