@@ -1 +1 @@
-"""Package."""
+"""Scalar functions over columns."""

@@ -1 +1 @@
-"""Package."""
+"""DataFrame operators of the conversation memory."""

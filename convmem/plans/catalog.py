@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Modules of queries; each has Q and SQL.
+MODULES = ("conversation",)
+
+
+def _all(name: str) -> dict:
+    return {k: v for m in MODULES for k, v in getattr(import_module(f"convmem.plans.{m}"), name).items()}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return _all("Q")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _all("SQL")
