@@ -114,6 +114,6 @@ def without_lead(text: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Of two vectors; 0 where one has no length. The shorter one's positions count."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.coalesce(p * q, F.lit(0.0)).cast("double")), F.lit(0.0), lambda s, v: s + v)
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.coalesce(p.cast("double") * q.cast("double"), F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
     size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0))

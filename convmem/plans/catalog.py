@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of queries; each has Q and SQL.
-MODULES = ("conversation", "ledgers")
+MODULES = ("conversation", "ledgers", "texts")
 
 
 def _all(name: str) -> dict:
