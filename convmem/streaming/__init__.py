@@ -1 +1 @@
-"""Package."""
+"""Streaming operators: state per conversation."""
