@@ -70,5 +70,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_WORDS = r"""w AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that it can express; the others are tested against brute force or the library that they must agree with."""
+    stop = "|".join(quality.stop_words())
+    rules = " AND ".join(f"{r.measure} {op} {bound}" for r in quality.RULES for op, bound in ((">=", r.least), ("<=", r.most)) if bound is not None)
+    share = lambda a, b: f"CASE WHEN {b} > 0 THEN {a} / CAST({b} AS DOUBLE) ELSE 0 END"
+    without = lambda c: f"length(t) - length(translate(t, '{c}', ''))"
+    return {
+        "op2_substring_dedup": f"""WITH {_WORDS}, p AS (SELECT doc_id, unnest(ws) AS wd, generate_subscripts(ws, 1) AS i FROM w),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM w WHERE len(ws) >= 13), h AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM g),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS m FROM h), c AS (SELECT DISTINCT doc_id, i + k AS i FROM m, (SELECT unnest(range(13)) AS k) WHERE m < doc_id),
+k AS (SELECT p.doc_id, count(*) AS n, count(c.i) AS r, string_agg(wd, ' ' ORDER BY p.i) FILTER (WHERE c.i IS NULL) AS kept FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.i = p.i GROUP BY 1)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)""",
+        "op5_quality_rules": rf"""WITH {_WORDS}, g AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) >= 3),
+h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS c FROM g),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM h, (SELECT unnest(range(3)) AS k) WHERE c > 1 GROUP BY 1),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+b AS (SELECT w.doc_id, t, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST({without("#*$%&|<>")} AS BIGINT) AS n_symbols,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines, length(regexp_replace(t, '[^\pL]+', '', 'g')) AS letters,
+  length(t) - length(regexp_replace(t, '\p{{Lu}}+', '', 'g')) AS upper, {without("|")} AS bars, {without("!")} AS bangs,
+  len(regexp_extract_all(regexp_replace(lower(t), '([\x20\x09-\x0D])', '\1\1', 'g'), '(?:^|[\x20\x09-\x0D])(?:{stop})(?:[\x20\x09-\x0D,.;:!?]|$)')) AS stops,
+  len(regexp_extract_all(t, '(?m)(?:\.\.\.|…)$')) AS ellipses FROM w JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+m AS (SELECT *, {share("word_chars", "n_words")} AS mean_word_chars, {share("n_symbols", "n_words")} AS symbols_per_word, {share("bars", "n_words")} AS bars_per_word, {share("bangs", "n_words")} AS bangs_per_word,
+  {share("letters", "word_chars")} AS letter_share, {share("upper", "letters")} AS upper_share, {share("stops", "n_words")} AS stop_word_share, {share("n_dup_lines", "n_lines")} AS dup_line_share,
+  {share("n_repeat_words", "n_words")} AS repeat_word_share, {share("ellipses", "n_lines")} AS ellipsis_line_share, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {rules} AS kept FROM m""",
+    }
