@@ -222,8 +222,8 @@ LABELERS = (Labeler("strict_form", _strict_form), Labeler("gazetteer", _gazettee
 _SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string,base:boolean,votes:array<int>>>"
 
 
-def candidates(docs: DataFrame, labelers: tuple[Labeler, ...] = LABELERS, around: int = 40) -> DataFrame:
-    """(…the input's columns, spans): all candidates of each document in the order of their starts, with the votes."""
+def candidates(docs: DataFrame, labelers: tuple[Labeler, ...] = LABELERS, around: int = 40, into: str = "spans") -> DataFrame:
+    """The input's columns and ``into``: all candidates of each document in the order of their starts, with the votes."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     def spans(text: Column, kind: str) -> Column:
@@ -244,7 +244,7 @@ def candidates(docs: DataFrame, labelers: tuple[Labeler, ...] = LABELERS, around
 
     every = let(text, lambda t: F.sort_array(F.concat(*[spans(t, k) for k in KINDS]))).cast(_SPAN)
     # Plain numbers of few digits match the card pattern but are nobody's candidate.
-    return docs.withColumn("spans", F.filter(every, lambda s: s["base"] | (s["kind"] != "card") | F.length(digits(s["value"])).between(14, 19)))
+    return docs.withColumn(into, F.filter(every, lambda s: s["base"] | (s["kind"] != "card") | F.length(digits(s["value"])).between(14, 19)))
 
 
 # Weighing the votes ---------------------------------------------------------------------------
@@ -369,8 +369,9 @@ def find_without_text(docs: DataFrame, labelers: tuple[Labeler, ...] = LABELERS)
 
 def redacted(docs: DataFrame, labelers: tuple[Labeler, ...] = LABELERS) -> DataFrame:
     """The input with every span of ``text`` replaced by its kind in brackets; texts without a span, and nulls, as they are."""
-    keep = accepted(fitted(counted(candidates(docs, labelers)), len(labelers)))
-    found = candidates(docs, labelers).withColumn("spans", _chosen(F.col("spans"), keep))
+    name = "_pii_spans"  # the input may have a column of any other name
+    keep = accepted(fitted(counted(candidates(docs.select("text"), labelers)), len(labelers)))
+    found = candidates(docs, labelers, into=name).withColumn(name, _chosen(F.col(name), keep))
 
     def parts(spans: Column) -> Column:
         # Of overlapping spans the first covers the rest.
@@ -384,7 +385,7 @@ def redacted(docs: DataFrame, labelers: tuple[Labeler, ...] = LABELERS) -> DataF
 
         return let(F.aggregate(spans, start, step), lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), (a["end"] + 1).cast("int"), F.length("text"))))
 
-    return found.withColumn("text", F.when(F.size("spans") > 0, parts(F.col("spans"))).otherwise(F.col("text"))).drop("spans")
+    return found.withColumn("text", F.when(F.size(name) > 0, parts(F.col(name))).otherwise(F.col("text"))).select(docs.columns)
 
 
 def _chosen(spans: Column, keep: Callable[[Column], Column]) -> Column:
