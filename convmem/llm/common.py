@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -73,6 +74,30 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trie_pattern(words: Iterable[str], whole: bool = False, between: str = "") -> str:
+    """A pattern for any of the words that looks at each character once: alternatives part where the words do.
+
+    Without ``whole`` the words are beginnings, and a shorter one covers those that go on.
+    ``between`` is a pattern that stands between two characters of a word.
+    """
+    words = set(words)
+    if words == {""} or ("" in words and not whole):
+        return ""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(words - {""}):
+        heads.setdefault(w[0], []).append(w[1:])
+    parts = []
+    for head, rest in heads.items():
+        more = trie_pattern([r for r in rest if r] if between else rest, whole, between) if any(rest) else ""
+        joined = f"{between}{more}" if between and more else more
+        if between and more and "" in rest:
+            joined = f"(?:{joined})?"
+        parts.append(re.escape(head) + joined)
+    if "" in words:
+        return f"(?:{'|'.join(parts)})?"
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
 def task_number() -> int:
     context = TaskContext.get()
     return context.partitionId() if context else 0

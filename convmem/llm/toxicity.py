@@ -16,7 +16,6 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -26,7 +25,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convmem.llm.common import SPACES, checkpoint, documents
+from convmem.llm.common import checkpoint, documents, trie_pattern
 
 # Lexicons: fixed values.
 INSULTS = "idiot moron loser scum clown stupid pathetic worthless disgusting trash fool dumb jerk imbecile cretin liar coward garbage filth vermin pig rat parasite disgrace".split()
@@ -62,18 +61,8 @@ SAMPLE = 60_000
 
 
 def _any(words: list[str]) -> str:
-    return f"(?<!\\p{{L}})(?:{'|'.join(words)})(?!\\p{{L}})"
-
-
-def trie_pattern(words: list[str]) -> str:
-    """A pattern for any of the words that looks at each character once: alternatives part where the words do."""
-    if "" in words:
-        return ""  # beginnings: a shorter one covers those that go on
-    heads: dict[str, list[str]] = {}
-    for w in sorted(set(words)):
-        heads.setdefault(w[0], []).append(w[1:])
-    parts = [re.escape(h) + trie_pattern(rest) for h, rest in heads.items()]
-    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+    """A pattern for any of the words; it takes the character before, so only ends of words are looked at."""
+    return f"(?:^|[^\\p{{L}}])(?:{trie_pattern(words, whole=True)})(?!\\p{{L}})"
 
 
 @dataclass(frozen=True)
@@ -103,19 +92,44 @@ def learnt(rows: DataFrame, lengths: tuple[int, ...] = (5, 7), most: int = 150)
     return Learnt(best(F.col("rate") >= 0.9), best(F.col("rate") < 0.9))
 
 
+def with_features(docs: DataFrame, known: Learnt) -> DataFrame:
+    """The input's rows and columns and the dense features, each with a leading underscore.
+
+    What several features need is matched once, as columns of a projection of its own: all words
+    of the lexicons in one pass, all beginnings in another; each match is then told apart by list.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    stems = [*known.sure, *known.likely]
+    words = f"(?:^|[^\\p{{L}}])({trie_pattern(INSULTS + HARM + SECOND, whole=True)})(?!\\p{{L}})"
+    docs = docs.withColumn("_m_lower", F.lower(text)).withColumns(
+        {
+            "_m_words": F.regexp_extract_all("_m_lower", F.lit(words), F.lit(1)),
+            "_m_begun": F.regexp_extract_all("_m_lower", F.lit(f"(?:^|[^\\p{{L}}])({trie_pattern(stems)})"), F.lit(1)) if stems else F.array().cast("array<string>"),
+            "_m_capitals": F.regexp_extract_all(text, F.lit("\\p{Lu}+"), F.lit(0)),
+        }
+    )
+    found = features(text, known)
+    return docs.withColumns({f"_{k}": c for k, c in found.items()}).drop("_m_lower", "_m_words", "_m_begun", "_m_capitals")
+
+
 def features(text: Column, known: Learnt) -> dict[str, Column]:
-    """The dense features by name."""
+    """The dense features by name, over the text and what ``with_features`` has matched in it."""
     count = lambda t, p: F.regexp_count(t, F.lit(p)).cast("double")
-    lower = F.lower(text)
-    words = F.greatest(count(text, f"[^{SPACES}]+"), F.lit(1.0))
+    lower = F.col("_m_lower")
     chars = F.greatest(F.length(text).cast("double"), F.lit(1.0))
-    letters = F.greatest(count(text, "\\p{L}"), F.lit(1.0))
-    insults, harm = count(lower, _any(INSULTS)), count(lower, _any(HARM))
+    words = F.length(text) - F.length(F.translate(text, " \t\n\x0b\f\r", "")) + F.lit(1.0)
+    letters = F.greatest(F.length(F.regexp_replace(text, "[^\\p{L}]+", "")).cast("double"), F.lit(1.0))
+    among = lambda column, chosen: F.size(F.filter(column, lambda m: m.isin(list(chosen)))).cast("double") if chosen else F.lit(0.0)
+    insults, harm, second = (among("_m_words", x) for x in (INSULTS, HARM, SECOND))
+    sure, likely = among("_m_begun", known.sure), among("_m_begun", known.likely)
+    capitals = F.col("_m_capitals")
     plain = F.translate(lower, "".join(DISGUISE), "".join(DISGUISE.values()))
-    near = f"{_any(SECOND)}(?:[^\\p{{L}}\\n]+\\p{{L}}+){{0,3}}?[^\\p{{L}}\\n]+{_any(INSULTS)}|{_any(INSULTS)}(?:[^\\p{{L}}\\n]+\\p{{L}}+){{0,3}}?[^\\p{{L}}\\n]+{_any(SECOND)}"
-    spaced = "(?<!\\p{L})" + "(?:" + "|".join("[ .*_-]".join(w) for w in INSULTS if w.isascii()) + ")(?!\\p{L})"
-    begin = lambda stems: count(lower, "(?<!\\p{L})" + trie_pattern(list(stems))) if stems else F.lit(0.0)
-    sure, likely = begin(known.sure), begin(known.likely)
+    near = f"{_any(SECOND)}(?:[^\\p{{L}}\\n]+\\p{{L}}+){{0,3}}?{_any(INSULTS)}|{_any(INSULTS)}(?:[^\\p{{L}}\\n]+\\p{{L}}+){{0,3}}?{_any(SECOND)}"
+    gap = "[ .*_-]"
+    spaced = f"(?:^|[^\\p{{L}}])(?:{trie_pattern([w for w in INSULTS if w.isascii()], whole=True, between=gap)})(?!\\p{{L}})"
+    # Rare characters first: a pattern that begins with one is tried at few places.
+    disguise = "[" + "".join(DISGUISE).replace("$", "\\$") + "]"
+    doubled = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
     return {
         "learnt_sure": sure,
         "learnt_likely": likely,
@@ -124,16 +138,16 @@ def features(text: Column, known: Learnt) -> dict[str, Column]:
         "harm": harm,
         "insult_density": insults / words,
         "harm_density": harm / words,
-        "disguised_density": F.greatest(count(plain, _any(INSULTS)) - insults, F.lit(0.0)) / words,
-        "spaced_density": count(lower, spaced) / words,
-        "second_density": count(lower, _any(SECOND)) / words,
-        "second_near_insult": F.when(insults > 0, count(lower, near)).otherwise(0.0),
-        "upper_share": count(text, "\\p{Lu}") / letters,
-        "upper_word_share": count(text, "(?<!\\p{L})\\p{Lu}{2,}(?!\\p{L})") / words,
-        "bang_density": count(text, "[!?]{2,}") / words,
-        "punctuation_share": count(text, "\\p{P}") / chars,
-        "repeated_letter_density": count(text, "(\\p{L})\\1{2,}") / words,
-        "mixed_word_density": count(text, "\\p{L}[0-9@$!*]+\\p{L}") / words,
+        "disguised_density": F.when(text.rlike(f"{disguise}(?:(?=\\p{{L}})|(?<=\\p{{L}}.))"), F.greatest(count(plain, _any(INSULTS)) - insults, F.lit(0.0))).otherwise(0.0) / words,
+        "spaced_density": F.when(text.rlike(f"{gap}\\p{{L}}{gap}\\p{{L}}{gap}"), count(lower, spaced)).otherwise(0.0) / words,
+        "second_density": second / words,
+        "second_near_insult": F.when((insults > 0) & (second > 0), count(lower, near)).otherwise(0.0),
+        "upper_share": F.length(F.array_join(capitals, "")) / letters,
+        "upper_word_share": F.size(F.filter(capitals, lambda c: F.length(c) > 1)) / words,
+        "bang_density": (doubled("!!") + doubled("??")) / words,
+        "punctuation_share": (F.length(text) - F.length(F.regexp_replace(text, "\\p{P}+", ""))) / chars,
+        "repeated_letter_density": count(lower, "([a-zà-ÿ])\\1\\1+") / words,
+        "mixed_word_density": count(text, "[0-9@$!*](?<=\\p{L}.)[0-9@$!*]*+(?=\\p{L})") / words,
         "log_words": F.log1p(words),
     }
 
@@ -151,13 +165,13 @@ class Model:
     share: float
 
     def scored(self, featured: DataFrame) -> DataFrame:
-        """Adds ``score`` to a table that has the features."""
+        """Adds ``_score`` to a table that has the features."""
         if self.trees is None:
-            return featured.withColumn("score", F.lit(self.share))
+            return featured.withColumn("_score", F.lit(self.share))
         rows = VectorAssembler(inputCols=[f"_{k}" for k in FEATURES], outputCol="_features").transform(featured)
         trees = self.trees.setRawPredictionCol("_rawPrediction").setProbabilityCol("_probability").setPredictionCol("_prediction")
         rows = trees.transform(rows).withColumn("_raw", vector_to_array("_probability")[1])
-        return rows.withColumn("score", self._calibrated(F.col("_raw"))).drop("_features", "_raw", "_rawPrediction", "_probability", "_prediction")
+        return rows.withColumn("_score", self._calibrated(F.col("_raw"))).drop("_features", "_raw", "_rawPrediction", "_probability", "_prediction")
 
     def _calibrated(self, raw: Column) -> Column:
         """Linear between the isotonic steps; blended with the raw score, so that ties keep the trees' order."""
@@ -181,8 +195,7 @@ def fit(learn: DataFrame, trees: int = 20, depth: int = 3) -> Model:
         return Model(None, (), (), share)
     rows = known.withColumn("label", F.col("toxic").cast("double")).withColumn("_part", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(4)), F.lit(4)))
     rows = VectorAssembler(inputCols=[f"_{k}" for k in FEATURES], outputCol="_features").transform(rows).select("label", "_features", "_part")
-    # The bounded sample fits few partitions.
-    rows = checkpoint(rows.coalesce(6))
+    rows = checkpoint(rows).coalesce(6)  # the bounded sample fits few partitions
     grown = GBTClassifier(labelCol="label", featuresCol="_features", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=1, maxMemoryInMB=128, cacheNodeIds=False)
     if rows.where("_part > 0").agg(F.countDistinct("label")).first()[0] < 2:
         return Model(None, (), (), share)
@@ -209,30 +222,42 @@ class Scorer:
     model: Model
 
     def scored(self, docs: DataFrame) -> DataFrame:
-        """The input's rows and columns and ``score``, in one pass over the texts."""
-        wide = docs.withColumns({f"_{k}": c for k, c in features(F.coalesce(F.col("text").cast("string"), F.lit("")), self.lexicon).items()})
-        return self.model.scored(wide).drop(*[f"_{k}" for k in FEATURES])
+        """The input's rows and columns and ``_score``, in one pass over the texts."""
+        return self.model.scored(with_features(docs, self.lexicon)).drop(*[f"_{k}" for k in FEATURES])
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
-    """From the labelled rows outside the held-out fold, a bounded sample of them."""
+def _known(labels: DataFrame, sample: int) -> DataFrame:
+    """(doc_id, toxic) of the labelled rows outside the held-out fold, a bounded sample of them."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold(F.col("doc_id")) != 0)
-    known = F.broadcast(checkpoint(sampled(known, sample)))  # its size is bounded by ``sample``
+    return F.broadcast(checkpoint(sampled(known, sample)))  # its size is bounded by ``sample``
+
+
+def _lexicon(docs: DataFrame, known: DataFrame) -> Learnt:
     both = known.agg(F.min("toxic"), F.max("toxic")).first()
-    rows = documents(docs).join(known, "doc_id")
-    lexicon = learnt(rows.where("text is not null").drop("doc_id")) if tuple(both) == (0, 1) else Learnt()
-    found = features(F.coalesce(F.col("text"), F.lit("")), lexicon)
-    return Scorer(lexicon, fit(rows.select("doc_id", "toxic", *[c.alias(f"_{k}") for k, c in found.items()])))
+    return learnt(documents(docs).where("text is not null").join(known, "doc_id").drop("doc_id")) if tuple(both) == (0, 1) else Learnt()
+
+
+def _featured(docs: DataFrame, lexicon: Learnt, *more: str) -> DataFrame:
+    return with_features(docs, lexicon).select("doc_id", *more, *[f"_{k}" for k in FEATURES])
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
+    """What can be learnt from the labelled rows; the others are not looked at."""
+    known = _known(labels, sample)
+    lexicon = _lexicon(docs, known)
+    return Scorer(lexicon, fit(_featured(documents(docs).join(known, "doc_id"), lexicon, "toxic")))
 
 
 def scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document; labels are learnt from the rows outside the held-out fold only."""
-    scored = learn(docs, labels, sample).scored(documents(docs))
+    known = _known(labels, sample)
+    rows = checkpoint(_featured(documents(docs), _lexicon(docs, known)))  # one pass over the texts for learning and scoring
+    scored = fit(rows.join(known, "doc_id")).scored(rows)
     held_out = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(True))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """The rows of the input that are not rejected."""
-    return learn(docs, labels, sample).scored(docs).where(F.col("score") < threshold).select(docs.columns)
+    return learn(docs, labels, sample).scored(docs).where(F.col("_score") < threshold).select(docs.columns)
