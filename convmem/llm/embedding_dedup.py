@@ -122,19 +122,20 @@ class Graph:
     def _beam(queries: np.ndarray, own: np.ndarray, links: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the beam of each query, nearest first; -1 and -2 where a beam is not full."""
         q, n = len(queries), len(own)
-        seen = np.zeros((q, n), bool)
+        seen = np.zeros((q, n), np.int32)
         at = np.full((q, beam), -1, np.int64)
         near = np.full((q, beam), -2.0, np.float32)
         open_ = np.zeros((q, beam), bool)
         rows = np.arange(q)
         at[:, 0], open_[:, 0] = entry, True
         near[:, 0] = np.einsum("ij,ij->i", queries, own[entry])
-        seen[rows, entry] = True
+        seen[rows, entry] = -1
         active = rows
+        steps = min(4, beam)
         while len(active):
-            # The nearest members not yet walked from, two at a time.
+            # The nearest members not yet walked from, some at a time.
             score = np.where(open_[active], near[active], -3.0)
-            step = np.argpartition(-score, min(1, beam - 1), axis=1)[:, :2]
+            step = np.argpartition(-score, steps - 1, axis=1)[:, :steps] if steps < beam else np.broadcast_to(np.arange(beam), score.shape)
             has = np.take_along_axis(open_[active], step, 1)
             live = has.any(axis=1)
             active, step, has = active[live], step[live], has[live]
@@ -143,17 +144,15 @@ class Graph:
             open_[active[:, None], step] = False
             froms = np.where(has, at[active[:, None], step], -1)
             nexts = np.where((froms >= 0)[:, :, None], links[froms], -1).reshape(len(active), -1)
-            known = seen[active[:, None], np.maximum(nexts, 0)] | (nexts < 0)
-            seen[np.repeat(active, (~known).sum(1)), nexts[~known]] = True
-            r, c = np.nonzero(~known)
+            r, c = np.nonzero((nexts >= 0) & (seen[active[:, None], np.maximum(nexts, 0)] == 0))
+            # Two links may lead to one place in the same step: the last writer's is the one that counts.
+            to = nexts[r, c]
+            number = np.arange(1, len(r) + 1, dtype=np.int32)
+            seen[active[r], to] = number
+            once = seen[active[r], to] == number
+            r, c, to = r[once], c[once], to[once]
             score = np.full(nexts.shape, -2.0, np.float32)
-            score[r, c] = np.einsum("ij,ij->i", queries[active[r]], own[nexts[r, c]])
-            # Two links may lead to one place in the same step.
-            order = np.argsort(nexts, axis=1, kind="stable")
-            again = np.zeros(nexts.shape, bool)
-            sorted_next = np.take_along_axis(nexts, order, 1)
-            np.put_along_axis(again, order[:, 1:], sorted_next[:, 1:] == sorted_next[:, :-1], 1)
-            score[again] = -2.0
+            score[r, c] = np.einsum("ij,ij->i", queries[active[r]], own[to])
             all_near = np.concatenate([near[active], score], 1)
             all_at = np.concatenate([at[active], nexts], 1)
             all_open = np.concatenate([open_[active], score > -2.0], 1)
@@ -172,7 +171,7 @@ class Graph:
         entry = self._enter(queries, 0)
         n = len(self.unit)
         while len(todo):
-            if beam >= min(most, n):  # as wide as the shard: every vector is a member
+            if 16 * beam >= min(most, n):  # about as wide as the shard: every vector is a member
                 near = queries[todo] @ self.unit.T
                 q, v = np.nonzero(near >= least)
                 found.append((todo[q], v))
@@ -181,7 +180,7 @@ class Graph:
             wide = near[:, -1] >= least
             q, b = np.nonzero((near >= least) & ~wide[:, None])
             found.append((todo[q], self.members[0][at[q, b]]))
-            todo, beam = todo[wide], 4 * beam
+            todo, beam = todo[wide], 8 * beam
         return np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64), np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
 
 
@@ -233,7 +232,7 @@ def linked(vectors: DataFrame, threshold: float, shard_rows: int, recall: float,
             norm = np.sqrt(np.einsum("ij,ij->i", raw, raw))
             graph = Graph(raw / norm[:, None])
             qids = queries.column("id").to_numpy()
-            beam, checked = 16, False
+            beam, checked = 12, False
             qraw_all = queries.column("vector")
             for start in range(0, len(qids), queries_at_once):
                 qraw = _matrix(qraw_all.slice(start, queries_at_once))
