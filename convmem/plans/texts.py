@@ -81,14 +81,16 @@ Q["p23_gate"] = lambda s, d: B.table(s, d, "labels").join(_docs(s, d), "doc_id")
 SQL["p23_gate"] = f"""{_DOC}, f AS (SELECT doc_id, regexp_matches(lower(summary), '(^|[^a-z0-9_])(?:der|les)([^a-z0-9_]|$)') AS a, regexp_matches(lower(summary), '(^|[^a-z0-9_])(?:this|from)([^a-z0-9_]|$)') AS b, quality FROM labels JOIN doc USING (doc_id))
 SELECT doc_id, CASE WHEN a OR b OR quality <> 1 THEN 'hold' ELSE 'auto' END AS action, concat_ws(',', CASE WHEN a THEN 'loss' END, CASE WHEN b THEN 'harm' END, CASE WHEN quality <> 1 THEN 'confidence' END) AS reasons FROM f"""
 
-_RAW = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('{"motivation": "m'), F.col("doc_id"), F.lit('", "salience": 1.5}'))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit('Sure:\n```json\n{"motivation": "n'), F.col("doc_id"), F.lit('", "subject": "Ann"}\n```'))).otherwise(F.lit("no json"))
-Q["p22_model_responses"] = lambda s, d: _docs(s, d).select("doc_id", C.analysis(_RAW).alias("a")).select("doc_id", "a.motivation", "a.salience", "a.subject")
+_raw = lambda: F.when(
+    F.col("doc_id") % 3 == 0, F.concat(F.lit('{"motivation": "m'), F.col("doc_id"), F.lit('", "salience": 1.5}'))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit('Sure:\n```json\n{"motivation": "n'), F.col("doc_id"), F.lit('", "subject": "Ann"}\n```'))).otherwise(F.lit("no json"))
+Q["p22_model_responses"] = lambda s, d: _docs(s, d).select("doc_id", C.analysis(_raw()).alias("a")).select("doc_id", "a.motivation", "a.salience", "a.subject")
 SQL["p22_model_responses"] = "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'm' || doc_id WHEN 1 THEN 'n' || doc_id END AS motivation, CASE doc_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 END::DOUBLE AS salience, CASE WHEN doc_id % 3 = 1 THEN 'Ann' END AS subject FROM documents"
 
 # Commands are put into every fourth message by rule.
-_CMD = F.concat("text", F.when(F.col("turn") % 4 == 0, F.concat(F.lit(" [remember: likes tea "), F.col("conv_id").cast("string"), F.lit(" | lane=open_threads, scope=space] [bookmark: topic=\"old house\", weight="), (F.col("turn") / 4).cast("string"), F.lit("]\n\n\n\nend"))).otherwise(F.lit("")))
+_cmd_text = lambda: F.concat(
+    "text", F.when(F.col("turn") % 4 == 0, F.concat(F.lit(" [remember: likes tea "), F.col("conv_id").cast("string"), F.lit(" | lane=open_threads, scope=space] [bookmark: topic=\"old house\", weight="), (F.col("turn") / 4).cast("string"), F.lit("]\n\n\n\nend"))).otherwise(F.lit("")))
 _CMDSQL = "cmd AS (SELECT conv_id, turn, text || CASE WHEN turn % 4 = 0 THEN ' [remember: likes tea ' || conv_id || ' | lane=open_threads, scope=space] [bookmark: topic=\"old house\", weight=' || CAST(turn / 4.0::DOUBLE AS VARCHAR) || ']' || chr(10) || chr(10) || chr(10) || chr(10) || 'end' ELSE '' END AS text FROM conversations)"
-_cmd = lambda s, d: B.table(s, d, "conversations").select("conv_id", "turn", _CMD.alias("text"))
+_cmd = lambda s, d: B.table(s, d, "conversations").select("conv_id", "turn", _cmd_text().alias("text"))
 Q["p2_remembers"] = lambda s, d: C.remembers(_cmd(s, d))
 SQL["p2_remembers"] = rf"WITH {_CMDSQL} SELECT conv_id, turn, trim(regexp_extract(text, '\[remember:\s*([^|\]]*)', 1)) AS content, 'open_threads' AS lane, 'chat' AS scope FROM cmd WHERE contains(text, '[remember:')"
 Q["p3_bookmarks"] = lambda s, d: C.bookmarks(_cmd(s, d))

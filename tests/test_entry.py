@@ -20,3 +20,12 @@ def test_without_training_text_operators(monkeypatch):
     names = entry.queries()
     assert "flagship_top_chunks" in names and not any(n.startswith("op") or n == "pipeline" for n in names)
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_names_are_known_without_a_session():
+    """The queries can be listed before Spark has started."""
+    import subprocess
+    from pathlib import Path
+
+    run = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, timeout=120)
+    assert run.returncode == 0, run.stderr
