@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convmem.llm.common import SPACES, documents
+from convmem.llm.common import SPACES, documents, trie_pattern
 
 #: Frequent function words of the languages that are expected.
 STOP_WORDS = {
@@ -70,8 +70,9 @@ def repeat_words(words: Column, width: int = 3) -> Column:
     """
 
     def count(w: Column) -> Column:
-        hashed = F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.struct(F.xxhash64(*[F.get(w, i + k) for k in range(width)]).alias("h"), i.alias("i")))
-        return let(F.sort_array(hashed), spread)
+        hashed = F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]))
+        # Most texts have no window twice: a set of hashes tells, and only the others are sorted.
+        return let(hashed, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), spread)))
 
     def spread(s: Column) -> Column:
         same = F.transform(F.sequence(F.lit(1), F.size(s) - 1), lambda k: F.when(F.get(s, k)["h"] == F.get(s, k - 1)["h"], F.array(F.get(s, k - 1)["i"], F.get(s, k)["i"])))
@@ -81,52 +82,57 @@ def repeat_words(words: Column, width: int = 3) -> Column:
     return F.when(F.size(words) > width, count(words)).otherwise(0).cast("bigint")
 
 
-def dup_lines(text: Column) -> Column:
-    """Lines with a word that equal an earlier line."""
-    lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORD))
-    return let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("bigint")
+def lines(text: Column) -> Column:
+    """How many lines have a word, and how many of them equal an earlier line."""
+    worded = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(f"[^{SPACES}]"))
+    return let(worded, lambda a: F.struct(F.size(a).cast("bigint").alias("n"), (F.size(a) - F.size(F.array_distinct(a))).cast("bigint").alias("dup")))
 
 
 def stop_words() -> list[str]:
     return sorted({w for words in STOP_WORDS.values() for w in words.split()})
 
 
-def base_measures(text: Column) -> dict[str, Column]:
-    """The counts that the result states."""
-    return {
-        "n_words": F.col("n_words"),
-        "word_chars": F.length(F.regexp_replace(text, f"[{SPACES}]+", "")).cast("bigint"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("bigint"),
-        "n_dup_lines": dup_lines(text),
-    }
-
-
 def _share(count: Column, of: Column) -> Column:
     return F.when(of > 0, count / of).otherwise(F.lit(0.0))
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
+def _without(text: Column, characters: str) -> Column:
+    """How many of the characters the text has."""
+    return F.length(text) - F.length(F.translate(text, characters, ""))
+
+
+def counts(text: Column) -> dict[str, Column]:
+    """What is counted in one pass over the text; the rest is made of these numbers."""
+    stop = f"(?:^|[{SPACES}])(?:{trie_pattern(stop_words(), whole=True)})(?=[{SPACES},.;:!?]|$)"
+    return {
+        "word_chars": F.length(F.regexp_replace(text, f"[{SPACES}]+", "")).cast("bigint"),
+        "n_symbols": _without(text, "#*$%&|<>").cast("bigint"),
+        "_bars": _without(text, "|"),
+        "_bangs": _without(text, "!"),
+        # Runs of other characters are fewer than letters, and capitals are few.
+        "_letters": F.length(F.regexp_replace(text, "[^\\p{L}]+", "")),
+        "_upper": F.length(text) - F.length(F.regexp_replace(text, "\\p{Lu}+", "")),
+        "_stop": F.regexp_count(F.lower(text), F.lit(stop)),
+        "_ellipses": F.when(F.contains(text, F.lit("...")) | F.contains(text, F.lit("…")), F.regexp_count(text, F.lit("(?m)(?:\\.\\.\\.|…)$"))).otherwise(0),
+        "_lines": lines(text),
+    }
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """What rules can name, over the base counts and the text."""
-    words = F.col("n_words")
-    lines = _count(text, f"(?m)^[^\\n]*[^{SPACES}][^\\n]*$")
-    letters = _count(text, "\\p{L}")
-    stop = _count(F.lower(text), f"(?<![^{SPACES}])(?:{'|'.join(stop_words())})(?![^{SPACES},.;:!?])")
+def measures() -> dict[str, Column]:
+    """What rules can name, over the counts."""
+    n, c = F.col("n_words"), F.col
     return {
-        "n_words": words,
-        "mean_word_chars": _share(F.col("word_chars"), words),
-        "symbols_per_word": _share(F.col("n_symbols"), words),
-        "bars_per_word": _share(_count(text, "\\|"), words),
-        "bangs_per_word": _share(_count(text, "!"), words),
-        "letter_share": _share(letters, F.col("word_chars")),
-        "upper_share": _share(_count(text, "\\p{Lu}"), letters),
-        "stop_word_share": _share(stop, words),
-        "dup_line_share": _share(F.col("n_dup_lines"), lines),
-        "repeat_word_share": _share(F.col("n_repeat_words"), words),
-        "ellipsis_line_share": _share(_count(text, "(?m)(?:\\.\\.\\.|…)$"), lines),
+        "n_words": n,
+        "mean_word_chars": _share(c("word_chars"), n),
+        "symbols_per_word": _share(c("n_symbols"), n),
+        "bars_per_word": _share(c("_bars"), n),
+        "bangs_per_word": _share(c("_bangs"), n),
+        "letter_share": _share(c("_letters"), c("word_chars")),
+        "upper_share": _share(c("_upper"), c("_letters")),
+        "stop_word_share": _share(c("_stop"), n),
+        "dup_line_share": _share(c("_lines.dup"), c("_lines.n")),
+        "repeat_word_share": _share(c("n_repeat_words"), n),
+        "ellipsis_line_share": _share(c("_ellipses"), c("_lines.n")),
     }
 
 
@@ -148,9 +154,9 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, with_measures: bool
     words = words_of(F.col("text"))
     counted = own.select("doc_id", "text", let(words, lambda w: F.struct(F.size(w).cast("bigint").alias("n"), repeat_words(w).alias("r"))).alias("c"))
     counted = counted.select("doc_id", "text", F.col("c.n").alias("n_words"), F.col("c.r").alias("n_repeat_words"))
-    base = base_measures(F.col("text"))
-    counted = counted.withColumns({k: c for k, c in base.items() if k != "n_words"})
-    found = measures(F.col("text"))
+    counted = counted.select("doc_id", "n_words", "n_repeat_words", *[c.alias(k) for k, c in counts(F.col("text")).items()])
+    counted = counted.withColumn("n_dup_lines", F.col("_lines.dup"))
+    found = measures()
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     more = [c.alias(k) for k, c in found.items() if k != "n_words"] if with_measures else []
     return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & verdict(rules, found)).alias("kept"), *more)
