@@ -13,7 +13,7 @@ place are a substitution apart; so equality of the keys with their roles is the
 Each block sends the earliest line for a key and role only; the others of the block have that
 one before them.
 
-Defined cases: null text is empty, which is one line without words; lines of under three words
+Defined cases: null text is empty, which is one line without words; lines without words
 are never removed; of rows that repeat an id those in earlier blocks come first; null ids are
 last; an empty table gives an empty result; other columns are ignored.
 """
@@ -123,12 +123,12 @@ def near_earlier(roles: list[np.ndarray], owners: list[np.ndarray], keys: list[n
     return np.split(out, np.cumsum([len(k) for k in keys])[:-1])
 
 
-def cleaned(docs: DataFrame, least: int = 3, fuzzy: int = 5) -> DataFrame:
+def cleaned(docs: DataFrame, least: int = 1, fuzzy: int = 5) -> DataFrame:
     """The input's rows and columns with the lines that stay as ``text``; null texts stay null."""
     return _applied(docs, least, fuzzy, whole_rows=True)
 
 
-def without_repeats(docs: DataFrame, least: int = 3, fuzzy: int = 5) -> DataFrame:
+def without_repeats(docs: DataFrame, least: int = 1, fuzzy: int = 5) -> DataFrame:
     """Counts and digest of the lines that stay of every document."""
     return _applied(docs, least, fuzzy, whole_rows=False)
 
