@@ -3,7 +3,8 @@
 Features are native expressions over the whole text: densities of lexicons, how near the second
 person stands to lexicon words, capitals, punctuation and obfuscation. Two lexicons are given;
 two more are learnt: word beginnings that labelled toxic rows have far more often than others,
-so that languages without a given lexicon are covered. Trees are fitted to a
+counted over all labelled rows outside the held-out fold, so that languages without a given
+lexicon are covered. Trees are fitted to a
 bounded sample of the labelled rows by MLlib, where Spark partitions the work; the scores of
 rows that the trees did not see are calibrated by an isotonic step function, which is applied as
 a native expression with the trees. Identifiers, labels, language and source are never features.
@@ -73,8 +74,8 @@ class Learnt:
     likely: tuple[str, ...] = ()
 
 
-def learnt(rows: DataFrame, lengths: tuple[int, ...] = (5, 7), most: int = 150) -> Learnt:
-    """From rows with ``text`` and ``toxic``: counts of documents for each word beginning, then the best ``most`` of each sort."""
+def learnt(rows: DataFrame, lengths: tuple[int, ...] = (5, 7)) -> Learnt:
+    """From rows with ``text`` and ``toxic``: counts of documents for each word beginning, then all of each sort that are over chance."""
     words = F.array_distinct(F.flatten(F.transform(F.array(*[F.lit(k) for k in lengths]), lambda k: F.transform(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}{4,}"), F.lit(0)), lambda w: F.substring(w, F.lit(1), k)))))
     toxic = F.col("toxic").cast("double")
     seen = rows.select(toxic.alias("t"), F.explode(words).alias("w")).groupBy("w").agg(F.sum("t").alias("yes"), F.sum(1 - F.col("t")).alias("no"))
@@ -85,11 +86,11 @@ def learnt(rows: DataFrame, lengths: tuple[int, ...] = (5, 7), most: int = 150)
     over = (F.col("yes") - share * (F.col("yes") + F.col("no"))) / F.sqrt((F.col("yes") + F.col("no")) * share * (1 - share))
     scored = seen.where("yes >= 4").select("w", rate.alias("rate"), over.alias("over"))
 
-    def best(where: Column) -> tuple[str, ...]:
-        return tuple(sorted(r["w"] for r in scored.where(where).orderBy(F.desc("over"), "w").limit(most).collect()))
+    def chosen(where: Column) -> tuple[str, ...]:
+        return tuple(sorted(r["w"] for r in scored.where(where).select("w").collect()))
 
     scored = checkpoint(scored.where((F.col("over") >= 6) & (F.col("rate") >= 2.5 * share)))
-    return Learnt(best(F.col("rate") >= 0.9), best(F.col("rate") < 0.9))
+    return Learnt(chosen(F.col("rate") >= 0.9), chosen(F.col("rate") < 0.9))
 
 
 def with_features(docs: DataFrame, known: Learnt) -> DataFrame:
@@ -211,7 +212,9 @@ def fit(learn: DataFrame, trees: int = 20, depth: int = 3) -> Model:
 def sampled(known: DataFrame, sample: int) -> DataFrame:
     """About ``sample`` of the labelled rows, chosen by hash: the same at every run, whatever the partitions."""
     n = known.count()
-    return known if n <= sample else known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(10)), F.lit(1 << 20)) < int(sample / n * (1 << 20)))
+    if n <= sample:
+        return F.broadcast(known)
+    return F.broadcast(checkpoint(known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(10)), F.lit(1 << 20)) < int(sample / n * (1 << 20)))))
 
 
 @dataclass(frozen=True)
@@ -226,11 +229,11 @@ class Scorer:
         return self.model.scored(with_features(docs, self.lexicon)).drop(*[f"_{k}" for k in FEATURES])
 
 
-def _known(labels: DataFrame, sample: int) -> DataFrame:
-    """(doc_id, toxic) of the labelled rows outside the held-out fold, a bounded sample of them."""
+def _known(labels: DataFrame, sample: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, toxic) of the labelled rows outside the held-out fold: all, and a bounded sample that the trees are fitted to."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold(F.col("doc_id")) != 0)
-    return F.broadcast(checkpoint(sampled(known, sample)))  # its size is bounded by ``sample``
+    known = checkpoint(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold(F.col("doc_id")) != 0))
+    return known, sampled(known, sample)
 
 
 def _lexicon(docs: DataFrame, known: DataFrame) -> Learnt:
@@ -244,16 +247,16 @@ def _featured(docs: DataFrame, lexicon: Learnt, *more: str) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     """What can be learnt from the labelled rows; the others are not looked at."""
-    known = _known(labels, sample)
+    known, some = _known(labels, sample)
     lexicon = _lexicon(docs, known)
-    return Scorer(lexicon, fit(_featured(documents(docs).join(known, "doc_id"), lexicon, "toxic")))
+    return Scorer(lexicon, fit(_featured(documents(docs).join(some, "doc_id"), lexicon, "toxic")))
 
 
 def scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document; labels are learnt from the rows outside the held-out fold only."""
-    known = _known(labels, sample)
+    known, some = _known(labels, sample)
     rows = checkpoint(_featured(documents(docs), _lexicon(docs, known)))  # one pass over the texts for learning and scoring
-    scored = fit(rows.join(known, "doc_id")).scored(rows)
+    scored = fit(rows.join(some, "doc_id")).scored(rows)
     held_out = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(True))
     return scored.select("doc_id", held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
 
