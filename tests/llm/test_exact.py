@@ -25,8 +25,7 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    rows = texts() + [(90, "a  b\n\n c <|endoftext|> don't\t"), (91, " lead"), (92, "trail ")]
+    rows = texts() + [(90, "a  b\n\n c <|endoftext|> don't\t"), (91, " lead"), (92, "trail "), (93, "x" + " " * 300_000 + "y"), (94, "<|endoftext|>"), (95, "a" * 3000)]
     got = [r.asDict() for r in packing.packed(frame(spark, rows), tokenizer_path("byte_bpe_50k.json"), 256, open_bins=8).collect()]
     want = Counter()
     for i, t in rows:
