@@ -21,7 +21,8 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +33,7 @@ from convmem.llm.common import bounded_batches, documents
 SPACE = "▁"
 #: Words whose ids a worker remembers, at most, and pairs of pieces.
 REMEMBERED = 600_000
-#: Characters between two looks for a boundary that all paths share.
+#: Characters between two looks for a boundary that all paths share; words of no more are remembered.
 _LOOK = 64
 
 
@@ -51,20 +52,28 @@ class Vocabulary:
         self.worst = min(self.score.values(), default=0.0) - 10.0  # the library's penalty for a character without a piece
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(map(len, self.ids))
-        # The lengths that pieces with a given last character have.
-        self.lengths: dict[str, list[int]] = {}
-        for piece in self.ids:
-            self.lengths.setdefault(piece[-1], []).append(len(piece))
-        self.lengths = {c: sorted(set(n), reverse=True) for c, n in self.lengths.items()}
+        self.rank = {p: -self.score[i] for p, i in self.ids.items()}
+        self.parts: dict[str, tuple[str, str] | None] = {}
+        self.pieces = {i: p for p, i in self.ids.items()}
+        # Pieces that a search may use: of a BPE model those that their own text is merged to.
+        self.usable = self.ids if unigram else {p: i for p, i in self.ids.items() if self.is_own(p)}
+        # The lengths that usable pieces with a given ending of three characters have, longest first.
+        ends: dict[str, set[int]] = {}
+        for piece in self.usable:
+            if len(piece) >= 3:
+                ends.setdefault(piece[-3:], {1, 2}).add(len(piece))
+        self.sizes = {e: tuple(sorted(n, reverse=True)) for e, n in ends.items()}
         # No piece goes on with a space after another character, so words can be encoded apart.
         apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         odd = "\n" not in "".join(self.ids)
         self.split = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if apart and odd else "(?s).+").findall
-        self.joined: dict[tuple[str, str], bool] = {}
-        self.rank = {p: -self.score[i] for p, i in self.ids.items()}
-        self.parts: dict[str, tuple[str, str] | None] = {}
+        self.joined: dict[int, bool] = {}
         # For decoding.
-        self.text = {i: p.replace(SPACE, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in enumerate(self.bytes)}
+        self.text = [b""] * size
+        for p, i in self.ids.items():
+            self.text[i] = p.replace(SPACE, " ").encode()
+        for b, i in enumerate(self.bytes):
+            self.text[i] = bytes([b])
 
     # The rule of a BPE model -------------------------------------------------------------------
 
@@ -90,19 +99,16 @@ class Vocabulary:
         """Whether a piece's own text is merged to that piece."""
         return len(piece) == 1 or self._last_merge(piece) is not None
 
-    def stays_apart(self, left: str, right: str) -> bool:
-        """Whether no merge would have joined two pieces across the boundary between them.
+    def stays_apart(self, left: int, right: int) -> bool:
+        """Whether no merge would have joined two pieces, given by id, across the boundary between them.
 
         The merges that made them are undone from the last one back: before each, what then stood
         on either side of the boundary must not have had an earlier merge; of equal ones the left
         goes first.
         """
-        key = (left, right)
-        known = self.joined.get(key)
-        if known is None:
-            if len(self.joined) > REMEMBERED:
-                self.joined.clear()
-            known = self.joined[key] = self._apart(left, right)
+        if len(self.joined) > REMEMBERED:
+            self.joined.clear()
+        known = self.joined[left << 32 | right] = self._apart(self.pieces[left], self.pieces[right])
         return known
 
     def _apart(self, left: str, right: str) -> bool:
@@ -121,59 +127,107 @@ class Vocabulary:
                 bound, closed, right = b, True, self._last_merge(right)[0]
 
 
+#: Instead of a piece's id: a character without a piece, and the beginning of the text.
+_BYTES, _START = -1, -2
+
+
+class Search:
+    """The best way to reach each boundary of a text, from ``base`` on: where its last piece starts, the piece, the score.
+
+    What is known of a boundary depends on the text before it only, so texts that begin alike
+    share it.
+    """
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        self.base = 0
+        self.start, self.piece, self.score = [0], [_START], [0.0]
+
+    def extend(self, text: str, last: int) -> None:
+        """All boundaries up to ``last``."""
+        (self._unigram if self.v.unigram else self._bpe)(text, last)
+
+    def _bpe(self, text: str, last: int) -> None:
+        v, start, piece, base = self.v, self.start, self.piece, self.base
+        usable, sizes, joined, apart = v.usable, v.sizes, v.joined, v.stays_apart
+        for i in range(base + len(start), last + 1):
+            for size in sizes.get(text[i - 3 : i], (2, 1)) if i >= 3 else (2, 1):
+                j = i - size
+                if j < base:
+                    continue
+                found = usable.get(text[j:i])
+                if found is None:
+                    continue
+                left = piece[j - base]
+                if left >= 0:
+                    ok = joined.get(left << 32 | found)
+                    if not (apart(left, found) if ok is None else ok):
+                        continue
+                start.append(j)
+                piece.append(found)
+                break
+            else:  # a character without a piece
+                start.append(i - 1)
+                piece.append(_BYTES)
+
+    def _unigram(self, text: str, last: int) -> None:
+        v, base = self.v, self.base
+        for i in range(base + len(self.start), last + 1):
+            best = None
+            for size in v.sizes.get(text[i - 3 : i], (2, 1)) if i >= 3 else (2, 1):
+                j = i - size
+                found = v.usable.get(text[j:i]) if j >= base else None
+                if found is not None:
+                    total = self.score[j - base] + v.score[found]
+                    if best is None or total > best[2]:
+                        best = (j, found, total)
+            worst = self.score[i - 1 - base] + v.worst
+            if text[i - 1] not in v.ids and (best is None or worst > best[2]):
+                best = (i - 1, _BYTES, worst)
+            for held, new in zip((self.start, self.piece, self.score), best, strict=True):
+                held.append(new)
+
+    def cut(self, length: int) -> None:
+        """Forget the boundaries after a text's first ``length`` characters."""
+        del self.start[length + 1 :], self.piece[length + 1 :], self.score[length + 1 :]
+
+    def shared(self, last: int, whole: bool) -> int:
+        """The last boundary that all paths run through which can still be extended; at the end of the text there is one path."""
+        live = {last} if whole else set(range(max(self.base, last - self.v.longest + 1), last + 1))
+        while len(live) > 1:
+            top = max(live)
+            live.remove(top)
+            live.add(self.start[top - self.base])
+        return live.pop()
+
+    def ids(self, text: str, to: int) -> list[int]:
+        """The ids on the way from ``base`` to a boundary."""
+        runs: list[list[int]] = []
+        while to > self.base:
+            at, found = self.start[to - self.base], self.piece[to - self.base]
+            runs.append([found] if found >= 0 else [self.v.bytes[b] for b in text[at:to].encode()])
+            to = at
+        return [i for run in reversed(runs) for i in run]
+
+    def commit(self, to: int) -> None:
+        """What lies before a boundary is final: of it only the boundary's last piece and score are kept."""
+        for held in (self.start, self.piece, self.score):
+            del held[: to - self.base]
+        self.base = to
+
+
 def viterbi(text: str, v: Vocabulary) -> Iterator[list[int]]:
     """The ids of a text in runs, each committed as soon as it is final."""
-    # For each live boundary: where its last piece starts, the piece, and the score of the path.
-    back: dict[int, tuple[int, str | None, float]] = {0: (0, None, 0.0)}
-    done = 0
-    n = len(text)
-    known, score, unigram, lengths = v.ids, v.score, v.unigram, v.lengths
-    worst = v.worst
-    for i in range(1, n + 1):
-        best: tuple[int, str | None, float] | None = None
-        for size in lengths.get(text[i - 1], ()):
-            j = i - size
-            if j < done:
-                continue
-            piece = text[j:i]
-            if piece not in known:
-                continue
-            before = back[j]
-            if unigram:
-                total = before[2] + score[known[piece]]
-                if best is None or total > best[2]:
-                    best = (j, piece, total)
-            elif (size == 1 or v.is_own(piece)) and (before[1] is None or v.stays_apart(before[1], piece)):
-                best = (j, piece, 0.0)
-                break
-        if i - 1 >= done and text[i - 1] not in known and (best is None or (unigram and back[i - 1][2] + worst > best[2])):
-            best = (i - 1, None, back[i - 1][2] + worst)  # a character without a piece
-        back[i] = best
-        if i % _LOOK == 0 or i == n:
-            # Paths that can still be extended end within the longest piece's reach; at the end, one.
-            live = {i} if i == n else set(range(max(done, i - v.longest + 1), i + 1))
-            while len(live) > 1:
-                last = max(live)
-                live.remove(last)
-                live.add(back[last][0])
-            (shared,) = live
-            if shared > done:
-                yield _ids(text, back, done, shared, v)
-                for k in range(done, shared):
-                    del back[k]
-                done = shared
-                # What was before the shared boundary only matters through its last piece.
-                back[done] = (done, back[done][1], back[done][2])
-
-
-def _ids(text: str, back: dict, first: int, last: int, v: Vocabulary) -> list[int]:
-    runs: list[list[int]] = []
-    at = last
-    while at > first:
-        start, piece, _ = back[at]
-        runs.append([v.ids[piece]] if piece is not None else [v.bytes[b] for b in text[start:at].encode()])
-        at = start
-    return [i for run in reversed(runs) for i in run]
+    search, n = Search(v), len(text)
+    for last in range(min(_LOOK, n), n + _LOOK, _LOOK):
+        last = min(last, n)
+        search.extend(text, last)
+        to = search.shared(last, last == n)
+        if to > search.base:
+            yield search.ids(text, to)
+            search.commit(to)
+        if last == n:
+            return
 
 
 class Coder:
@@ -183,39 +237,56 @@ class Coder:
         self.v = Vocabulary(path, unigram)
         self.known: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if not text:
-            return b""
-        out = []
+    def learn(self, words: Iterable[str]) -> None:
+        """Remember the ids of short words. In order, so that a word goes on from what the one before shares with it."""
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        search, before = Search(self.v), ""
+        for word in sorted(words):
+            same = 0
+            for a, b in zip(word, before, strict=False):
+                if a != b:
+                    break
+                same += 1
+            search.cut(same)
+            search.extend(word, len(word))
+            self.known[word] = array("I", search.ids(word, len(word))).tobytes()
+            before = word
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        split = [self.v.split((SPACE + t).replace(" ", SPACE)) if t else [] for t in texts]
         known = self.known
-        for word in self.v.split((SPACE + text).replace(" ", SPACE)):
-            ids = known.get(word)
-            if ids is None:
-                ids = array("I", [i for run in viterbi(word, self.v) for i in run]).tobytes()
-                if len(word) <= 64:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        new = {w for words in split for w in words if w not in known and len(w) <= _LOOK}
+        self.learn(new)
+        return [b"".join([known[w] if len(w) <= _LOOK and w in known else self._long(w) for w in words]) for words in split]
+
+    def _long(self, word: str) -> bytes:
+        return array("I", [i for run in viterbi(word, self.v) for i in run]).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids, without the leading space that encoding put there."""
-        numbers = array("I", ids)
-        text = self.v.text
-        data = b"".join([text.get(i, b"") for i in numbers])
+        data = b"".join(map(self.v.text.__getitem__, array("I", ids)))
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=2)
+def coder_of(path: str, unigram: bool = False) -> Coder:
+    """One for each model and worker, whatever the number of its tasks."""
+    return Coder(path, unigram)
+
+
 def encoded(docs: DataFrame, path: str, unigram: bool = False) -> DataFrame:
     """(doc_id, ids): little-endian unsigned 32-bit ids of every text."""
     bounded_batches(docs.sparkSession)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(path, unigram)
+        coder = coder_of(path, unigram)
         for batch in source:
-            ids = [coder.encode(t or "") for t in batch.column("text").to_pylist()]
+            ids = coder.encode_all([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return documents(docs).mapInArrow(run, "doc_id bigint, ids binary")
@@ -226,7 +297,7 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
     bounded_batches(rows.sparkSession)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(path)
+        coder = coder_of(path)
         for batch in source:
             texts = [coder.decode(i or b"") for i in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -239,12 +310,11 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(path)
+        coder = coder_of(path)
         for batch in source:
             n, crc, back, same = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                text = text or ""
-                ids = coder.encode(text)
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for text, ids in zip(texts, coder.encode_all(texts), strict=True):
                 again = coder.decode(ids)
                 n.append(len(ids) // 4)
                 crc.append(zlib.crc32(ids))
