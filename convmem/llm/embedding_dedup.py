@@ -1,33 +1,33 @@
 """Near-duplicate embeddings: navigable small-world graphs per shard, exact cosine, components.
 
-Equal vectors are one row first, with the number of their copies. The distinct ones are dealt to
-shards by hash; a task builds a hierarchical navigable small-world graph of its shard and then
-searches it for every distinct vector of the whole table, in batches. A search is a beam over
-the graph: it is widened until its worst member lies below the threshold, so that a vector with
-thousands of partners finds them all, and an audit of sampled queries against the whole shard
-widens the beam further until the recall is right, at the last by comparing with all rows.
-Every reported pair's cosine is computed in double precision from the vectors as given.
+Equal vectors are one row first, with the number of their copies. The distinct ones of a length
+are dealt to shards by hash. A task builds a hierarchical navigable small-world graph of one
+shard, once; the graphs are written to the shared folder. Then every shard is queried by every
+vector: a task gets one graph and one bounded block of queries. A search is a beam over the
+graph: it is widened until its worst member lies below the threshold, so that a vector with
+thousands of partners finds them all, and an audit of a block's queries against the whole shard
+widens the beam further until the recall is right. Every reported pair's cosine is computed in
+double precision from the vectors as given, scaled by powers of two, which changes no digit.
 
 A task hands back, for every vector, how many rows it is linked to, and a spanning forest of
-the links, not the links. Shards hold a bounded number of vectors (``shard_rows``).
+the links, not the links. Graphs and blocks hold a bounded number of bytes, whatever the table.
 
-Defined cases: vectors that are null, zero or hold null or non-finite components link with
-nothing, not even their copies; of vectors with different lengths only those of the most
-frequent length link; repeated ids count as one more copy; an empty table gives an empty result;
+Defined cases: vectors that are null, zero or hold null or non-finite components, and rows
+without an id, link with nothing, not even their copies; vectors of different lengths do not
+link with each other; repeated ids count as one more copy; an empty table gives an empty result;
 other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convmem.llm.common import bounded_batches, checkpoint
+from convmem.llm.common import checkpoint
 from convmem.llm.components import components
 
 
@@ -163,7 +163,7 @@ class Graph:
         order = np.argsort(-near, axis=1, kind="stable")
         return np.take_along_axis(at, order, 1), np.take_along_axis(near, order, 1)
 
-    def search(self, queries: np.ndarray, beam: int, least: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, beam: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         """(query, vector) pairs that are within the threshold by the beam; beams that are full of such are widened."""
         queries = queries.astype(np.float32)
         found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -171,16 +171,12 @@ class Graph:
         entry = self._enter(queries, 0)
         n = len(self.unit)
         while len(todo):
-            if 16 * beam >= min(most, n):  # about as wide as the shard: every vector is a member
-                near = queries[todo] @ self.unit.T
-                q, v = np.nonzero(near >= least)
-                found.append((todo[q], v))
-                break
+            beam = min(beam, n)
             at, near = self._beam(queries[todo], self.unit[self.members[0]], self.links[0], entry[todo], beam)
-            wide = near[:, -1] >= least
+            wide = (near[:, -1] >= least) & (beam < n)
             q, b = np.nonzero((near >= least) & ~wide[:, None])
             found.append((todo[q], self.members[0][at[q, b]]))
-            todo, beam = todo[wide], 8 * beam
+            todo, beam = todo[wide], 4 * beam
         return np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64), np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
 
 
@@ -204,84 +200,101 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
 
 
 _FOUND = "id bigint, other bigint, links bigint"
+_KEY = ["dim", "shard", "asked"]
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """A fixed-length list column as rows of doubles."""
+    """A list column of one length as rows of doubles, each scaled by a power of two so that its greatest component lies between a half and one."""
     flat = column.combine_chunks()
     flat = flat if isinstance(flat, pa.Array) else flat.chunk(0)
-    return np.asarray(flat.flatten(), np.float64).reshape(len(flat), -1) if len(flat) else np.zeros((0, 1))
-
-
-def linked(vectors: DataFrame, threshold: float, shard_rows: int, recall: float, queries_at_once: int = 256) -> DataFrame:
-    """From distinct vectors (id, vector, copies): (id, null, links) per shard and (id, other, null), a forest of the links."""
-    spark = vectors.sparkSession
-    n = vectors.count()
-    shards = max(8, -(-n // shard_rows))
-
-    own = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    asked = vectors.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def run(shard: pa.Table, queries: pa.Table) -> pa.Table:
-        out_id: list[np.ndarray] = []
-        out_links: list[np.ndarray] = []
-        edges: list[tuple[np.ndarray, np.ndarray]] = []
-        if shard.num_rows and queries.num_rows:
-            ids, copies = shard.column("id").to_numpy(), shard.column("copies").to_numpy()
-            raw = _matrix(shard.column("vector"))
-            norm = np.sqrt(np.einsum("ij,ij->i", raw, raw))
-            graph = Graph(raw / norm[:, None])
-            qids = queries.column("id").to_numpy()
-            beam, checked = 12, False
-            qraw_all = queries.column("vector")
-            for start in range(0, len(qids), queries_at_once):
-                qraw = _matrix(qraw_all.slice(start, queries_at_once))
-                qnorm = np.sqrt(np.einsum("ij,ij->i", qraw, qraw))
-                unit = qraw / qnorm[:, None]
-                # Single precision may miss by a little: what is near the threshold is computed in double.
-                floor = threshold - 1e-5
-                while True:
-                    q, v = graph.search(unit, beam, floor, len(ids))
-                    if checked:
-                        break
-                    whole = (unit.astype(np.float32) @ graph.unit.T >= floor).sum()
-                    if len(q) >= recall * whole or beam >= len(ids):
-                        checked = True
-                        break
-                    beam *= 2  # the audit failed: wider beams for this shard from here on
-                checked = (start // queries_at_once) % 16 != 15  # audit again now and then
-                cosine = np.einsum("ij,ij->i", qraw[q], raw[v]) / (qnorm[q] * norm[v])
-                mine = qids[start : start + queries_at_once]
-                keep = (cosine >= threshold) & (mine[q] != ids[v])
-                q, v = q[keep], v[keep]
-                out_id.append(mine)
-                out_links.append(np.bincount(q, weights=copies[v], minlength=len(mine)).astype(np.int64))
-                edges.append((mine[q], ids[v]))
-        counts = pa.table({"id": pa.array(np.concatenate(out_id) if out_id else [], pa.int64()), "other": pa.nulls(sum(map(len, out_id)), pa.int64()), "links": pa.array(np.concatenate(out_links) if out_links else [], pa.int64())})
-        a = np.concatenate([e[0] for e in edges]) if edges else np.zeros(0, np.int64)
-        b = np.concatenate([e[1] for e in edges]) if edges else np.zeros(0, np.int64)
+    if not len(flat):
+        return np.zeros((0, 1))
+    rows = np.asarray(flat.flatten(), np.float64).reshape(len(flat), -1)
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1))[1][:, None])
+
+
+def build(shard: pa.Table) -> pa.Table:
+    """One row: a shard's graph with its vectors, ids and copies."""
+    raw = _matrix(shard.column("vector"))
+    norm = np.sqrt(np.einsum("ij,ij->i", raw, raw))
+    graph = Graph(raw / norm[:, None])
+    blob = pickle.dumps((shard.column("id").to_numpy(), shard.column("copies").to_numpy(), raw, norm, graph))
+    return pa.table({**{c: shard.column(c)[:1] for c in ("dim", "shard", "blocks")}, "graph": pa.array([blob], pa.binary())})
+
+
+def _links_of(graph_row: pa.Table, queries: pa.Table, threshold: float, recall: float, at_once: int) -> pa.Table:
+    """What one block of queries finds in one shard: (id, null, links) and (id, other, null), a forest."""
+    ids, copies, raw, norm, graph = pickle.loads(graph_row.column("graph")[0].as_py())
+    qids, column = queries.column("id").to_numpy(), queries.column("vector")
+    # Single precision may miss by a little: what is near the threshold is computed in double.
+    floor = threshold - 1e-5
+    beam, exact, counts, edges = 12, False, [], []
+    for number, start in enumerate(range(0, len(qids), at_once)):
+        mine, qraw = qids[start : start + at_once], _matrix(column.slice(start, at_once))
+        qnorm = np.sqrt(np.einsum("ij,ij->i", qraw, qraw))
+        unit = (qraw / qnorm[:, None]).astype(np.float32)
+        audited = exact or number % 16 > 0
+        while True:
+            q, v = np.nonzero(unit @ graph.unit.T >= floor) if exact else graph.search(unit, beam, floor)
+            if audited or len(q) >= recall * int((unit @ graph.unit.T >= floor).sum()):
+                break
+            # The audit failed: wider beams from here on; after the widest, a graph that cannot be walked is compared whole.
+            exact, beam = beam >= len(ids), 2 * beam
+            audited = exact
+        cosine = np.einsum("ij,ij->i", qraw[q], raw[v]) / (qnorm[q] * norm[v])
+        keep = (cosine >= threshold) & (mine[q] != ids[v])
+        q, v = q[keep], v[keep]
+        counts.append(np.bincount(q, weights=copies[v], minlength=len(mine)).astype(np.int64))
+        # Of a block's links only a forest is kept.
+        a, b = np.concatenate([mine[q], *[e[0] for e in edges]]), np.concatenate([ids[v], *[e[1] for e in edges]])
         every, where = np.unique(np.concatenate([a, b]), return_inverse=True)
-        keep = _forest(len(every), where[: len(a)], where[len(a) :])
-        forest = pa.table({"id": pa.array(a[keep], pa.int64()), "other": pa.array(b[keep], pa.int64()), "links": pa.nulls(len(keep), pa.int64())})
-        return pa.concat_tables([counts.filter(pa.compute.greater(counts["links"], 0)), forest])
-
-    columns = ("shard", "id", "vector", "copies")
-    bounded_batches(spark)
-    return own.select(*columns).groupBy("shard").cogroup(asked.select(*columns).groupBy("shard")).applyInArrow(run, _FOUND)
-
-
-def near_duplicates(table: DataFrame, threshold: float = 0.9, shard_rows: int = 100_000, recall: float = 0.98) -> DataFrame:
+        some = _forest(len(every), where[: len(a)], where[len(a) :])
+        edges = [(a[some], b[some])]
+    links = np.concatenate(counts)
+    some = np.flatnonzero(links)
+    a, b = edges[0]
+    return pa.table(
+        {
+            "id": pa.array(np.concatenate([qids[some], a]), pa.int64()),
+            "other": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(b, pa.int64())]),
+            "links": pa.concat_arrays([pa.array(links[some], pa.int64()), pa.nulls(len(a), pa.int64())]),
+        }
+    )
+
+
+def linked(vectors: DataFrame, threshold: float, shard_bytes: int, block_bytes: int, recall: float, queries_at_once: int = 256) -> DataFrame:
+    """From distinct vectors (id, vector, copies): (id, null, links) per shard and block, and (id, other, null), a forest of the links."""
+    sized = vectors.withColumn("dim", F.size("vector"))
+    bytes_of = F.col("n") * F.col("dim") * 8
+    dealt = sized.groupBy("dim").agg(F.count("*").alias("n"))
+    dealt = dealt.select("dim", F.greatest(F.lit(4), F.ceil(bytes_of / shard_bytes)).cast("int").alias("shards"), F.greatest(F.lit(4), F.ceil(bytes_of / block_bytes)).cast("int").alias("blocks"))
+    rows = checkpoint(sized.join(dealt, "dim"))
+    own = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
+    columns = ["dim", "shard", "blocks", "id", "vector", "copies"]
+    graphs = checkpoint(own.select(*columns).groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, blocks int, graph binary"))
+    graphs = graphs.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("asked"), "graph")
+    queries = rows.select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int").alias("asked"), "id", "vector")
+
+    def run(graph: pa.Table, block: pa.Table) -> pa.Table:
+        if graph.num_rows and block.num_rows:
+            return _links_of(graph, block, threshold, recall, queries_at_once)
+        return pa.table({c: pa.array([], pa.int64()) for c in ("id", "other", "links")})
+
+    return graphs.groupBy(*_KEY).cogroup(queries.groupBy(*_KEY)).applyInArrow(run, _FOUND)
+
+
+def near_duplicates(table: DataFrame, threshold: float = 0.9, shard_bytes: int = 64 << 20, block_bytes: int = 8 << 20, recall: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
-    rows = table.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    # Single-precision components are sent as such.
+    kind = "array<float>" if table.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = table.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast(kind).alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    good = F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)
-    # Adding 0.0 makes the two zeros one, so that equal vectors have equal bytes.
-    rows = rows.select("vec_id", F.when(good, F.transform("v", lambda x: x + F.lit(0.0))).alias("v"))
+    good = F.col("v").isNotNull() & F.col("vec_id").isNotNull() & finite & F.exists("v", lambda x: x != 0)
+    # Adding zero makes the two zeros one, so that equal vectors have equal bytes.
+    rows = rows.select("vec_id", F.when(good, F.transform("v", lambda x: x + F.lit(0).cast(kind[6:-1]))).alias("v"))
     rows = checkpoint(rows.withColumn("h", F.when(F.col("v").isNotNull(), F.xxhash64("v"))))
-    sizes = rows.where("v is not null").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    usable = rows.where(F.size("v") == (sizes["n"] if sizes else 0))
-    classes = checkpoint(usable.groupBy("h", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
-    found = checkpoint(linked(classes.select("id", F.col("v").alias("vector"), "copies"), threshold, shard_rows, recall))
+    classes = checkpoint(rows.where("v is not null").groupBy("h", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
+    found = checkpoint(linked(classes.select("id", F.col("v").alias("vector"), "copies"), threshold, shard_bytes, block_bytes, recall))
     links = found.where("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     done = classes.join(links, "id", "left").join(roots.select(F.col("node").alias("id"), "component"), "id", "left")
@@ -289,4 +302,4 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, shard_rows: int =
     # A vector with many copies is a skewed key: a sort-merge join, which adaptive execution splits.
     joined = rows.join(done.hint("merge"), (rows.h == done.h) & (rows.v == done.w), "left")
     out = joined.select("vec_id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
