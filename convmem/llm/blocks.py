@@ -17,12 +17,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from convmem.llm.common import BATCH_BYTES, bounded_batches, checkpoint, checkpoint_dealt, documents, shuffle_partitions, task_number
+from convmem.llm.common import BATCH_BYTES, checkpoint, checkpoint_dealt, documents, rebatched, shuffle_partitions, task_number
 
 #: Owner of an entry whose document has no id: later than all others.
 NO_ID = np.iinfo(np.int64).max
@@ -30,7 +31,7 @@ ASKED = "level int, bucket int, block long, entries int, payload binary"
 ANSWERS = "block long, level int, bucket int, entries int, bits binary"
 _ANSWER = pa.schema([("block", pa.int64()), ("level", pa.int32()), ("bucket", pa.int32()), ("entries", pa.int32()), ("bits", pa.binary())])
 _ASK = pa.schema([("level", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("entries", pa.int32()), ("payload", pa.binary())])
-_BLOB = pa.schema([("block", pa.int64()), ("blob", pa.binary())])
+_BLOB = pa.schema([("block", pa.int64()), ("bytes", pa.int64()), ("blob", pa.binary())])
 
 
 def blocks(docs: DataFrame, size: int = BATCH_BYTES, more: bool = False) -> DataFrame:
@@ -38,23 +39,21 @@ def blocks(docs: DataFrame, size: int = BATCH_BYTES, more: bool = False) -> Data
 
     With ``more`` a block also holds the other columns of ``docs``.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark, size)
 
     def pack(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = task_number() << 32
-        for batch in source:
-            if batch.num_rows:
-                table = pa.Table.from_batches([batch]).sort_by("doc_id")
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                    writer.write_table(table.combine_chunks())
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=_BLOB)
-                number += 1
+        for batch in rebatched(source, size):
+            table = pa.Table.from_batches([batch]).sort_by("doc_id")
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(table.combine_chunks())
+            held = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([held], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=_BLOB)
+            number += 1
 
     others = [c for c in docs.columns if c not in ("doc_id", "text")] if more else []
-    packed = documents(docs, *others).mapInArrow(pack, "block long, blob binary")
-    return checkpoint_dealt(packed, shuffle_partitions(spark), "block")
+    packed = documents(docs, *others).mapInArrow(pack, "block long, bytes long, blob binary")
+    return checkpoint_dealt(packed, shuffle_partitions(docs.sparkSession), "block")
 
 
 class Block:
@@ -83,9 +82,28 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def bucket_of(prints: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each 64-bit fingerprint, by its upper half."""
+    return ((prints >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def runs(buckets: np.ndarray) -> dict[int, tuple[int, int]]:
+    """Where each bucket's entries lie in an array that is in bucket order."""
+    if not len(buckets):
+        return {}
+    start = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
+    return {int(k): (int(a), int(b)) for k, a, b in zip(buckets[start], start, np.append(start[1:], len(buckets)), strict=True)}
+
+
 # What a block asks -----------------------------------------------------------------------------
 
 
+def asked_rows(block: int, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (level, bucket, entries, payload) of a block."""
+    levels, buckets, entries, payloads = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(levels, pa.int32()), pa.array(buckets, pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array(entries, pa.int32()), pa.array(payloads, pa.binary())], schema=_ASK)
+
+
 class Entries:
     """Distinct fingerprints of one block in the order of (bucket, fingerprint)."""
 
@@ -110,32 +128,29 @@ class Entries:
             self.of[order] = np.cumsum(start) - 1
             dealt = self.heads
         # The bucket is a monotone function of what is dealt by, so entries in its order are in bucket order.
-        edges = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
-        self.bounds = np.concatenate([[0], np.searchsorted(dealt, edges), [len(dealt)]])
+        self.runs = runs(bucket_of(dealt, buckets))
 
     def asked(self, block: int, owners: np.ndarray | None = None, short: bool = False, level: int = 0) -> pa.RecordBatch:
         """A row for each bucket: the fingerprints, the owners of the entries and their heads, packed."""
         more = (self.buckets - 1).bit_length()
         rows: list[tuple] = []
-        for bucket in range(self.buckets):
-            a, b = self.bounds[bucket], self.bounds[bucket + 1]
-            if a < b:
-                values = self.values[a:b]
-                payload = _packed_owners(values.astype(np.int64)) if self.small else _packed_values(values, SHORT_BITS + more if short else 64)
-                if owners is not None:
-                    payload += _packed_owners(owners[a:b])
-                if self.heads is not None:
-                    payload += _packed_values(self.heads[a:b], 64 if self.small else HEAD_BITS + more)
-                rows.append((level, bucket, block, int(b - a), payload))
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(_ASK)], schema=_ASK)
+        for bucket, (a, b) in self.runs.items():
+            values = self.values[a:b]
+            payload = _packed_owners(values.astype(np.int64)) if self.small else _packed_values(values, SHORT_BITS + more if short else 64)
+            if owners is not None:
+                payload += _packed_owners(owners[a:b])
+            if self.heads is not None:
+                payload += _packed_values(self.heads[a:b], 64)
+            rows.append((level, bucket, b - a, payload))
+        return asked_rows(block, rows)
 
     def answered(self, answers: pa.Table, level: int) -> np.ndarray:
         """The answer to each entry; entries of buckets that sent nothing are 0."""
         out = np.zeros(len(self.values), np.uint8)
         for of, bucket, n, bits in zip(*(answers.column(c).to_pylist() for c in ("level", "bucket", "entries", "bits")), strict=True):
             if of == level:
-                a = self.bounds[bucket]
-                out[a : a + n] = _unpacked_bits(bits, n)
+                a = self.runs[bucket][0]
+                out[a : a + n] = unpacked_bits(bits, n)
         return out
 
 
@@ -152,8 +167,6 @@ def _packed_values(values: np.ndarray, bits: int) -> bytes:
 #: Bits of a short fingerprint besides those that choose the bucket. With a few million fingerprints in
 #: a bucket, some in a hundred meet a different one by chance; they are told apart at the next level.
 SHORT_BITS = 26
-#: Bits of a head besides those that choose the bucket.
-HEAD_BITS = 34
 
 
 def _unpacked_values(payload: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
@@ -190,7 +203,7 @@ def _packed_bits(answers: np.ndarray) -> bytes:
     return b"\x01" + np.packbits(answers).tobytes() if answers.max() <= 1 else b"\x02" + np.packbits(np.stack([answers & 1, answers >> 1], 1)).tobytes()
 
 
-def _unpacked_bits(bits: bytes, n: int) -> np.ndarray:
+def unpacked_bits(bits: bytes, n: int) -> np.ndarray:
     if not bits:
         return np.zeros(n, np.uint8)
     if bits[0] == 1:
@@ -223,10 +236,28 @@ def smaller_owner(values: list[np.ndarray], owners: list[np.ndarray], heads: lis
     return _split(out, values)
 
 
+def ranked(owners: list[np.ndarray]) -> list[np.ndarray]:
+    """Owners as ranks by (owner, block): of equal owners the earlier block's is less."""
+    every = np.unique(np.concatenate(owners))
+    return [np.searchsorted(every, o) * len(owners) + i for i, o in enumerate(owners)]
+
+
+def earlier(values: list[np.ndarray], owners: list[np.ndarray], heads: list[np.ndarray]) -> list[np.ndarray]:
+    """1 for a fingerprint that an earlier document has in another block."""
+    return smaller_owner(values, ranked(owners), heads)
+
+
 def _split(answers: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
     return np.split(answers, np.cumsum([len(v) for v in like])[:-1])
 
 
+def answer_rows(table: pa.Table, level: int, decided: list[np.ndarray]) -> pa.Table:
+    """What a bucket sends back to the blocks whose rows it got; nothing where all answers are 0."""
+    bits = [_packed_bits(a) for a in decided]
+    out = [table.column("block"), pa.array([level] * table.num_rows, pa.int32()), table.column("bucket"), table.column("entries"), pa.array(bits, pa.binary())]
+    return pa.Table.from_arrays(out, schema=_ANSWER).filter(pa.array([bool(b) for b in bits]))
+
+
 def ask(asked: DataFrame, level: int, decide: Decide, with_owners: bool = False, with_heads: bool = False) -> DataFrame:
     """Answers to what the blocks asked, in rows that a block finds by its number."""
 
@@ -242,11 +273,7 @@ def ask(asked: DataFrame, level: int, decide: Decide, with_owners: bool = False,
                 owners.append(found)
             if with_heads:
                 heads.append(_unpacked_values(payload, at, n)[0])
-        bits = [_packed_bits(a) for a in decide(values, owners, heads)]
-        some = pa.array([bool(b) for b in bits])
-        n = table.num_rows
-        out = [table.column("block"), pa.array([level] * n, pa.int32()), table.column("bucket"), table.column("entries"), pa.array(bits, pa.binary())]
-        return pa.Table.from_arrays(out, schema=_ANSWER).filter(some)
+        return answer_rows(table, level, decide(values, owners, heads))
 
     return asked.where(F.col("level").isin(0, level)).groupBy("bucket").applyInArrow(bucket, ANSWERS)
 
@@ -273,9 +300,17 @@ def each_answered(stored: DataFrame, answers: DataFrame, run: Callable[[Block, p
     return stored.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(every, schema)
 
 
+#: Bytes of text whose fingerprints a bucket gets, about: bounds what one call holds.
+BUCKET_BYTES = 32 << 20
+
+
 def buckets_for(stored: DataFrame) -> int:
-    """One bucket for each shuffle partition, which a cluster sets in proportion to its data."""
-    return shuffle_partitions(stored.sparkSession)
+    """Buckets in proportion to the bytes of text, as counted; no fewer than shuffle partitions.
+
+    A block sends a row to no more buckets than it has entries, however many there are.
+    """
+    held = stored.agg(F.sum("bytes")).first()[0] or 0
+    return max(shuffle_partitions(stored.sparkSession), -(-held // BUCKET_BYTES))
 
 
 def with_level(answers: DataFrame, *more: DataFrame) -> DataFrame:

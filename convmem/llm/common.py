@@ -8,22 +8,36 @@ import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of one Arrow batch that a Python worker gets: bounds a worker's memory whatever the texts' lengths.
+#: Bytes of text that a Python worker handles at once: bounds a worker's memory whatever the texts' lengths.
 BATCH_BYTES = 8 << 20
-BATCH_ROWS = 4096
 #: ASCII white space that separates words; ``bytes.split()`` splits at the same six characters.
 SPACES = "\\x20\\x09-\\x0D"
 
 
-def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
-    """Bound Arrow batches by bytes as well as rows, so that a few very long texts cannot fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def rebatched(source: Iterable[pa.RecordBatch], size: int = BATCH_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of the column, one more row at most; no session setting is touched."""
+    held: list[pa.RecordBatch] = []
+    weight = 0
+    for batch in source:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+        start, before = 0, 0
+        while start < batch.num_rows:
+            stop = min(int(np.searchsorted(ends, before + size - weight)) + 1, batch.num_rows)
+            held.append(batch.slice(start, stop - start))
+            weight += int(ends[stop - 1]) - before
+            start, before = stop, int(ends[stop - 1])
+            if weight >= size:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, weight = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 @contextmanager
@@ -51,8 +65,10 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:  # only where no cluster names one, as in tests
-            folder = f"/tmp/checkpoints/{context.applicationId}"
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = f"/tmp/checkpoints/{context.applicationId}"  # one machine, as in tests
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
@@ -113,6 +129,11 @@ def documents(df: DataFrame, *more: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+def apart(df: DataFrame, **columns: Column) -> DataFrame:
+    """The columns named, and the whole row as the struct ``row``: whatever the input's columns are called, no working column clashes."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

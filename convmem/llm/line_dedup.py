@@ -30,7 +30,6 @@ from pyspark.sql import DataFrame
 
 from convmem.llm import blocks as B
 from convmem.llm.common import sha256
-from convmem.llm.suffix_dedup import _ranked, earlier
 
 EXACT, HALF, NEAR = 1, 2, 3
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -107,7 +106,7 @@ class Lines:
 
 def near_earlier(roles: list[np.ndarray], owners: list[np.ndarray], keys: list[np.ndarray]) -> list[np.ndarray]:
     """1 where an earlier document has the key in a role that makes the lines near."""
-    key, role, rank = np.concatenate(keys), np.concatenate(roles).astype(np.int64), np.concatenate(_ranked(owners))
+    key, role, rank = np.concatenate(keys), np.concatenate(roles).astype(np.int64), np.concatenate(B.ranked(owners))
     order = np.lexsort((rank, role, key))
     key, role, rank = key[order], role[order], rank[order]
     new_key = np.concatenate([[True], key[1:] != key[:-1]])
@@ -163,7 +162,7 @@ def _applied(docs: DataFrame, least: int, fuzzy: int, whole_rows: bool) -> DataF
         yield entries.asked(block.number, block.owners[lines.doc[of[entries.first]]], level=NEAR)
 
     asked = B.checkpoint(B.each(stored, ask_exact, B.ASKED))
-    exact = B.ask(asked, EXACT, earlier, with_owners=True)
+    exact = B.ask(asked, EXACT, B.earlier, with_owners=True)
     first = B.checkpoint(B.with_level(exact, B.ask(asked, HALF, B.in_two_blocks)))
     near = B.ask(B.each_answered(stored, first, ask_near, B.ASKED), NEAR, near_earlier, with_owners=True, with_heads=True)
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convmem.llm.blocks import mixed
-from convmem.llm.common import bounded_batches, checkpoint, documents, texts_of
+from convmem.llm.common import apart, checkpoint, documents, rebatched, texts_of
 from convmem.llm.components import components
 
 WIDTH, BANDS, ROWS = 5, 20, 4
@@ -62,7 +62,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class, n, keys) of every document."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in rebatched(source):
             sets = [shingles(t) for t in texts_of(batch)]
             keys = [bands(s).tolist() if len(s) else [] for s in sets]
             columns = [batch.column("doc_id"), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
@@ -75,7 +75,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(class, shingles) of the classes wanted (class, least)."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in rebatched(source):
             rows = [(c, s) for c, t in zip(batch.column("class").to_pylist(), texts_of(batch), strict=True) if class_of(s := shingles(t)) == c]  # an id may be repeated
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([s.tobytes() for _, s in rows], pa.binary())], ["class", "shingles"])
 
@@ -87,7 +87,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose similarity is 0.8 or more."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in rebatched(source, column="x"):
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -131,7 +131,6 @@ def links(docs: DataFrame, classes: DataFrame, stars: int = 2) -> DataFrame:
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) of every document; component_id is the least id of the component."""
-    bounded_batches(docs.sparkSession)
     every = checkpoint(_classes(docs))
     classes = checkpoint(every.groupBy("class").agg(F.min("doc_id").alias("least"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")))
     merged = classes.join(links(docs, classes), "class", "left").select("class", "least", F.coalesce("component", "class").alias("component"))
@@ -144,5 +143,5 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of the input whose id is the least of its component; of rows without an id those without a twin that has one."""
-    stay = near_copies(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_stay")), "left_semi")
+    stay = near_copies(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay")).distinct()
+    return apart(docs, id=F.col("doc_id").cast("bigint")).join(stay, F.col("id").eqNullSafe(F.col("stay")), "left_semi").select("row.*")

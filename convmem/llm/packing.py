@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from convmem.llm.common import bounded_batches, documents, task_number
+from convmem.llm.common import documents, rebatched, task_number
 
 
 class Bins:
@@ -122,7 +122,6 @@ def packed(docs: DataFrame, path: str, capacity: int = 2048, open_bins: int = 40
     A document is its ids and then ``end_id``. One of more than ``capacity`` tokens is cut into
     full pieces, the remainder first. ``with_ids`` adds the ids themselves (``ids``, binary).
     """
-    bounded_batches(docs.sparkSession)
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
     fields += [("ids", pa.binary())] * with_ids
     schema = pa.schema(fields)
@@ -131,7 +130,7 @@ def packed(docs: DataFrame, path: str, capacity: int = 2048, open_bins: int = 40
     def pack(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
         bins = Bins(capacity, open_bins, task_number() << 33)
-        for batch in source:
+        for batch in rebatched(source):
             out: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = encode(text.as_py() or "").astype("<u4").tobytes() + end

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convmem.llm.common import bounded_batches, documents
+from convmem.llm.common import documents, rebatched
 
 SPACE = "▁"
 #: Words whose ids a worker remembers, at most, and pairs of pieces.
@@ -281,11 +281,9 @@ def coder_of(path: str, unigram: bool = False) -> Coder:
 
 def encoded(docs: DataFrame, path: str, unigram: bool = False) -> DataFrame:
     """(doc_id, ids): little-endian unsigned 32-bit ids of every text."""
-    bounded_batches(docs.sparkSession)
-
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(path, unigram)
-        for batch in source:
+        for batch in rebatched(source):
             ids = coder.encode_all([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
@@ -294,11 +292,9 @@ def encoded(docs: DataFrame, path: str, unigram: bool = False) -> DataFrame:
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) from (doc_id, ids)."""
-    bounded_batches(rows.sparkSession)
-
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(path)
-        for batch in source:
+        for batch in rebatched(source, column="ids"):
             texts = [coder.decode(i or b"") for i in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
@@ -307,11 +303,9 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_ids, ids_crc32, decoded_crc32, same): encodes and decodes every text in one pass."""
-    bounded_batches(docs.sparkSession)
-
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(path)
-        for batch in source:
+        for batch in rebatched(source):
             n, crc, back, same = [], [], [], []
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for text, ids in zip(texts, coder.encode_all(texts), strict=True):

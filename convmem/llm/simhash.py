@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convmem.llm.common import bounded_batches, checkpoint, documents, texts_of
+from convmem.llm.common import apart, checkpoint, documents, rebatched, texts_of
 from convmem.llm.components import components
 
 
@@ -43,10 +43,8 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, bits): fingerprints as signed 64-bit numbers."""
-    bounded_batches(docs.sparkSession)
-
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in rebatched(source):
             bits = np.array([fingerprint(t, width) for t in texts_of(batch)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bits, pa.int64())], ["doc_id", "bits"])
 
@@ -189,5 +187,5 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFra
 def one_of_each(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
     """The rows of the input whose id is the least of its component; of rows without an id those without a twin that has one."""
     found = near_duplicates(docs, width, budget)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_stay")), "left_semi")
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay")).distinct()
+    return apart(docs, id=F.col("doc_id").cast("bigint")).join(stay, F.col("id").eqNullSafe(F.col("stay")), "left_semi").select("row.*")

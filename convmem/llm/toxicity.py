@@ -3,11 +3,11 @@
 Features are native expressions over the whole text: densities of lexicons, how near the second
 person stands to lexicon words, capitals, punctuation and obfuscation. Two lexicons are given;
 two more are learnt: word beginnings that labelled toxic rows have far more often than others,
-counted over all labelled rows outside the held-out fold, so that languages without a given
-lexicon are covered. Trees are fitted to a
-bounded sample of the labelled rows by MLlib, where Spark partitions the work; the scores of
-rows that the trees did not see are calibrated by an isotonic step function, which is applied as
-a native expression with the trees. Identifiers, labels, language and source are never features.
+so that languages without a given lexicon are covered. They are counted over all labelled rows
+outside the held-out fold, but for the part that calibrates. Trees are fitted to a bounded
+sample of the same rows by MLlib, where Spark partitions the work; the scores of the part that
+neither lexicons nor trees have seen are calibrated by an isotonic step function, which is
+applied as a native expression with the trees. Identifiers, labels, language and source are never features.
 
 Defined cases: null text is empty; an empty text has a score like any other; every row of the
 input gets one, repeated rows the same one; a null id counts as held out of learning; without
@@ -26,7 +26,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convmem.llm.common import checkpoint, documents, trie_pattern
+from convmem.llm.common import apart, checkpoint, documents, trie_pattern
 
 # Lexicons: fixed values.
 INSULTS = "idiot moron loser scum clown stupid pathetic worthless disgusting trash fool dumb jerk imbecile cretin liar coward garbage filth vermin pig rat parasite disgrace".split()
@@ -94,7 +94,7 @@ def learnt(rows: DataFrame, lengths: tuple[int, ...] = (5, 7)) -> Learnt:
 
 
 def with_features(docs: DataFrame, known: Learnt) -> DataFrame:
-    """The input's rows and columns and the dense features, each with a leading underscore.
+    """The input's rows and columns and the dense features, each with a leading underscore, which the input's own columns may not have.
 
     What several features need is matched once, as columns of a projection of its own: all words
     of the lexicons in one pass, all beginnings in another; each match is then told apart by list.
@@ -158,6 +158,11 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def part(doc_id: Column) -> Column:
+    """One of four parts of the rows to learn from, by hash of the id; part 0 calibrates."""
+    return F.pmod(F.xxhash64(doc_id, F.lit(4)), F.lit(4))
+
+
 @dataclass(frozen=True)
 class Model:
     trees: GBTClassificationModel | None
@@ -188,13 +193,13 @@ class Model:
 
 
 def fit(learn: DataFrame, trees: int = 20, depth: int = 3) -> Model:
-    """From rows with ``doc_id``, ``toxic`` and the features. One fold in four of them calibrates."""
+    """From rows with ``doc_id``, ``toxic`` and the features. One part in four of them calibrates."""
     known = learn.where("toxic is not null")
     n, ones = known.agg(F.count("*"), F.coalesce(F.sum(F.col("toxic").cast("double")), F.lit(0.0))).first()
     share = ones / n if n else 0.0
     if not 0 < share < 1:
         return Model(None, (), (), share)
-    rows = known.withColumn("label", F.col("toxic").cast("double")).withColumn("_part", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(4)), F.lit(4)))
+    rows = known.withColumn("label", F.col("toxic").cast("double")).withColumn("_part", part(F.col("doc_id")))
     rows = VectorAssembler(inputCols=[f"_{k}" for k in FEATURES], outputCol="_features").transform(rows).select("label", "_features", "_part")
     rows = checkpoint(rows).coalesce(6)  # the bounded sample fits few partitions
     grown = GBTClassifier(labelCol="label", featuresCol="_features", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=1, maxMemoryInMB=128, cacheNodeIds=False)
@@ -237,6 +242,7 @@ def _known(labels: DataFrame, sample: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _lexicon(docs: DataFrame, known: DataFrame) -> Learnt:
+    known = known.where(part(F.col("doc_id")) > 0)
     both = known.agg(F.min("toxic"), F.max("toxic")).first()
     return learnt(documents(docs).where("text is not null").join(known, "doc_id").drop("doc_id")) if tuple(both) == (0, 1) else Learnt()
 
@@ -263,4 +269,4 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: i
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """The rows of the input that are not rejected."""
-    return learn(docs, labels, sample).scored(docs).where(F.col("_score") < threshold).select(docs.columns)
+    return learn(docs, labels, sample).scored(apart(docs, text=F.col("text"))).where(F.col("_score") < threshold).select("row.*")

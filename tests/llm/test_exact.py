@@ -74,8 +74,12 @@ def test_substring_dedup(spark):
     assert any(r[2] for r in want)
 
 
-def test_suffix_dedup(spark):
+@pytest.mark.parametrize("batch,block", [(1 << 16, 4 << 20), (8, 3000)])
+def test_suffix_dedup(spark, monkeypatch, batch, block):
+    monkeypatch.setattr(suffix_dedup, "BATCH", batch)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
     rows = [(i, t) for i, t in texts() if i is not None and i != 80]  # the order of equal ids is not defined
+    rows += [(500 + k, "\0ab" * (60 + k) + "tail" * k + "\0" * (90 + 5 * k)) for k in range(6)] + [(510, rows[0][1][7:250] + rows[1][1][:180] + "\0" * 7)]
     seen: set[bytes] = set()
     want = set()
     for i, t in order(rows):
