@@ -130,17 +130,19 @@ class Entries:
         # The bucket is a monotone function of what is dealt by, so entries in its order are in bucket order.
         self.runs = runs(bucket_of(dealt, buckets))
 
-    def asked(self, block: int, owners: np.ndarray | None = None, short: bool = False, level: int = 0) -> pa.RecordBatch:
-        """A row for each bucket: the fingerprints, the owners of the entries and their heads, packed."""
+    def asked(self, block: int, owners: np.ndarray | None = None, short: bool = False, level: int = 0, numbers: np.ndarray | None = None) -> pa.RecordBatch:
+        """A row for each bucket: the fingerprints, the owners of the entries, their heads and other numbers of theirs, packed."""
         more = (self.buckets - 1).bit_length()
         rows: list[tuple] = []
         for bucket, (a, b) in self.runs.items():
             values = self.values[a:b]
-            payload = _packed_owners(values.astype(np.int64)) if self.small else _packed_values(values, SHORT_BITS + more if short else 64)
+            payload = packed_owners(values.astype(np.int64)) if self.small else _packed_values(values, SHORT_BITS + more if short else 64)
             if owners is not None:
-                payload += _packed_owners(owners[a:b])
+                payload += packed_owners(owners[a:b])
             if self.heads is not None:
                 payload += _packed_values(self.heads[a:b], 64)
+            if numbers is not None:
+                payload += packed_owners(numbers[a:b])
             rows.append((level, bucket, b - a, payload))
         return asked_rows(block, rows)
 
@@ -169,11 +171,11 @@ def _packed_values(values: np.ndarray, bits: int) -> bytes:
 SHORT_BITS = 26
 
 
-def _unpacked_values(payload: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+def unpacked_values(payload: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
     """The values that start at a byte of the payload, and the byte after them."""
     width = payload[at]
     if width > 32:
-        return _unpacked_owners(payload, at, n)
+        return unpacked_owners(payload, at, n)
     if width == 8:
         return np.frombuffer(payload, "<u8", n, at + 1).astype(np.uint64), at + 1 + 8 * n
     width -= 16
@@ -183,14 +185,14 @@ def _unpacked_values(payload: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
     return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64) + np.uint64(base), at + 9 + n * width
 
 
-def _packed_owners(owners: np.ndarray) -> bytes:
+def packed_owners(owners: np.ndarray) -> bytes:
     least = int(owners.min())
     over = (owners - least).astype(np.uint64)
     kind = np.min_scalar_type(int(over.max()))
     return bytes([32 + kind.itemsize]) + least.to_bytes(8, "little", signed=True) + over.astype(kind).tobytes()
 
 
-def _unpacked_owners(payload: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+def unpacked_owners(payload: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
     size = payload[at] - 32
     least = int.from_bytes(payload[at + 1 : at + 9], "little", signed=True)
     return np.frombuffer(payload, f"<u{size}", n, at + 9).astype(np.int64) + least, at + 9 + n * size
@@ -258,6 +260,11 @@ def answer_rows(table: pa.Table, level: int, decided: list[np.ndarray]) -> pa.Ta
     return pa.Table.from_arrays(out, schema=_ANSWER).filter(pa.array([bool(b) for b in bits]))
 
 
+def answers(rows: list[tuple]) -> pa.Table:
+    """Rows (block, level, bucket, entries, bits)."""
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(_ANSWER)], schema=_ANSWER)
+
+
 def ask(asked: DataFrame, level: int, decide: Decide, with_owners: bool = False, with_heads: bool = False) -> DataFrame:
     """Answers to what the blocks asked, in rows that a block finds by its number."""
 
@@ -266,13 +273,13 @@ def ask(asked: DataFrame, level: int, decide: Decide, with_owners: bool = False,
         values, owners, heads = [], [], []
         sizes = table.column("entries").to_pylist()
         for n, payload in zip(sizes, table.column("payload").to_pylist(), strict=True):
-            found, at = _unpacked_values(payload, 0, n)
+            found, at = unpacked_values(payload, 0, n)
             values.append(found)
             if with_owners:
-                found, at = _unpacked_owners(payload, at, n)
+                found, at = unpacked_owners(payload, at, n)
                 owners.append(found)
             if with_heads:
-                heads.append(_unpacked_values(payload, at, n)[0])
+                heads.append(unpacked_values(payload, at, n)[0])
         return answer_rows(table, level, decide(values, owners, heads))
 
     return asked.where(F.col("level").isin(0, level)).groupBy("bucket").applyInArrow(bucket, ANSWERS)
