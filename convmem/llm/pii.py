@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convmem.llm.common import checkpoint
+from convmem.llm.common import apart, checkpoint
 from convmem.llm.quality import let
 
 #: Fixed order of the kinds.
@@ -72,37 +72,49 @@ def _cue(kind: str) -> str:
 # Positions ------------------------------------------------------------------------------------
 
 
-def prefix_sums(values: Column, chunk: int = 256) -> Column:
-    """Sums of an array's values up to and including each; in chunks, so that many values stay cheap."""
-
-    def add(a: Column, x: Column) -> Column:
-        return a + x
+def running(values: Column, step: Callable[[Column, Column], Column], start: Column, chunk: int = 256) -> Column:
+    """The fold of an array's values up to and including each; in chunks, so that many values stay cheap."""
 
     def total(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0).cast("bigint"), add)
+        return F.aggregate(a, start, step)
 
     def within(c: Column, base: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(c)), lambda j: base + total(F.slice(c, F.lit(1), j)))
+        return F.transform(F.sequence(F.lit(1), F.size(c)), lambda j: step(base, total(F.slice(c, F.lit(1), j))))
 
     def all_chunks(chunks: Column) -> Column:
-        sums = F.transform(chunks, total)
-        return let(sums, lambda s: F.flatten(F.transform(chunks, lambda c, k: within(c, total(F.slice(s, F.lit(1), k))))))
+        totals = F.transform(chunks, total)
+        return let(totals, lambda s: F.flatten(F.transform(chunks, lambda c, k: within(c, total(F.slice(s, F.lit(1), k))))))
 
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / chunk).cast("int")), lambda k: F.slice(values, k * chunk + 1, F.lit(chunk)))
     return F.when(F.size(values) > 0, let(cut, all_chunks)).otherwise(F.array().cast("array<bigint>"))
 
 
-def matches(text: Column, kind: str) -> Column:
-    """Leftmost, non-overlapping matches as an array of (start, end, value), in code points."""
+def whole(n: int) -> Column:
+    return F.lit(n).cast("bigint")
+
+
+def matches(text: Column, kind: str, around: int = 40, following: int = 8) -> Column:
+    """Leftmost, non-overlapping matches as an array of (start, end, value, before, after), in code points.
+
+    Contexts are made of the pieces between matches, so that a text with many matches is not
+    looked through for each; ``before`` goes no further back than to the match before.
+    """
     pattern = F.lit(PATTERNS[kind])
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
+    empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string,before:string,after:string>>")
 
     def place(m: Column) -> Column:
-        between = F.split(text, PATTERNS[kind], -1)
-        # A match starts after all that is before it: the pieces and the earlier matches.
-        lengths = lambda b: F.transform(m, lambda x, i: (F.length(F.get(b, i)) + F.when(i > 0, F.length(F.get(m, i - 1))).otherwise(0)).cast("bigint"))
-        starts = let(between, lengths)
-        return let(starts, lambda v: let(prefix_sums(v), lambda s: F.transform(m, lambda x, i: F.struct(F.get(s, i).alias("start"), (F.get(s, i) + F.length(x)).alias("end"), x.alias("value")))))
+        def with_pieces(between: Column) -> Column:
+            # A match starts after all that is before it: the pieces and the earlier matches.
+            lengths = F.transform(m, lambda x, i: (F.length(F.get(between, i)) + F.when(i > 0, F.length(F.get(m, i - 1))).otherwise(0)).cast("bigint"))
+
+            def one(x: Column, i: Column, starts: Column) -> Column:
+                before = F.concat(F.coalesce(F.get(m, i - 1), F.lit("")), F.get(between, i))
+                after = F.concat(F.substring(F.get(between, i + 1), 1, following), F.substring(F.coalesce(F.get(m, i + 1), F.lit("")), 1, following))
+                return F.struct(F.get(starts, i).alias("start"), (F.get(starts, i) + F.length(x)).alias("end"), x.alias("value"), F.substring(before, -around, around).alias("before"), F.substring(after, 1, following).alias("after"))
+
+            return let(lengths, lambda v: let(running(v, lambda a, x: a + x, whole(0)), lambda starts: F.transform(m, lambda x, i: one(x, i, starts))))
+
+        return let(F.split(text, PATTERNS[kind], -1), with_pieces)
 
     found = let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: F.when(F.size(m) > 0, place(m)).otherwise(empty))
     return F.when(F.contains(text, F.lit(NEEDED[kind])), found).otherwise(empty) if kind in NEEDED else found
@@ -222,7 +234,7 @@ LABELERS = (Labeler("strict_form", _strict_form), Labeler("gazetteer", _gazettee
 _SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string,base:boolean,votes:array<int>>>"
 
 
-def candidates(docs: DataFrame, labelers: tuple[Labeler, ...] = LABELERS, around: int = 40, into: str = "spans") -> DataFrame:
+def candidates(docs: DataFrame, labelers: tuple[Labeler, ...] = LABELERS, into: str = "spans") -> DataFrame:
     """The input's columns and ``into``: all candidates of each document in the order of their starts, with the votes."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
@@ -230,12 +242,7 @@ def candidates(docs: DataFrame, labelers: tuple[Labeler, ...] = LABELERS, around
         rank = KINDS.index(kind)
 
         def voted(m: Column) -> Column:
-            c = F.struct(
-                F.lit(kind).alias("kind"),
-                m["value"].alias("value"),
-                F.when(m["start"] > 0, F.substring(text, F.greatest(m["start"] - around + 1, F.lit(1)).cast("int"), F.least(m["start"], F.lit(around)).cast("int"))).otherwise("").alias("before"),
-                F.substring(text, (m["end"] + 1).cast("int"), F.lit(8)).alias("after"),
-            )
+            c = F.struct(F.lit(kind).alias("kind"), m["value"].alias("value"), m["before"].alias("before"), m["after"].alias("after"))
             base = valid(kind, m["value"]) if kind in BASE_KINDS else F.lit(False)
             votes = let(c, lambda x: F.array(*[labeler.vote(x) for labeler in labelers]))
             return F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"), m["value"].alias("value"), base.alias("base"), votes.alias("votes"))
@@ -367,34 +374,63 @@ def find_without_text(docs: DataFrame, labelers: tuple[Labeler, ...] = LABELERS)
     return _choose(checkpoint(candidates(docs, labelers).select("doc_id", "spans")), labelers)
 
 
+#: Characters of the pieces that a text is cut into before parts of it are taken.
+PIECE = 1024
+
+
+def between(pieces: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end of a text that comes in pieces: only the pieces concerned are looked at."""
+    a, b = F.floor(start / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+    here = lambda k: F.coalesce(F.get(pieces, k), F.lit(""))
+    first = F.substring(here(a), (start % PIECE + 1).cast("int"), F.lit(PIECE))
+    apart_ = F.concat(first, F.array_join(F.slice(pieces, a + 2, F.greatest(b - a - 1, F.lit(0))), ""), F.substring(here(b), F.lit(1), (end % PIECE).cast("int")))
+    return F.when(a == b, F.substring(here(a), (start % PIECE + 1).cast("int"), (end - start).cast("int"))).otherwise(apart_)
+
+
+def _ends(spans: Column, chosen: Callable[[Column], Column] = lambda s: F.lit(True)) -> Column:
+    """The greatest end of the chosen spans up to each."""
+    return running(F.transform(spans, lambda s: F.when(chosen(s), s["end"]).otherwise(0).cast("bigint")), lambda a, x: F.greatest(a, x), whole(0))
+
+
 def redacted(docs: DataFrame, labelers: tuple[Labeler, ...] = LABELERS) -> DataFrame:
-    """The input with every span of ``text`` replaced by its kind in brackets; texts without a span, and nulls, as they are."""
-    name = "_pii_spans"  # the input may have a column of any other name
-    keep = accepted(fitted(counted(candidates(docs.select("text"), labelers)), len(labelers)))
-    found = candidates(docs, labelers, into=name).withColumn(name, _chosen(F.col(name), keep))
+    """The input with every span of ``text`` replaced by its kind in brackets; texts without a span, and nulls, as they are.
 
-    def parts(spans: Column) -> Column:
-        # Of overlapping spans the first covers the rest.
-        start = F.struct(F.lit(0).cast("bigint").alias("end"), F.array().cast("array<string>").alias("out"))
+    Spans that overlap are replaced together, by the kind of the first.
+    """
+    keep = accepted(fitted(counted(candidates(docs.select("text"), labelers)), len(labelers)))
+    found = candidates(apart(docs, text=F.col("text").cast("string")), labelers).withColumn("spans", _chosen(F.col("spans"), keep))
 
-        def step(a: Column, s: Column) -> Column:
-            between = F.substring(F.col("text"), (a["end"] + 1).cast("int"), F.greatest(s["start"] - a["end"], F.lit(0)).cast("int"))
-            return F.when(s["start"] >= a["end"], F.struct(s["end"].alias("end"), F.concat(a["out"], F.array(between, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out"))).otherwise(
-                F.struct(F.greatest(a["end"], s["end"]).alias("end"), a["out"].alias("out"))
-            )
+    def replaced(spans: Column, pieces: Column) -> Column:
+        def with_ends(ends: Column) -> Column:
+            numbered = F.transform(spans, lambda s, i: F.struct(i.alias("i"), s["start"].alias("start"), s["kind"].alias("kind")))
+            heads = F.filter(numbered, lambda s: (s["i"] == 0) | (s["start"] >= F.get(ends, s["i"] - 1)))
+            part = lambda h: F.concat(between(pieces, F.coalesce(F.get(ends, h["i"] - 1), whole(0)), h["start"]), F.lit("["), F.upper(h["kind"]), F.lit("]"))
+            rest = between(pieces, F.element_at(ends, -1), F.length("text").cast("bigint"))
+            return F.concat(F.array_join(F.transform(heads, part), ""), rest)
 
-        return let(F.aggregate(spans, start, step), lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), (a["end"] + 1).cast("int"), F.length("text"))))
+        return let(_ends(spans), with_ends)
 
-    return found.withColumn("text", F.when(F.size(name) > 0, parts(F.col(name))).otherwise(F.col("text"))).select(docs.columns)
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    clean = F.when(F.size("spans") > 0, let(pieces, lambda p: replaced(F.col("spans"), p))).otherwise(F.col("text"))
+    return found.select(*[clean.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def _chosen(spans: Column, keep: Callable[[Column], Column]) -> Column:
+    """Base spans, and those that the classifier keeps and no base span overlaps; spans come in the order of their starts."""
+    far = whole(1 << 62)
+
     def choose(spans: Column) -> Column:
-        base = F.filter(spans, lambda s: s["base"])
-        free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return F.filter(spans, lambda s: s["base"] | (keep(s) & free(s)))
+        starts = F.reverse(F.transform(spans, lambda s: F.when(s["base"], s["start"]).otherwise(far)))
+        following = F.reverse(running(starts, lambda a, x: F.least(a, x), far))
+
+        def pick(before: Column, after: Column) -> Column:
+            free = lambda s, i: (F.coalesce(F.get(before, i - 1), whole(0)) <= s["start"]) & (F.coalesce(F.get(after, i + 1), far) >= s["end"])
+            return F.filter(spans, lambda s, i: s["base"] | (keep(s) & free(s, i)))
+
+        return let(_ends(spans, lambda s: s["base"]), lambda before: let(following, lambda after: pick(before, after)))
 
-    return let(spans, choose)
+    # A text with base spans only, or with none, needs no comparing.
+    return let(spans, lambda s: F.when(F.forall(s, lambda x: x["base"]), s).otherwise(choose(s)))
 
 
 def _choose(found: DataFrame, labelers: tuple[Labeler, ...]) -> DataFrame:
