@@ -1,13 +1,16 @@
-"""Near copies by the Jaccard similarity of their sets of word shingles: candidates by MinHash bands, then verified.
+"""Near copies by the Jaccard similarity of their sets of word shingles: candidates by SimHash and by MinHash bands, then verified.
 
 Two documents are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or
 more; linked documents form components. Documents whose sets are equal become one class first.
-Classes that agree in a band of their MinHash signature are candidates: with 20 bands of four
-values a pair at 0.8 is missed with a probability of 3 in 100,000, and less above. Links are
-verified on the whole sets, never on signatures.
+Candidates are, first, the pairs that the binary trie self-join of ``simhash`` finds at two
+differing bits or fewer. At a similarity of 0.8 fingerprints differ in about ten bits, and a
+trie walk with such a budget prunes nothing before it has visited nearly all pairs; so, second,
+classes that agree in a band of their MinHash signature are candidates, too: with 20 bands of
+four values a pair at 0.8 is missed with a probability of 3 in 100,000, and less above. Links
+are verified on the whole sets, never on fingerprints or signatures.
 
 A group of n near copies does not give n * n pairs: every class is first verified against one
-hub, the least of what shares a band with it, twice with a new order; only then every pair of
+hub, the least of what shares a band with it, twice with a new order, after what SimHash has joined; only then every pair of
 candidates that are not in one component yet is verified, so no candidate goes unseen.
 
 Defined cases: null text has no words; texts without words are one class; texts of fewer words
@@ -25,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convmem.llm import simhash
 from convmem.llm.blocks import mixed
 from convmem.llm.common import apart, checkpoint, documents, rebatched, texts_of
 from convmem.llm.components import components
@@ -58,17 +62,37 @@ def bands(found: np.ndarray) -> np.ndarray:
     return mixed((least.reshape(BANDS, ROWS) * _PLACE).sum(axis=1, dtype=np.uint64) + _BAND).view(np.int64)
 
 
+def print_of(found: np.ndarray) -> int:
+    """The SimHash of a set of shingles, as a signed number."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(found), 1 << 14):
+        ones += np.unpackbits(found[i : i + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(found)).view(">i8")[0])
+
+
+def _close_prints(classes: DataFrame, budget: int = 2) -> DataFrame:
+    """(a, b): classes whose SimHash fingerprints are equal or joined in the forest of the trie self-join."""
+    own = classes.where("n > 0").select("class", "bits")
+    hubs = checkpoint(own.groupBy("bits").agg(F.min("class").alias("hub")))
+    equal = own.join(hubs.hint("merge"), "bits").where("class <> hub").select(F.col("hub").alias("a"), F.col("class").alias("b"))
+    forest = simhash.links(hubs.select("bits"), budget)
+    x, y = hubs.select(F.col("bits").alias("a"), F.col("hub").alias("x")), hubs.select(F.col("bits").alias("b"), F.col("hub").alias("y"))
+    close = forest.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return checkpoint(equal.unionByName(close))
+
+
 def _classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class, n, keys) of every document."""
+    """(doc_id, class, n, bits, keys) of every document."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(source):
             sets = [shingles(t) for t in texts_of(batch)]
             keys = [bands(s).tolist() if len(s) else [] for s in sets]
-            columns = [batch.column("doc_id"), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "class", "n", "keys"])
+            numbers = [[f(s) for s in sets] for f in (class_of, len, print_of)]
+            columns = [batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in numbers], pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "class", "n", "bits", "keys"])
 
-    return documents(docs).mapInArrow(run, "doc_id bigint, class bigint, n bigint, keys array<bigint>")
+    return documents(docs).mapInArrow(run, "doc_id bigint, class bigint, n bigint, bits bigint, keys array<bigint>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -101,30 +125,29 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame, stars: int = 2) -> DataFrame:
-    """(class, component) of the classes (class, least, n, keys) that are linked to another."""
+    """(class, component) of the classes (class, least, n, bits, keys) that are linked to another."""
+    close = _close_prints(classes)
     keyed = checkpoint(classes.select("class", "n", F.explode("keys").alias("key")))
     shared = keyed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
     met = checkpoint(keyed.join(shared, "key"))
-    wanted = classes.join(met.select("class").distinct(), "class", "left_semi").select("class", "least")
-    sets = checkpoint(_sets(docs, wanted))
-    found, roots = None, None
+    some = met.select("class").unionByName(close.select(F.col("a").alias("class"))).unionByName(close.select(F.col("b").alias("class"))).distinct()
+    sets = checkpoint(_sets(docs, classes.join(some, "class", "left_semi").select("class", "least")))
+    found = _verified(close, sets)
+    roots = checkpoint(components(found).select(F.col("node").alias("class"), "component"))
     for turn in range(stars + 1):
-        apart = met.withColumn("component", F.col("class"))
-        if roots is not None:
-            apart = met.join(roots, "class", "left").withColumn("component", F.coalesce("component", "class"))
-            open_keys = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-            apart = checkpoint(apart.join(open_keys, "key"))
+        open_ = met.join(roots, "class", "left").withColumn("component", F.coalesce("component", "class"))
+        open_keys = open_.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        open_ = checkpoint(open_.join(open_keys, "key"))
         if turn < stars:
             order = F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), F.col("class").alias("hub"), F.col("component").alias("of"))
-            hubs = apart.groupBy("key").agg(F.min(order).alias("least"))
-            pairs = apart.join(hubs, "key").where("component <> least.of").groupBy("class").agg(F.min("least").alias("least"))
+            hubs = open_.groupBy("key").agg(F.min(order).alias("least"))
+            pairs = open_.join(hubs, "key").where("component <> least.of").groupBy("class").agg(F.min("least").alias("least"))
             pairs = pairs.select(F.least("class", "least.hub").alias("a"), F.greatest("class", "least.hub").alias("b"))
         else:
-            other = apart.select("key", F.col("class").alias("b"), F.col("n").alias("m"), F.col("component").alias("of"))
+            other = open_.select("key", F.col("class").alias("b"), F.col("n").alias("m"), F.col("component").alias("of"))
             fits = (F.col("class") < F.col("b")) & (F.col("component") != F.col("of")) & (5 * F.least("n", "m") >= 4 * F.greatest("n", "m"))
-            pairs = apart.join(other.hint("merge"), "key").where(fits).select(F.col("class").alias("a"), "b")
-        more = _verified(pairs.distinct(), sets)
-        found = more if found is None else found.unionByName(more)
+            pairs = open_.join(other.hint("merge"), "key").where(fits).select(F.col("class").alias("a"), "b")
+        found = found.unionByName(_verified(pairs.distinct(), sets))
         roots = checkpoint(components(found).select(F.col("node").alias("class"), "component"))
     return roots
 
@@ -132,7 +155,7 @@ def links(docs: DataFrame, classes: DataFrame, stars: int = 2) -> DataFrame:
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) of every document; component_id is the least id of the component."""
     every = checkpoint(_classes(docs))
-    classes = checkpoint(every.groupBy("class").agg(F.min("doc_id").alias("least"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")))
+    classes = checkpoint(every.groupBy("class").agg(F.min("doc_id").alias("least"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("keys").alias("keys")))
     merged = classes.join(links(docs, classes), "class", "left").select("class", "least", F.coalesce("component", "class").alias("component"))
     merged = checkpoint(merged)
     least = checkpoint(merged.groupBy("component").agg(F.min("least").alias("component_id")))

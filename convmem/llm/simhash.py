@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convmem.llm.common import apart, checkpoint, documents, rebatched, texts_of
+from convmem.llm.common import apart, checkpoint, documents, rebatched, shuffle_partitions, texts_of
 from convmem.llm.components import components
 
 
@@ -139,10 +139,18 @@ class _Links:
         self.forest.add(a, b + self.shift)
 
 
-def links(prints: DataFrame, budget: int, per_node: int = 4096) -> DataFrame:
+def depth_for(n: int, partitions: int, per_node: int, least: int) -> int:
+    """Levels that are dealt out: nodes of ``per_node`` fingerprints, or less where there would be fewer nodes than partitions, but not under ``least``.
+
+    A fingerprint is sent to 1 + d + d(d - 1)/2 pairs of nodes at depth d and two bits, so nodes are no smaller than need be.
+    """
+    log = lambda x: (max(1, x) - 1).bit_length()
+    return min(24, max(log(n // per_node), min(log(n // least), log(partitions))))
+
+
+def links(prints: DataFrame, budget: int, per_node: int = 1 << 20, least: int = 4096) -> DataFrame:
     """(a, b): a spanning forest of the pairs of distinct ``bits`` that differ in at most ``budget`` bits."""
-    n = prints.count()
-    depth = max(0, min(24, (max(1, n // per_node) - 1).bit_length()))
+    depth = depth_for(prints.count(), shuffle_partitions(prints.sparkSession), per_node, least)
     masks = [0]
     for k in range(budget):
         masks = sorted({m ^ (1 << i) for m in masks for i in range(depth)} | set(masks)) if depth else masks

@@ -133,9 +133,9 @@ def test_line_dedup(spark):
     assert whole.where("doc_id = 53").first().text is None
 
 
-@pytest.mark.parametrize("per_node", [4, 4096])
-def test_simhash(spark, monkeypatch, per_node):
-    monkeypatch.setattr(simhash.links, "__defaults__", (per_node,))
+@pytest.mark.parametrize("per_node,least", [(4, 4), (1 << 20, 4), (1 << 20, 4096)])
+def test_simhash(spark, monkeypatch, per_node, least):
+    monkeypatch.setattr(simhash.links, "__defaults__", (per_node, least))
     rows = [(i, t) for i, t in texts() if i is not None] + [(200 + k, "w%d " % (k // 3) * 30) for k in range(12)]
     prints = {}
     for i, t in rows:
