@@ -132,24 +132,29 @@ def links(docs: DataFrame, classes: DataFrame, stars: int = 2) -> DataFrame:
     met = checkpoint(keyed.join(shared, "key"))
     some = met.select("class").unionByName(close.select(F.col("a").alias("class"))).unionByName(close.select(F.col("b").alias("class"))).distinct()
     sets = checkpoint(_sets(docs, classes.join(some, "class", "left_semi").select("class", "least")))
-    found = _verified(close, sets)
+
+    def star(turn: int) -> DataFrame:
+        """Every class and the least by a new order of what shares a band with it."""
+        order = F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), F.col("class").alias("hub"))
+        hubs = met.groupBy("key").agg(F.min(order).alias("least"))
+        near = met.join(hubs, "key").groupBy("class").agg(F.min("least").alias("least")).where("class <> least.hub")
+        return near.select(F.least("class", "least.hub").alias("a"), F.greatest("class", "least.hub").alias("b"))
+
+    pairs = close
+    for turn in range(stars):
+        pairs = pairs.unionByName(star(turn))
+    found = _verified(pairs.distinct(), sets)
     roots = checkpoint(components(found).select(F.col("node").alias("class"), "component"))
-    for turn in range(stars + 1):
-        open_ = met.join(roots, "class", "left").withColumn("component", F.coalesce("component", "class"))
-        open_keys = open_.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        open_ = checkpoint(open_.join(open_keys, "key"))
-        if turn < stars:
-            order = F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), F.col("class").alias("hub"), F.col("component").alias("of"))
-            hubs = open_.groupBy("key").agg(F.min(order).alias("least"))
-            pairs = open_.join(hubs, "key").where("component <> least.of").groupBy("class").agg(F.min("least").alias("least"))
-            pairs = pairs.select(F.least("class", "least.hub").alias("a"), F.greatest("class", "least.hub").alias("b"))
-        else:
-            other = open_.select("key", F.col("class").alias("b"), F.col("n").alias("m"), F.col("component").alias("of"))
-            fits = (F.col("class") < F.col("b")) & (F.col("component") != F.col("of")) & (5 * F.least("n", "m") >= 4 * F.greatest("n", "m"))
-            pairs = open_.join(other.hint("merge"), "key").where(fits).select(F.col("class").alias("a"), "b")
-        found = found.unionByName(_verified(pairs.distinct(), sets))
-        roots = checkpoint(components(found).select(F.col("node").alias("class"), "component"))
-    return roots
+    # What shares a band and is not in one component yet, pair by pair.
+    still = met.join(roots, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    open_keys = still.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    still = checkpoint(still.join(open_keys, "key"))
+    other = still.select("key", F.col("class").alias("b"), F.col("n").alias("m"), F.col("component").alias("of"))
+    fits = (F.col("class") < F.col("b")) & (F.col("component") != F.col("of")) & (5 * F.least("n", "m") >= 4 * F.greatest("n", "m"))
+    more = _verified(still.join(other.hint("merge"), "key").where(fits).select(F.col("class").alias("a"), "b").distinct(), sets)
+    if more.isEmpty():
+        return roots
+    return checkpoint(components(found.unionByName(more)).select(F.col("node").alias("class"), "component"))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convmem.llm.common import apart, checkpoint, documents, trie_pattern
+from convmem.llm.quality import let
 
 # Lexicons: fixed values.
 INSULTS = "idiot moron loser scum clown stupid pathetic worthless disgusting trash fool dumb jerk imbecile cretin liar coward garbage filth vermin pig rat parasite disgrace".split()
@@ -74,9 +75,14 @@ class Learnt:
     likely: tuple[str, ...] = ()
 
 
+def _begun(words: Column, length: int) -> Column:
+    return F.transform(words, lambda w: F.substring(w, 1, length))
+
+
 def learnt(rows: DataFrame, lengths: tuple[int, ...] = (5, 7)) -> Learnt:
     """From rows with ``text`` and ``toxic``: counts of documents for each word beginning, then all of each sort that are over chance."""
-    words = F.array_distinct(F.flatten(F.transform(F.array(*[F.lit(k) for k in lengths]), lambda k: F.transform(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}{4,}"), F.lit(0)), lambda w: F.substring(w, F.lit(1), k)))))
+    found = F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}{4,}"), F.lit(0))
+    words = let(found, lambda w: F.array_distinct(F.concat(*[_begun(w, k) for k in lengths])))
     toxic = F.col("toxic").cast("double")
     seen = rows.select(toxic.alias("t"), F.explode(words).alias("w")).groupBy("w").agg(F.sum("t").alias("yes"), F.sum(1 - F.col("t")).alias("no"))
     n, ones = rows.agg(F.count("*"), F.sum(toxic)).first()
