@@ -18,9 +18,15 @@ def live(ledger: DataFrame) -> DataFrame:
 
 
 def relevance(ledger: DataFrame, talk: DataFrame) -> DataFrame:
-    """Adds ``relevance``: the share of a summary's topic words in the scope's recent talk. talk: (scope_id, talk), a row per scope."""
-    rows = ledger.join(talk.select("scope_id", X.bag(F.col("talk")).alias("_talk")), "scope_id", "left")
-    return rows.withColumn("relevance", F.coalesce(X.containment(X.topic_words(F.col("summary")), F.col("_talk")), F.lit(0.0))).drop("_talk")
+    """Adds ``relevance``: the share of a summary's topic words in the scope's recent talk. talk: (scope_id, talk), any number of rows.
+
+    By words, so that no scope's talk comes together in one row. Entries have an id of their own in a scope.
+    """
+    said = talk.select("scope_id", F.explode(X.bag(F.col("talk"))).alias("_w")).distinct()
+    topics = ledger.select("scope_id", "id", X.topic_words(F.col("summary")).alias("_t"))
+    hits = topics.select("scope_id", "id", F.size("_t").alias("_n"), F.explode("_t").alias("_w")).join(said, ["scope_id", "_w"])
+    shares = hits.groupBy("scope_id", "id").agg((F.count("*") / F.max("_n")).alias("_r"))
+    return ledger.join(shares, ["scope_id", "id"], "left").withColumn("relevance", F.coalesce("_r", F.lit(0.0))).drop("_r")
 
 
 def lifted(rows: DataFrame, share: float = 0.75) -> DataFrame:

@@ -90,11 +90,11 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The ledger -----------------------------------------------------------------------------------
 
 LEDGER_COLUMNS = {
-    "scope_id": "lang",
+    "scope_id": "concat(lang, '-', CAST(CAST(floor(doc_id / 200) AS BIGINT) AS STRING))",
     "entry_pos": "doc_id",
     "id": "concat('e', CAST(doc_id AS STRING))",
-    "summary": "substring(text, 1, 120)",
-    "content": "substring(text, 1, 600)",
+    "summary": "text",
+    "content": "text",
     "lane": "CASE doc_id % 3 WHEN 0 THEN 'open_threads' WHEN 1 THEN 'user_topics' ELSE 'character_topics' END",
     "status": "CASE doc_id % 7 WHEN 0 THEN 'done' WHEN 1 THEN NULL ELSE 'open' END",
     "tier": "CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'short' WHEN 2 THEN 'long' WHEN 3 THEN 'core' ELSE 'secondary_core' END",

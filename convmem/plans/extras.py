@@ -27,11 +27,11 @@ SQL["p7_paragraphs"] = "WITH p AS (SELECT doc_id, unnest(string_split(text, chr(
 
 def _beats(s, d):
     e = F.array(F.struct(F.lit("hope").alias("emotion"), F.lit(0.5).alias("weight")))
-    return B.ledger(s, d).select(F.col("id").alias("beat_id"), "scope_id", F.when(F.col("entry_pos") % 2 == 0, e).otherwise(F.array().cast("array<struct<emotion:string,weight:double>>")).alias("emotions"), F.lit("fear").alias("emotion"), "summary", F.substring("summary", 1, 60).alias("motivation"), F.lit("none").alias("outcome"), F.substring("content", 1, 900).alias("text"))
+    return B.ledger(s, d).select(F.col("id").alias("beat_id"), "scope_id", F.when(F.col("entry_pos") % 2 == 0, e).otherwise(F.array().cast("array<struct<emotion:string,weight:double>>")).alias("emotions"), F.lit("fear").alias("emotion"), "summary", F.col("summary").alias("motivation"), F.lit("none").alias("outcome"), F.col("content").alias("text"))
 
 
 Q["p20_companion_rows"] = lambda s, d: G.companion_rows(_beats(s, d))
-SQL["p20_companion_rows"] = f"""{_W}, b AS (SELECT id, CASE WHEN entry_pos % 2 = 0 THEN 'hope' ELSE 'fear' END AS e, substr(summary, 1, 60) AS m, content FROM ledger)
+SQL["p20_companion_rows"] = f"""{_W}, b AS (SELECT id, CASE WHEN entry_pos % 2 = 0 THEN 'hope' ELSE 'fear' END AS e, summary AS m, content FROM ledger)
 SELECT id AS beat_id, substr('[' || e || '] ' || m, 1, 140) AS summary, substr('Emotion: ' || e || chr(10) || 'Why: ' || m || chr(10) || 'Outcome: none' || chr(10) || content, 1, 700) AS content FROM b"""
 
 Q["p24_transient"] = lambda s, d: B.ledger(s, d).select("id", F.lower("summary").rlike("(^|[^a-z])(this|now|today|soon)([^a-z]|$)").alias("transient"))
@@ -43,19 +43,19 @@ SQL["p27_cast_lists"] = "WITH p AS (SELECT p_partkey, list_filter(string_split(r
 Q["p28_clock_signals"] = lambda s, d: B.messages(s, d).select("conv_id", "turn", G.clock_signals(F.col("text"), {"morning": ["thea", "eau"], "evening": ["ing", "ich"], "night": ["e"]}).alias("signal"))
 SQL["p28_clock_signals"] = f"WITH {B.MESSAGES} SELECT conv_id, turn, CASE WHEN contains(lower(text), 'thea') OR contains(lower(text), 'eau') THEN 'morning' WHEN contains(lower(text), 'ing') OR contains(lower(text), 'ich') THEN 'evening' WHEN contains(lower(text), 'e') THEN 'night' END AS signal FROM msg"
 
-Q["io4_late_bodies"] = lambda s, d: (lambda a: R.ranked(a.withColumn("relevance", F.lit(0.0))).where("rank <= 5").select("scope_id", "id", "rank").join(B.table(s, d, "documents").select(F.concat(F.lit("e"), F.col("doc_id").cast("string")).alias("id"), F.substring("text", 1, 600).alias("content")), "id"))(R.live(B.ledger(s, d)))
+Q["io4_late_bodies"] = lambda s, d: (lambda a: R.ranked(a.withColumn("relevance", F.lit(0.0))).where("rank <= 5").select("scope_id", "id", "rank").join(B.table(s, d, "documents").select(F.concat(F.lit("e"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("content")), "id"))(R.live(B.ledger(s, d)))
 SQL["io4_late_bodies"] = f"{_W}, r AS (SELECT scope_id, id, content, row_number() OVER (PARTITION BY scope_id ORDER BY coalesce(last_retrieved, last_accessed) DESC NULLS LAST, retrieval_count + 3 * recitation_count DESC, list_position(['open_threads', 'user_topics', 'character_topics'], lane), entry_pos) AS rank FROM ledger WHERE coalesce(status, 'open') <> 'done' AND superseded_by IS NULL) SELECT id, scope_id, rank, content FROM r WHERE rank <= 5"
 
 
-def _langs(s, d):
-    return B.table(s, d, "documents").select(F.col("lang").alias("identity_key"), F.upper("lang").alias("name")).distinct()
+def _scopes(s, d):
+    return B.ledger(s, d).select(F.col("scope_id").alias("identity_key"), F.upper("scope_id").alias("name")).distinct()
 
 
-Q["io7_io8_bundles"] = lambda s, d: G.imported(G.bundles(B.ledger(s, d), _langs(s, d)))
+Q["io7_io8_bundles"] = lambda s, d: G.imported(G.bundles(B.ledger(s, d), _scopes(s, d)))
 SQL["io7_io8_bundles"] = f"{_W} SELECT scope_id, entry_pos, id, summary, lane, status, content FROM ledger"
 
-Q["io9_rebuilt_index"] = lambda s, d: (lambda a: G.rebuilt(a.where("scope_id <> 'de' or entry_pos % 3 > 0").where("scope_id <> 'fr' or entry_pos % 2 = 0"), a.where("scope_id <> 'en'")))(B.ledger(s, d))
-SQL["io9_rebuilt_index"] = f"{_W} SELECT scope_id, id, CAST(CASE WHEN (scope_id = 'de' AND entry_pos % 3 = 0) OR (scope_id = 'fr' AND entry_pos % 2 = 1) THEN 0 ELSE retrieval_count END AS BIGINT) AS retrieval_count FROM ledger"
+Q["io9_rebuilt_index"] = lambda s, d: (lambda a: G.rebuilt(a.where("scope_id not like 'de-%' or entry_pos % 3 > 0").where("scope_id not like 'fr-%' or entry_pos % 2 = 0"), a.where("scope_id not like 'en-%'")))(B.ledger(s, d))
+SQL["io9_rebuilt_index"] = f"{_W} SELECT scope_id, id, CAST(CASE WHEN (scope_id LIKE 'de-%' AND entry_pos % 3 = 0) OR (scope_id LIKE 'fr-%' AND entry_pos % 2 = 1) THEN 0 ELSE retrieval_count END AS BIGINT) AS retrieval_count FROM ledger"
 
 Q["j15_recap_audit"] = lambda s, d: (lambda a: G.recap_audit(a.select(F.col("id").alias("recap_id"), F.concat(F.lit("*scene* "), "summary").alias("content")), a.where("entry_pos % 3 > 0").select(F.col("id").alias("recap_id"), F.when(F.col("entry_pos") % 5 == 0, F.lit("other")).otherwise(F.col("summary")).alias("expected"))))(B.ledger(s, d))
 SQL["j15_recap_audit"] = f"{_W} SELECT id AS recap_id, CASE WHEN entry_pos % 3 = 0 THEN 'unresolved' WHEN entry_pos % 5 = 0 THEN 'mismatch' ELSE 'ok' END AS verdict FROM ledger"
@@ -86,8 +86,8 @@ Q["l15_add_pending"] = lambda s, d: (lambda a: G.add_pending(a.where("seq % 2 =
 SQL["l15_add_pending"] = f"{_W} SELECT lane AS speaker_norm, id AS beat_id FROM ledger WHERE entry_pos % 2 = 0 OR entry_pos % 3 = 0"
 Q["l12_kept_ignored"] = lambda s, d: G.expired(B.ledger(s, d).select("id", F.col("last_accessed").alias("ignored_at")), "2024-02-20").select("id")
 SQL["l12_kept_ignored"] = f"{_W} SELECT id FROM ledger WHERE date_diff('day', last_accessed, DATE '2024-02-20') <= 30"
-Q["l16_renamed_scopes"] = lambda s, d: G.renamed(B.ledger(s, d), _langs(s, d).where("identity_key = 'de'").select(F.col("identity_key").alias("old"), F.lit("ger").alias("new"))).select("scope_id", "id")
-SQL["l16_renamed_scopes"] = f"{_W} SELECT CASE WHEN scope_id = 'de' THEN 'ger' ELSE scope_id END AS scope_id, id FROM ledger"
+Q["l16_renamed_scopes"] = lambda s, d: G.renamed(B.ledger(s, d), _scopes(s, d).where("identity_key like 'de-%'").select(F.col("identity_key").alias("old"), F.concat(F.lit("ger"), F.substring("identity_key", 3, 99)).alias("new"))).select("scope_id", "id")
+SQL["l16_renamed_scopes"] = f"{_W} SELECT CASE WHEN scope_id LIKE 'de-%' THEN 'ger' || substr(scope_id, 3) ELSE scope_id END AS scope_id, id FROM ledger"
 Q["l17_added_aliases"] = lambda s, d: (lambda a: G.added_aliases(a, a.select(F.lit("k5").alias("identity_key"), "label", "canonical_name").unionByName(a.where("identity_key = 'k2'").select("identity_key", F.lit("New One").alias("label"), "canonical_name"))).select("identity_key", "label"))(P._aliases(s, d))
 SQL["l17_added_aliases"] = f"WITH {P._AL} SELECT identity_key, label FROM alias UNION ALL SELECT 'k2', 'New One' FROM alias WHERE identity_key = 'k2'"
 Q["a13_presence"] = lambda s, d: G.presence(_beats(s, d), B.table(s, d, "region").select(F.col("r_regionkey").alias("identity_key"), F.element_at(X.words(["the", "and", "que", "der", "los"]), (F.col("r_regionkey") + 1).cast("int")).alias("name")))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from convmem.functions.text import STOP_WORDS
+from convmem.functions.text import STOP_WORDS, words
 from convmem.operators import ledger as L
 from convmem.operators import recall as R
+from convmem.operators import turns as T
 from convmem.plans import bindings as B
 
 Q: dict = {}
@@ -119,8 +120,8 @@ Q["l18_patch"] = lambda s, d: (lambda a: L.patched(a, a.where("entry_pos % 4 = 1
 SQL["l18_patch"] = f"""{_W}, p AS (SELECT *, entry_pos % 4 = 1 AS hit, CASE WHEN entry_pos % 8 = 1 THEN 'short note' ELSE summary END AS s2 FROM ledger)
 SELECT id, s2 AS summary, CASE WHEN hit THEN 'deferred' ELSE status END AS status, CAST(ceil(length(s2) / 4.0) AS BIGINT) AS tokens, CASE WHEN hit THEN DATE '{D}' ELSE last_accessed END AS last_accessed FROM p"""
 
-Q["a6_inventory"] = lambda s, d: L.inventory(B.ledger(s, d), B.ledger(s, d).where("entry_pos % 9 = 0 and scope_id <> 'en'").withColumn("scope_id", F.concat("scope_id", F.lit("-b"))))
-SQL["a6_inventory"] = f"""{_W}, a AS (SELECT scope_id, count(*) AS entries FROM ledger GROUP BY 1), b AS (SELECT scope_id || '-b' AS scope_id, count(*) AS bookmarks FROM ledger WHERE entry_pos % 9 = 0 AND scope_id <> 'en' GROUP BY 1)
+Q["a6_inventory"] = lambda s, d: L.inventory(B.ledger(s, d), B.ledger(s, d).where("entry_pos % 9 = 0 and scope_id not like 'en-%'").withColumn("scope_id", F.concat("scope_id", F.lit("-b"))))
+SQL["a6_inventory"] = f"""{_W}, a AS (SELECT scope_id, count(*) AS entries FROM ledger GROUP BY 1), b AS (SELECT scope_id || '-b' AS scope_id, count(*) AS bookmarks FROM ledger WHERE entry_pos % 9 = 0 AND scope_id NOT LIKE 'en-%' GROUP BY 1)
 SELECT coalesce(a.scope_id, b.scope_id) AS scope_id, coalesce(entries, 0) AS entries, coalesce(bookmarks, 0) AS bookmarks FROM a FULL JOIN b ON a.scope_id = b.scope_id"""
 
 Q["k6_ledger_order"] = lambda s, d: B.ledger(s, d).select("id", F.row_number().over(W.partitionBy("scope_id").orderBy(F.desc(L.usage_score()), "entry_pos")).cast("bigint").alias("place"))
@@ -139,9 +140,10 @@ SQL["l10_dormant_arcs"] = f"{_W} SELECT id, CASE WHEN entry_pos % 3 = 0 THEN 'cl
 
 
 def _talk(s, d):
-    """A scope's recent talk: the texts of its first twenty documents by number."""
-    docs = B.table(s, d, "documents").where("doc_id < 80")
-    return docs.groupBy(F.col("lang").alias("scope_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", F.substring("text", 130, 300).alias("t")))), lambda x: x["t"]), " ").alias("talk"))
+    """A scope's recent talk: the last two messages of its conversations, of which each scope of a language has twenty of every eighty."""
+    lang = F.element_at(words(["en", "fr", "de", "es"]), (F.col("conv_id") % 4 + 1).cast("int"))
+    rows = T.last_messages(B.table(s, d, "conversations"), 2)
+    return rows.select(F.concat(lang, F.lit("-"), F.floor(F.col("conv_id") / 20).cast("string")).alias("scope_id"), F.col("text").alias("talk"))
 
 
 def _relevant(s, d):
@@ -149,7 +151,8 @@ def _relevant(s, d):
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
-_REL = f"""talk AS (SELECT lang AS scope_id, {B.sql_bag("string_agg(substr(text, 130, 300), ' ' ORDER BY doc_id)")} AS talk FROM documents WHERE doc_id < 80 GROUP BY 1),
+_REL = f"""recent AS (SELECT (['en', 'fr', 'de', 'es'])[conv_id % 4 + 1] || '-' || (conv_id // 20) AS scope_id, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2),
+talk AS (SELECT scope_id, list(DISTINCT w) AS talk FROM (SELECT scope_id, unnest({B.sql_bag("text")}) AS w FROM recent) GROUP BY 1),
 topic AS (SELECT l.*, list_filter({B.sql_bag("summary")}, lambda w: length(w) > 2 AND NOT list_contains({_STOP}, w)) AS tw FROM ledger l),
 rel AS (SELECT t.* EXCLUDE (tw), coalesce(CASE WHEN len(tw) > 0 THEN len(list_intersect(tw, talk)) / len(tw)::DOUBLE ELSE 0 END, 0) AS relevance FROM topic t LEFT JOIN talk USING (scope_id))"""
 _LIVE = "coalesce(status, 'open') <> 'done' AND superseded_by IS NULL"
@@ -171,9 +174,9 @@ fill AS (SELECT scope_id, CAST(0 AS BIGINT) AS rank, CAST(1000 AS BIGINT) AS bud
 UNION ALL SELECT r.scope_id, r.rank, CASE WHEN r.tokens <= f.budget THEN f.budget - r.tokens ELSE f.budget END, r.tokens <= f.budget, r.id, r.tokens, r.relevance FROM fill f JOIN ranked r ON r.scope_id = f.scope_id AND r.rank = f.rank + 1)
 SELECT scope_id, id, rank, tokens, relevance > 0.1 AS summoned FROM fill WHERE taken"""
 
-Q["j11_cold_recall"] = lambda s, d: (lambda a: R.cold_recall(a.where("temp = 'hot' and entry_pos % 50 = 3"), a.where("temp = 'cold'"), 0.6).select("scope_id", "id"))(R.relevance(B.ledger(s, d), _talk(s, d)))
-SQL["j11_cold_recall"] = f"""{_W}, {_REL}, miss AS (SELECT scope_id FROM rel WHERE temp = 'hot' AND entry_pos % 50 = 3 GROUP BY 1 HAVING max(relevance) < 0.6)
-SELECT scope_id, id FROM rel WHERE temp = 'cold' AND {_LIVE} AND NOT deleted AND relevance > 0.6 AND scope_id IN (SELECT scope_id FROM miss) QUALIFY row_number() OVER (PARTITION BY scope_id ORDER BY relevance DESC, entry_pos) = 1"""
+Q["j11_cold_recall"] = lambda s, d: (lambda a: R.cold_recall(a.where("temp = 'hot'"), a.where("temp = 'cold'"), 0.1).select("scope_id", "id"))(R.relevance(B.ledger(s, d), _talk(s, d)))
+SQL["j11_cold_recall"] = f"""{_W}, {_REL}, miss AS (SELECT scope_id FROM rel WHERE temp = 'hot' GROUP BY 1 HAVING max(relevance) < 0.1)
+SELECT scope_id, id FROM rel WHERE temp = 'cold' AND {_LIVE} AND NOT deleted AND relevance > 0.1 AND scope_id IN (SELECT scope_id FROM miss) QUALIFY row_number() OVER (PARTITION BY scope_id ORDER BY relevance DESC, entry_pos) = 1"""
 
 Q["k5_bounded_view"] = lambda s, d: (lambda a: R.view(a.where("entry_pos % 40 = 1").select(F.col("id").alias("task_id"), "scope_id", F.concat(F.lit("e"), (F.col("entry_pos") + 3).cast("string")).alias("focus_id"), "summary"), a, 10))(B.ledger(s, d))
 SQL["k5_bounded_view"] = f"""{_W}, b AS (SELECT *, {B.sql_bag("summary")} AS bag FROM ledger), t AS (SELECT id AS task_id, scope_id, 'e' || (entry_pos + 3)::VARCHAR AS focus_id, bag AS tb FROM b WHERE entry_pos % 40 = 1),

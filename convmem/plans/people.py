@@ -81,14 +81,14 @@ SQL["j26_sender_labels"] = "SELECT conv_id, turn, CASE WHEN role <> 'user' THEN
 
 
 def _facts(s, d):
-    docs = B.table(s, d, "documents").where("doc_id % 4 < 3")
-    n = F.col("doc_id") % 90
+    docs = B.table(s, d, "documents")
+    n = F.when(F.col("doc_id") % 5 == 0, F.col("doc_id")).otherwise(F.floor(F.col("doc_id") / 4))
     return docs.select((F.col("doc_id") % 3).alias("pass"), F.col("doc_id").alias("pos"), F.concat(F.lit("Likes  item "), n.cast("string"), F.when(F.col("doc_id") % 2 == 0, " ").otherwise("")).alias("fact"), (n % 2).cast("string").alias("lane"), F.when(F.col("doc_id") % 5 > 1, F.lit("Ann")).when(F.col("doc_id") % 5 == 1, F.lit("Bo")).alias("subject"))
 
 
-_FACTS = "fact AS (SELECT doc_id % 3 AS pass, doc_id AS pos, 'Likes  item ' || (doc_id % 90) || CASE WHEN doc_id % 2 = 0 THEN ' ' ELSE '' END AS fact, CAST((doc_id % 90) % 2 AS VARCHAR) AS lane, CASE WHEN doc_id % 5 > 1 THEN 'Ann' WHEN doc_id % 5 = 1 THEN 'Bo' END AS subject FROM documents WHERE doc_id % 4 < 3)"
-Q["a3_consensus_facts"] = lambda s, d: K.consensus_facts(_facts(s, d).where("pos % 7 < 4"), 3)
-SQL["a3_consensus_facts"] = rf"""WITH {_FACTS}, f AS (SELECT *, regexp_replace(trim(lower(fact)), '\s+', ' ', 'g') AS n, coalesce(subject, '?') AS s FROM fact WHERE pos % 7 < 4),
+_FACTS = "fact0 AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN doc_id ELSE doc_id // 4 END AS n FROM documents), fact AS (SELECT doc_id % 3 AS pass, doc_id AS pos, 'Likes  item ' || n || CASE WHEN doc_id % 2 = 0 THEN ' ' ELSE '' END AS fact, CAST(n % 2 AS VARCHAR) AS lane, CASE WHEN doc_id % 5 > 1 THEN 'Ann' WHEN doc_id % 5 = 1 THEN 'Bo' END AS subject FROM fact0)"
+Q["a3_consensus_facts"] = lambda s, d: K.consensus_facts(_facts(s, d), 3)
+SQL["a3_consensus_facts"] = rf"""WITH {_FACTS}, f AS (SELECT *, regexp_replace(trim(lower(fact)), '\s+', ' ', 'g') AS n, coalesce(subject, '?') AS s FROM fact),
 c AS (SELECT lane, n, s, count(*) AS c, min(pass * 1000000000 + pos) AS first, arg_min(fact, -length(fact) * 1000000000000 + pass * 1000000000 + pos) AS rep FROM f GROUP BY 1, 2, 3),
 b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lane, n ORDER BY c DESC, first) = 1), k AS (SELECT lane, n, count(DISTINCT pass) AS seen FROM f GROUP BY 1, 2)
 SELECT lane, rep AS fact, s AS subject, seen FROM b JOIN k USING (lane, n) WHERE seen >= 2"""
@@ -98,17 +98,17 @@ SQL["a14_distinct_in_pass"] = f"WITH {_FACTS} SELECT DISTINCT pass, lane, lower(
 
 
 def _votes(s, d):
-    return B.table(s, d, "documents").select((F.col("doc_id") % 50).alias("task"), F.floor(F.col("doc_id") / 50).alias("pass")).where("pass < 3").withColumn("keep", F.when((F.col("task") + F.col("pass")) % 4 != 0, F.array(F.lit(0), F.pmod("pass", F.lit(2)), F.lit(9)).cast("array<bigint>")))
+    return B.table(s, d, "documents").select(F.floor(F.col("doc_id") / 3).alias("task"), (F.col("doc_id") % 3).alias("pass")).withColumn("keep", F.when((F.col("task") + F.col("pass")) % 4 != 0, F.array(F.lit(0), F.pmod("pass", F.lit(2)), F.lit(9)).cast("array<bigint>")))
 
 
 Q["a4_judge_votes"] = lambda s, d: K.kept_by_vote(_votes(s, d).select("task").distinct().withColumn("idx", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(3)]))), _votes(s, d))
-SQL["a4_judge_votes"] = """WITH v AS (SELECT DISTINCT doc_id % 50 AS task, doc_id // 50 AS pass FROM documents WHERE doc_id // 50 < 3), k AS (SELECT task, pass, unnest([0, pass % 2, 9]) AS idx FROM v WHERE (task + pass) % 4 <> 0),
+SQL["a4_judge_votes"] = """WITH v AS (SELECT DISTINCT doc_id // 3 AS task, doc_id % 3 AS pass FROM documents), k AS (SELECT task, pass, unnest([0, pass % 2, 9]) AS idx FROM v WHERE (task + pass) % 4 <> 0),
 p AS (SELECT task, count(DISTINCT pass) AS p FROM v WHERE (task + pass) % 4 <> 0 GROUP BY 1), c AS (SELECT task, idx, count(*) AS c FROM k GROUP BY 1, 2), i AS (SELECT task, unnest([0, 1, 2]) AS idx FROM (SELECT DISTINCT task FROM v))
 SELECT i.task, CAST(i.idx AS BIGINT) AS idx FROM i LEFT JOIN p ON p.task = i.task LEFT JOIN c ON c.task = i.task AND c.idx = i.idx WHERE p IS NULL OR coalesce(c, 0) * 2 > p"""
 
 
 def _clusters(s, d):
-    return B.ledger(s, d).where("entry_pos < 400").select(F.floor(F.col("entry_pos") / 4).alias("cluster"), "id", "entry_pos")
+    return B.ledger(s, d).select(F.floor(F.col("entry_pos") / 4).alias("cluster"), "id", "entry_pos")
 
 
 def _verdicts(s, d):
@@ -117,23 +117,23 @@ def _verdicts(s, d):
     return c.select("cluster", F.when(F.col("cluster") % 3 == 0, "distinct").otherwise("merge").alias("verdict"), F.when(F.col("cluster") % 5 == 0, F.lit("gone")).otherwise(e(0)).alias("canonical_id"), F.array(e(0), e(1), e(2), e(99)).alias("redundant_ids"))
 
 
-_CL = "cl AS (SELECT doc_id // 4 AS cluster, min(doc_id) AS m, count(*) AS n FROM documents WHERE doc_id < 400 GROUP BY 1)"
+_CL = "cl AS (SELECT doc_id // 4 AS cluster, min(doc_id) AS m, count(*) AS n FROM documents GROUP BY 1)"
 Q["d6_proposed_merges"] = lambda s, d: K.proposals(_clusters(s, d), _verdicts(s, d)).withColumn("redundant_ids", F.array_join("redundant_ids", ","))
-SQL["d6_proposed_merges"] = f"""WITH {_CL}, o AS (SELECT *, cluster % 3 <> 0 AND cluster % 5 <> 0 AS ok FROM cl)
-SELECT cluster, CASE WHEN ok THEN 'merge' ELSE 'distinct' END AS verdict, CASE WHEN ok THEN 'e' || m END AS canonical_id, CASE WHEN ok THEN array_to_string(list_sort(['e' || (m + 1), 'e' || (m + 2)]), ',') ELSE '' END AS redundant_ids FROM o"""
+SQL["d6_proposed_merges"] = f"""WITH {_CL}, o AS (SELECT *, cluster % 3 <> 0 AND cluster % 5 <> 0 AND n > 1 AS ok FROM cl)
+SELECT cluster, CASE WHEN ok THEN 'merge' ELSE 'distinct' END AS verdict, CASE WHEN ok THEN 'e' || m END AS canonical_id, CASE WHEN ok THEN array_to_string(list_sort(list_transform(list_filter([1, 2], lambda k: k < n), lambda k: 'e' || (m + k))), ',') ELSE '' END AS redundant_ids FROM o"""
 
-_tasks = lambda s, d: B.ledger(s, d).where("entry_pos % 5 = 0").select(F.col("id").alias("task_id"), "scope_id", "summary", F.concat(F.lit("e"), (F.col("entry_pos") + 990).cast("string")).alias("target_id"), "entry_pos")
+_tasks = lambda s, d: B.ledger(s, d).select(F.col("id").alias("task_id"), "scope_id", "summary", F.concat(F.lit("e"), (F.col("entry_pos") + 3).cast("string")).alias("target_id"), "entry_pos")
 _dec = lambda s, d: _tasks(s, d).where("entry_pos % 3 <> 0").select("task_id", F.element_at(X.words(["CREATE", "UPDATE", "NEGATE", "DUPLICATE", "EXPAND", "DISTINCT"]), (F.col("entry_pos") % 6 + 1).cast("int")).alias("verdict"), F.when(F.col("entry_pos") % 4 == 0, "hold").otherwise("auto").alias("action"))
-_TASK = "task AS (SELECT 'e' || doc_id AS task_id, lang AS scope_id, doc_id, (['CREATE', 'UPDATE', 'NEGATE', 'DUPLICATE', 'EXPAND', 'DISTINCT'])[doc_id % 6 + 1] AS v, doc_id % 3 <> 0 AS decided, CASE WHEN doc_id % 4 = 0 THEN 'hold' ELSE 'auto' END AS action FROM documents WHERE doc_id % 5 = 0)"
+_TASK = "task AS (SELECT 'e' || doc_id AS task_id, lang || '-' || (doc_id // 200) AS scope_id, doc_id, (['CREATE', 'UPDATE', 'NEGATE', 'DUPLICATE', 'EXPAND', 'DISTINCT'])[doc_id % 6 + 1] AS v, doc_id % 3 <> 0 AS decided, CASE WHEN doc_id % 4 = 0 THEN 'hold' ELSE 'auto' END AS action FROM documents)"
 Q["d8_superseded_by_verdict"] = lambda s, d: K.applied_verdicts(_tasks(s, d), _dec(s, d), B.ledger(s, d))[1]
-SQL["d8_superseded_by_verdict"] = f"WITH {_TASK} SELECT 'e' || (t.doc_id + 990) AS id, 'new-' || task_id AS by FROM task t JOIN documents d ON d.doc_id = t.doc_id + 990 WHERE decided AND v IN ('UPDATE', 'NEGATE')"
+SQL["d8_superseded_by_verdict"] = f"WITH {_TASK} SELECT 'e' || (t.doc_id + 3) AS id, 'new-' || task_id AS by FROM task t JOIN documents d ON d.doc_id = t.doc_id + 3 WHERE decided AND v IN ('UPDATE', 'NEGATE')"
 Q["d8_created_by_verdict"] = lambda s, d: K.applied_verdicts(_tasks(s, d), _dec(s, d), B.ledger(s, d))[0].select("id", "scope_id")
 SQL["d8_created_by_verdict"] = f"WITH {_TASK} SELECT 'new-' || task_id AS id, scope_id FROM task WHERE decided AND v <> 'DUPLICATE'"
 Q["d10_drained_queue"] = lambda s, d: K.drained(_tasks(s, d), _dec(s, d), 20, False)[0].select("task_id", "verdict", "outcome")
 SQL["d10_drained_queue"] = f"""WITH {_TASK}, n AS (SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY task_id) AS rn FROM task)
 SELECT task_id, CASE WHEN decided THEN v END AS verdict, CASE WHEN NOT decided THEN 'failed' WHEN action = 'hold' THEN 'held' ELSE 'applied' END AS outcome FROM n WHERE rn <= 20"""
-Q["d9_coalesced_queue"] = lambda s, d: (lambda t: K.coalesced(t.where("entry_pos % 15 = 0"), t).select("id"))(B.ledger(s, d).where("entry_pos % 5 = 0").select("id", "scope_id", F.lit("x").alias("against_id"), F.substring("summary", 1, 6).alias("summary"), "entry_pos"))
-SQL["d9_coalesced_queue"] = f"""WITH {B.LEDGER}, t AS (SELECT id, scope_id, substr(summary, 1, 6) AS s, entry_pos FROM ledger WHERE entry_pos % 5 = 0)
+Q["d9_coalesced_queue"] = lambda s, d: (lambda t: K.coalesced(t.where("entry_pos % 15 = 0"), t).select("id"))(B.ledger(s, d).select("id", "scope_id", F.lit("x").alias("against_id"), "summary", "entry_pos"))
+SQL["d9_coalesced_queue"] = f"""WITH {B.LEDGER}, t AS (SELECT id, scope_id, summary AS s, entry_pos FROM ledger)
 SELECT min(id) AS id FROM t WHERE (scope_id, s) NOT IN (SELECT scope_id, s FROM t WHERE entry_pos % 15 = 0) GROUP BY scope_id, s"""
 Q["d3_cleanup"] = lambda s, d: K.cleanup(B.ledger(s, d).withColumn("summary", F.when(F.col("entry_pos") % 31 == 0, F.lit(" ")).otherwise(F.col("summary"))), "(^|[^a-z])(this|und)([^a-z]|$)")
 SQL["d3_cleanup"] = f"""WITH {B.LEDGER} SELECT id, CASE WHEN entry_pos % 31 = 0 THEN 'deleted' WHEN regexp_matches(lower(summary), '(^|[^a-z])(this|und)([^a-z]|$)') AND retrieval_count + 3 * recitation_count <= 5
@@ -154,9 +154,9 @@ def _incident_conflicts(s, d):
 
 
 Q["d1_dedup_ingest"] = lambda s, d: K.independent_first(B.ledger(s, d).select(F.col("entry_pos").alias("id")), _incident_conflicts(s, d))
-SQL["d1_dedup_ingest"] = f"""WITH RECURSIVE {B.LEDGER}, b AS (SELECT entry_pos, scope_id, lane, {B.sql_bag("summary")} AS t FROM ledger),
+SQL["d1_dedup_ingest"] = f"""WITH RECURSIVE {B.LEDGER}, b AS MATERIALIZED (SELECT entry_pos, scope_id, lane, {B.sql_bag("summary")} AS t FROM ledger),
 e AS (SELECT x.entry_pos AS a, y.entry_pos AS b FROM b x JOIN b y ON x.scope_id = y.scope_id AND x.lane = y.lane AND x.entry_pos < y.entry_pos AND len(x.t) > 0 AND len(y.t) > 0 WHERE len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t)))::DOUBLE >= 0.35),
-o AS (SELECT b AS id, list(a) AS earlier FROM e GROUP BY 1), n AS (SELECT id, earlier, row_number() OVER (ORDER BY id) AS rn FROM o),
+o AS MATERIALIZED (SELECT b AS id, list(a) AS earlier FROM e GROUP BY 1), n AS MATERIALIZED (SELECT id, earlier, row_number() OVER (ORDER BY id) AS rn FROM o),
 r AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS gone UNION ALL SELECT n.rn, CASE WHEN len(list_filter(n.earlier, lambda q: NOT list_contains(r.gone, q))) > 0 THEN list_append(r.gone, n.id) ELSE r.gone END FROM r JOIN n ON n.rn = r.rn + 1),
 g AS (SELECT gone FROM r ORDER BY rn DESC LIMIT 1) SELECT entry_pos AS id FROM ledger, g WHERE NOT list_contains(gone, entry_pos)"""
 
@@ -182,9 +182,9 @@ UNION SELECT 'c' || substr(thread_id, 2), id FROM ledger WHERE thread_id IS NOT
 Q["j19_footnote_lines"] = lambda s, d: K.footnotes(B.ledger(s, d).where("entry_pos % 10 = 0").select(F.col("id").alias("recap_id"), F.array(*[F.concat(F.lit("e"), (F.col("entry_pos") + k).cast("string")) for k in (5, 2, 2000000, 1)]).alias("footnote_ids")), B.ledger(s, d).select(F.col("id").alias("beat_id"), F.col("lane").alias("line")))
 SQL["j19_footnote_lines"] = f"""WITH {B.LEDGER}, f AS (SELECT id AS recap_id, unnest([entry_pos + 5, entry_pos + 2, entry_pos + 2000000, entry_pos + 1]) AS p, unnest([1, 2, 3, 4]) AS o FROM ledger WHERE entry_pos % 10 = 0)
 SELECT recap_id, string_agg(lane, chr(10) ORDER BY o) AS lines FROM f JOIN ledger ON entry_pos = p GROUP BY 1"""
-Q["j22_recitations"] = lambda s, d: (lambda c: K.recitations(c.select("conv_id", "turn", F.lit("x").alias("id"), F.substring("text", 1, 80).alias("summary")), c, 0.2))(B.table(s, d, "conversations"))
+Q["j22_recitations"] = lambda s, d: (lambda c: K.recitations(c.select("conv_id", "turn", F.lit("x").alias("id"), F.col("text").alias("summary")), c, 0.2))(B.table(s, d, "conversations"))
 _ST = "[" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
-SQL["j22_recitations"] = f"""WITH a AS (SELECT conv_id, turn + 1 AS turn, list_filter({B.sql_bag("substr(text, 1, 80)")}, lambda w: length(w) > 2 AND NOT list_contains({_ST}, w)) AS w FROM conversations), b AS (SELECT conv_id, turn, {B.sql_bag("text")} AS t FROM conversations)
+SQL["j22_recitations"] = f"""WITH a AS (SELECT conv_id, turn + 1 AS turn, list_filter({B.sql_bag("text")}, lambda w: length(w) > 2 AND NOT list_contains({_ST}, w)) AS w FROM conversations), b AS (SELECT conv_id, turn, {B.sql_bag("text")} AS t FROM conversations)
 SELECT conv_id, turn, 'x' AS id FROM a JOIN b USING (conv_id, turn) WHERE len(w) > 0 AND len(list_intersect(w, t)) / len(w)::DOUBLE >= 0.2"""
 Q["a5_thread_health"] = lambda s, d: K.thread_health(B.table(s, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("beats")).join(B.table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("chat_id"), F.when(F.col("o_orderstatus") == "O", "active").otherwise("closed").alias("status"), "beats"))
 SQL["a5_thread_health"] = "WITH n AS (SELECT l_orderkey, count(*) AS b FROM lineitem GROUP BY 1) SELECT o_custkey AS chat_id, count(*) AS threads, count(*) FILTER (WHERE o_orderstatus = 'O') AS active, count(*) FILTER (WHERE b = 1) AS single FROM n JOIN orders ON o_orderkey = l_orderkey GROUP BY 1"

@@ -16,14 +16,14 @@ _FUNC = "[" + ", ".join(f"'{w}'" for w in X.FUNCTION_WORDS) + "]"
 
 
 def _docs(s, d):
-    return B.table(s, d, "documents").select("doc_id", "lang", "text", F.substring("text", 1, 120).alias("summary"))
+    return B.table(s, d, "documents").select("doc_id", "lang", "text", F.col("text").alias("summary"))
 
 
 def _joined(c):
     return F.array_join(F.array_sort(c), " ")
 
 
-_DOC = "WITH doc AS (SELECT doc_id, lang, text, substr(text, 1, 120) AS summary FROM documents)"
+_DOC = "WITH doc AS (SELECT doc_id, lang, text, text AS summary FROM documents)"
 _J = "array_to_string(list_sort({}), ' ')"
 _SWEEP = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda w: length(w) >= 3))"
 
@@ -100,7 +100,7 @@ SQL["p4_stripped"] = rf"WITH {_CMDSQL} SELECT conv_id, turn, trim(regexp_replace
 
 # Similarity -----------------------------------------------------------------------------------
 
-_PAIRS = """tok AS (SELECT doc_id, lang, {tok} AS t FROM doc), one AS (SELECT lang, list_sort(t) AS t, min(doc_id) AS k FROM tok WHERE len(t) > 0 GROUP BY 1, 2),
+_PAIRS = """tok AS MATERIALIZED (SELECT doc_id, lang, {tok} AS t FROM doc), one AS MATERIALIZED (SELECT lang, list_sort(t) AS t, min(doc_id) AS k FROM tok WHERE len(t) > 0 GROUP BY 1, 2),
 cand AS (SELECT x.lang, x.k AS a, y.k AS b, len(list_intersect(x.t, y.t)) AS i, len(x.t) + len(y.t) AS n FROM one x JOIN one y ON x.lang = y.lang AND x.k < y.k)"""
 Q["j7_summary_pairs"] = lambda s, d: S.set_similarity_pairs(_docs(s, d), "lang", "doc_id", X.bag(F.col("summary")), 0.35).select(F.col("block").alias("lang"), "a", "b", F.round("similarity", 6).alias("similarity"))
 SQL["j7_summary_pairs"] = f"{_DOC}, {_PAIRS.format(tok=B.sql_bag('summary'))} SELECT lang, a, b, round(i / (n - i)::DOUBLE, 6) AS similarity FROM cand WHERE i / (n - i)::DOUBLE >= 0.35"
@@ -114,9 +114,9 @@ def _clusters(s, d):
 
 
 Q["d4_fact_clusters"] = lambda s, d: _clusters(s, d).select("cluster", F.col("key").alias("doc_id"), "size", "oversized")
-SQL["d4_fact_clusters"] = f"""WITH RECURSIVE doc AS (SELECT doc_id, lang, text, substr(text, 1, 120) AS summary FROM documents), tok AS (SELECT doc_id, lang, {_SWEEP.format("summary")} AS t FROM doc),
-e AS (SELECT x.doc_id AS a, y.doc_id AS b FROM tok x JOIN tok y ON x.lang = y.lang AND x.doc_id <> y.doc_id AND len(x.t) > 0 AND len(y.t) > 0
-  WHERE len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t)))::DOUBLE >= 0.5),
+SQL["d4_fact_clusters"] = f"""WITH RECURSIVE doc AS (SELECT doc_id, lang, text, text AS summary FROM documents), tok AS MATERIALIZED (SELECT doc_id, lang, {_SWEEP.format("summary")} AS t FROM doc),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, len(list_intersect(x.t, y.t)) AS i, len(x.t) + len(y.t) AS n FROM tok x JOIN tok y ON x.lang = y.lang AND x.doc_id < y.doc_id AND len(x.t) > 0 AND len(y.t) > 0),
+q AS MATERIALIZED (SELECT a, b FROM p WHERE i / (n - i)::DOUBLE >= 0.5), e AS MATERIALIZED (SELECT a, b FROM q UNION ALL SELECT b, a FROM q),
 reach AS (SELECT a AS n, a AS m FROM e UNION SELECT r.n, e.b FROM reach r JOIN e ON e.a = r.m),
 c AS (SELECT n AS doc_id, min(m) AS cluster FROM reach GROUP BY 1) SELECT cluster, doc_id, count(*) OVER (PARTITION BY cluster) AS size, count(*) OVER (PARTITION BY cluster) > 12 AS oversized FROM c"""
 
