@@ -141,3 +141,21 @@ def tallies(audit: DataFrame) -> DataFrame:
 def thread_health(threads: DataFrame) -> DataFrame:
     """(chat_id, threads, active, single): counts of a chat's threads, and how many have one beat."""
     return threads.groupBy("chat_id").agg(F.count("*").alias("threads"), F.count_if(F.col("status") == "active").alias("active"), F.count_if(F.col("beats") == 1).alias("single"))
+
+
+def ignored_groups(ignored: DataFrame) -> DataFrame:
+    """(label, held, ignored_at): ignored beats by their speaker. ignored: (speaker, ignored_at)."""
+    return ignored.groupBy(F.col("speaker").alias("label")).agg(F.count("*").alias("held"), F.max("ignored_at").alias("ignored_at"))
+
+
+def scene_participants(scenes: DataFrame, identities: DataFrame) -> DataFrame:
+    """(scene_id, identity_key, first): characters of a scene, in order, that are known. scenes: (scene_id, characters: array, senders first)."""
+    spread = scenes.select("scene_id", F.posexplode("characters").alias("pos", "identity_key")).join(identities.select("identity_key").distinct(), "identity_key")
+    once = spread.groupBy("scene_id", "identity_key").agg(F.min("pos").alias("pos"))
+    return once.select("scene_id", "identity_key", (F.row_number().over(W.partitionBy("scene_id").orderBy("pos")) == 1).alias("first"))
+
+
+def orphaned(beats: DataFrame, pending: DataFrame, gone: DataFrame) -> DataFrame:
+    """(speaker_norm, beat_id): what is held once these identities are gone: what was held, and their beats under their speakers."""
+    back = beats.join(gone, "identity_key", "left_semi").select(X.label(F.col("speaker")).alias("speaker_norm"), "beat_id")
+    return pending.select("speaker_norm", "beat_id").unionByName(back).distinct()

@@ -76,7 +76,7 @@ def fuzzy_suggestions(labels: DataFrame, aliases: DataFrame, least: float = 0.85
 
 
 def resolved(names: DataFrame, aliases: DataFrame, identities: DataFrame) -> DataFrame:
-    """(name, identity_key): by alias, else by identity name, else by the one alias that contains it; where a step is ambiguous, null."""
+    """(name, identity_key): by alias, else by identity name, else by the one identity with an alias whose words it has or that has its words; where a step is ambiguous, null."""
     own = names.select("name", X.label(F.col("name")).alias("_n")).distinct()
 
     def step(table: DataFrame, column: str, tag: str) -> DataFrame:
@@ -84,9 +84,12 @@ def resolved(names: DataFrame, aliases: DataFrame, identities: DataFrame) -> Dat
         return known.groupBy("_n").agg(F.min("identity_key").alias(f"_{tag}"), F.count("*").alias(f"_{tag}n"))
 
     rows = own.join(step(aliases, "label", "a"), "_n", "left").join(step(identities, "name", "b"), "_n", "left")
-    # A name within an alias shares its first word with one of the alias's words.
-    words = aliases.select("identity_key", X.label(F.col("label")).alias("m")).distinct().withColumn("w", F.explode(F.array_distinct(F.split("m", " "))))
-    inside = own.withColumn("w", F.element_at(F.split("_n", " "), 1)).join(words, "w").where(F.contains("m", "_n"))
+    # The significant words of one, in any order, are all words of the other: by words, counted.
+    significant = lambda c: F.array_distinct(F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3))
+    asked = own.select("_n").distinct().withColumn("w", significant(F.col("_n"))).select("_n", F.size("w").alias("_size"), F.explode("w").alias("w"))
+    words = aliases.select("identity_key", X.label(F.col("label")).alias("m")).distinct().withColumn("w", significant(F.col("m")))
+    words = words.select("identity_key", "m", F.size("w").alias("_other"), F.explode("w").alias("w"))
+    inside = asked.join(words, "w").groupBy("_n", "identity_key", "m").agg((F.count("*") == F.least(F.max("_size"), F.max("_other"))).alias("_all")).where("_all")
     inside = inside.groupBy("_n").agg(F.min("identity_key").alias("_c"), F.countDistinct("identity_key").alias("_cn"))
     rows = rows.join(inside, "_n", "left")
     key = (
@@ -126,10 +129,18 @@ def routed(orphans: DataFrame, aliases: DataFrame, user_key: str) -> DataFrame:
 
 
 def unique_slugs(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """Adds ``slug``: of equal ones the first keeps it and the others are numbered from 2."""
+    """Adds ``slug``: of equal ones the first keeps it and the others get the least numbers from 2 on with which no other row's own slug ends.
+
+    Numbers that are taken are found by parsing the slugs themselves; the free ones of each slug are dealt in order.
+    """
     base = rows.withColumn("_s", X.slug(F.col(name)))
-    n = F.row_number().over(W.partitionBy("_s").orderBy(order))
-    return base.withColumn("slug", F.when(n == 1, F.col("_s")).otherwise(F.concat("_s", F.lit("_"), n.cast("string")))).drop("_s")
+    base = base.withColumn("_j", F.row_number().over(W.partitionBy("_s").orderBy(order)) - 1)
+    own = base.groupBy("_s").agg(F.max("_j").alias("_more"))
+    taken = own.select(F.regexp_extract("_s", "^(.*)_([1-9][0-9]{0,8})$", 1).alias("_s"), F.regexp_extract("_s", "^(.*)_([1-9][0-9]{0,8})$", 2).cast("int").alias("_k")).where("_s <> ''")
+    wanted = own.where("_more > 0").join(taken.groupBy("_s").agg(F.count("*").alias("_t")), "_s", "left")
+    free = wanted.select("_s", "_more", F.explode(F.sequence(F.lit(2), (F.col("_more") + F.coalesce("_t", F.lit(0)) + 1).cast("int"))).alias("_k")).join(taken, ["_s", "_k"], "left_anti")
+    free = free.withColumn("_j", F.row_number().over(W.partitionBy("_s").orderBy("_k"))).where("_j <= _more").select("_s", "_j", "_k")
+    return base.join(free, ["_s", "_j"], "left").withColumn("slug", F.when(F.col("_j") == 0, F.col("_s")).otherwise(F.concat("_s", F.lit("_"), F.col("_k").cast("string")))).drop("_s", "_j", "_k")
 
 
 def without_pollution(aliases: DataFrame, user_key: str) -> DataFrame:

@@ -174,9 +174,9 @@ fill AS (SELECT scope_id, CAST(0 AS BIGINT) AS rank, CAST(1000 AS BIGINT) AS bud
 UNION ALL SELECT r.scope_id, r.rank, CASE WHEN r.tokens <= f.budget THEN f.budget - r.tokens ELSE f.budget END, r.tokens <= f.budget, r.id, r.tokens, r.relevance FROM fill f JOIN ranked r ON r.scope_id = f.scope_id AND r.rank = f.rank + 1)
 SELECT scope_id, id, rank, tokens, relevance > 0.1 AS summoned FROM fill WHERE taken"""
 
-Q["j11_cold_recall"] = lambda s, d: (lambda a: R.cold_recall(a.where("temp = 'hot'"), a.where("temp = 'cold'"), 0.1).select("scope_id", "id"))(R.relevance(B.ledger(s, d), _talk(s, d)))
-SQL["j11_cold_recall"] = f"""{_W}, {_REL}, miss AS (SELECT scope_id FROM rel WHERE temp = 'hot' GROUP BY 1 HAVING max(relevance) < 0.1)
-SELECT scope_id, id FROM rel WHERE temp = 'cold' AND {_LIVE} AND NOT deleted AND relevance > 0.1 AND scope_id IN (SELECT scope_id FROM miss) QUALIFY row_number() OVER (PARTITION BY scope_id ORDER BY relevance DESC, entry_pos) = 1"""
+Q["j11_cold_recall"] = lambda s, d: (lambda a: R.cold_recall(a.where("temp = 'hot'"), a.where("temp = 'cold'"), 0.49).select("scope_id", "id"))(R.relevance(B.ledger(s, d), _talk(s, d)))
+SQL["j11_cold_recall"] = f"""{_W}, {_REL}, miss AS (SELECT scope_id FROM rel WHERE temp = 'hot' GROUP BY 1 HAVING max(relevance) < 0.49)
+SELECT scope_id, id FROM rel WHERE temp = 'cold' AND {_LIVE} AND NOT deleted AND relevance > 0.49 AND scope_id IN (SELECT scope_id FROM miss) QUALIFY row_number() OVER (PARTITION BY scope_id ORDER BY relevance DESC, entry_pos) = 1"""
 
 Q["k5_bounded_view"] = lambda s, d: (lambda a: R.view(a.where("entry_pos % 40 = 1").select(F.col("id").alias("task_id"), "scope_id", F.concat(F.lit("e"), (F.col("entry_pos") + 3).cast("string")).alias("focus_id"), "summary"), a, 10))(B.ledger(s, d))
 SQL["k5_bounded_view"] = f"""{_W}, b AS (SELECT *, {B.sql_bag("summary")} AS bag FROM ledger), t AS (SELECT id AS task_id, scope_id, 'e' || (entry_pos + 3)::VARCHAR AS focus_id, bag AS tb FROM b WHERE entry_pos % 40 = 1),

@@ -43,7 +43,9 @@ SQL["j1_exact_labels"] = f"WITH {_AL}, {_NAMES} SELECT name AS label, identity_k
 
 Q["j3_resolved_names"] = lambda s, d: I.resolved(_names(s, d), _aliases(s, d), _identities(s, d))
 SQL["j3_resolved_names"] = f"""WITH {_AL}, {_NAMES}, a AS (SELECT n, min(identity_key) AS k, count(*) AS c FROM lab GROUP BY 1), b AS (SELECT lower(c_name) AS n, min('k' || c_custkey) AS k, count(*) AS c FROM customer GROUP BY 1),
-i AS (SELECT lower(name) AS n, min(identity_key) AS k, count(DISTINCT identity_key) AS c FROM names JOIN lab ON contains(lab.n, lower(name)) GROUP BY 1)
+q AS (SELECT DISTINCT lower(name) AS n, list_distinct(list_filter(string_split_regex(lower(name), '[^\\pL\\pN]+'), lambda w: length(w) >= 3)) AS w FROM names),
+l AS (SELECT identity_key, n AS m, list_distinct(list_filter(string_split_regex(n, '[^\\pL\\pN]+'), lambda w: length(w) >= 3)) AS w FROM lab), qw AS (SELECT n, len(w) AS a, unnest(w) AS w FROM q), lw AS (SELECT identity_key, m, len(w) AS b, unnest(w) AS w FROM l),
+h AS (SELECT qw.n, identity_key, m FROM qw JOIN lw USING (w) GROUP BY 1, 2, 3 HAVING count(*) = least(max(a), max(b))), i AS (SELECT n, min(identity_key) AS k, count(DISTINCT identity_key) AS c FROM h GROUP BY 1)
 SELECT name, CASE WHEN a.c IS NOT NULL THEN CASE WHEN a.c = 1 THEN a.k END WHEN b.c IS NOT NULL THEN CASE WHEN b.c = 1 THEN b.k END ELSE CASE WHEN i.c = 1 THEN i.k END END AS identity_key
 FROM names LEFT JOIN a ON a.n = lower(name) LEFT JOIN b ON b.n = lower(name) LEFT JOIN i ON i.n = lower(name)"""
 
@@ -66,9 +68,11 @@ Q["d13_routed_orphans"] = lambda s, d: I.routed(_names(s, d).withColumnRenamed("
 SQL["d13_routed_orphans"] = f"""WITH {_AL}, {_NAMES}, x AS (SELECT name, min(identity_key) AS k, count(*) AS n, bool_or(identity_key = 'k4') AS u FROM names JOIN lab ON lower(name) = n GROUP BY 1)
 SELECT name AS speaker, CASE WHEN u THEN 'dropped' WHEN n = 1 THEN 'routed' ELSE 'held' END AS route, CASE WHEN NOT u AND n = 1 THEN k END AS identity_key FROM names LEFT JOIN x USING (name)"""
 
-Q["p14_unique_slugs"] = lambda s, d: I.unique_slugs(B.table(s, d, "part").select("p_partkey", "p_type"), "p_type", "p_partkey").select("p_partkey", "slug")
-SQL["p14_unique_slugs"] = """WITH b AS (SELECT p_partkey, substr(regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 40) AS s FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY p_partkey) AS n FROM b)
-SELECT p_partkey, CASE WHEN n = 1 THEN s ELSE s || '_' || n END AS slug FROM n"""
+Q["p14_unique_slugs"] = lambda s, d: I.unique_slugs(B.table(s, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 50 == 7, F.concat("p_type", F.lit(" "), (F.col("p_partkey") % 4 + 2).cast("string"))).otherwise(F.col("p_type")).alias("p_type")), "p_type", "p_partkey").select("p_partkey", "slug")
+SQL["p14_unique_slugs"] = """WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 50 = 7 THEN p_type || ' ' || (p_partkey % 4 + 2) ELSE p_type END AS t FROM part),
+b AS (SELECT p_partkey, substr(regexp_replace(regexp_replace(lower(t), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 40) AS s FROM p), n AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY p_partkey) - 1 AS j FROM b),
+o AS (SELECT s, max(j) AS more FROM n GROUP BY 1), f AS (SELECT s, unnest(range(2, more + 1000)) AS k FROM o WHERE more > 0), g AS (SELECT s, k, row_number() OVER (PARTITION BY s ORDER BY k) AS j FROM f WHERE s || '_' || k NOT IN (SELECT s FROM o))
+SELECT p_partkey, CASE WHEN j = 0 THEN s ELSE s || '_' || k END AS slug FROM n LEFT JOIN g USING (s, j)"""
 
 Q["j25_clean_aliases"] = lambda s, d: I.without_pollution(_aliases(s, d).withColumn("label", F.when(F.col("identity_key").endswith("7"), F.concat("label", F.lit(" and Ann"))).otherwise(F.col("label"))), "k1").select("identity_key", "label")
 SQL["j25_clean_aliases"] = f"""WITH {_AL}, p AS (SELECT identity_key, CASE WHEN ends_with(identity_key, '7') THEN label || ' and Ann' ELSE label END AS label, canonical_name FROM alias), u AS (SELECT DISTINCT lower(label) AS n FROM p WHERE identity_key = 'k1')
@@ -188,6 +192,15 @@ SQL["j22_recitations"] = f"""WITH a AS (SELECT conv_id, turn + 1 AS turn, list_f
 SELECT conv_id, turn, 'x' AS id FROM a JOIN b USING (conv_id, turn) WHERE len(w) > 0 AND len(list_intersect(w, t)) / len(w)::DOUBLE >= 0.2"""
 Q["a5_thread_health"] = lambda s, d: K.thread_health(B.table(s, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("beats")).join(B.table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("chat_id"), F.when(F.col("o_orderstatus") == "O", "active").otherwise("closed").alias("status"), "beats"))
 SQL["a5_thread_health"] = "WITH n AS (SELECT l_orderkey, count(*) AS b FROM lineitem GROUP BY 1) SELECT o_custkey AS chat_id, count(*) AS threads, count(*) FILTER (WHERE o_orderstatus = 'O') AS active, count(*) FILTER (WHERE b = 1) AS single FROM n JOIN orders ON o_orderkey = l_orderkey GROUP BY 1"
+Q["k4_recap_order"] = lambda s, d: B.ledger(s, d).select("scope_id", "id", F.row_number().over(K.W.partitionBy("scope_id").orderBy(F.when(F.col("lane") == "character_topics", 0).otherwise(1), "entry_pos")).cast("bigint").alias("place"))
+SQL["k4_recap_order"] = f"WITH {B.LEDGER} SELECT scope_id, id, row_number() OVER (PARTITION BY scope_id ORDER BY CASE WHEN lane = 'character_topics' THEN 0 ELSE 1 END, entry_pos) AS place FROM ledger"
+Q["a8_ignored_groups"] = lambda s, d: K.ignored_groups(B.ledger(s, d).select(F.concat_ws(" ", "lane", "scope_id").alias("speaker"), F.col("last_accessed").alias("ignored_at")))
+SQL["a8_ignored_groups"] = f"WITH {B.LEDGER} SELECT lane || ' ' || scope_id AS label, count(*) AS held, max(last_accessed) AS ignored_at FROM ledger GROUP BY 1"
+Q["j28_scene_participants"] = lambda s, d: K.scene_participants(B.table(s, d, "orders").select(F.col("o_orderkey").alias("scene_id"), F.array(F.concat(F.lit("k"), F.col("o_custkey").cast("string")), F.concat(F.lit("k"), (F.col("o_custkey") + 1000).cast("string")), F.lit(None).cast("string"), F.concat(F.lit("k"), F.col("o_custkey").cast("string"))).alias("characters")), _identities(s, d))
+SQL["j28_scene_participants"] = """WITH e AS (SELECT o_orderkey AS scene_id, o_custkey AS k, 1 AS pos FROM orders UNION ALL SELECT o_orderkey, o_custkey + 1000, 2 FROM orders), m AS (SELECT scene_id, 'k' || k AS identity_key, min(pos) AS pos FROM e WHERE k IN (SELECT c_custkey FROM customer) GROUP BY 1, 2)
+SELECT scene_id, identity_key, row_number() OVER (PARTITION BY scene_id ORDER BY pos) = 1 AS first FROM m"""
+Q["l14_orphaned_beats"] = lambda s, d: K.orphaned(B.ledger(s, d).select(F.col("scope_id").alias("identity_key"), F.col("id").alias("beat_id"), F.col("lane").alias("speaker"), F.col("entry_pos").alias("seq")), B.ledger(s, d).where("entry_pos % 4 = 0").select(F.col("lane").alias("speaker_norm"), F.col("id").alias("beat_id")), B.ledger(s, d).where("scope_id like 'fr-%'").select(F.col("scope_id").alias("identity_key")).distinct())
+SQL["l14_orphaned_beats"] = f"WITH {B.LEDGER} SELECT lane AS speaker_norm, id AS beat_id FROM ledger WHERE scope_id LIKE 'fr-%' OR entry_pos % 4 = 0"
 Q["x4_unbound_beats"] = lambda s, d: B.table(s, d, "part").select("p_partkey").join(B.table(s, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
 SQL["x4_unbound_beats"] = "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)"
 Q["st8_activity_windows"] = lambda s, d: B.table(s, d, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n")

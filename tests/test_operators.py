@@ -149,6 +149,30 @@ def test_names(spark):
     assert {r.name: r.identity_key for r in I.resolved(names, aliases, people).collect()} == {"ann": "k1", "BO": None, "Mara": "k4", "Zed": None}
 
 
+def test_names_by_their_words(spark):
+    aliases = spark.createDataFrame([("k1", "Dr. Mari Zielińska"), ("k2", "Mari Lund"), ("k3", "Ann-Kathrin Meier")], "identity_key string, label string")
+    names = spark.createDataFrame([("zielińska mari",), ("Mari",), ("Meier",), ("Herr Meier",), ("Kath",), ("Dr",)], "name string")
+    people = spark.createDataFrame([], "identity_key string, name string")
+    got = {r.name: r.identity_key for r in I.resolved(names, aliases, people).collect()}
+    assert got == {"zielińska mari": "k1", "Mari": None, "Meier": "k3", "Herr Meier": None, "Kath": None, "Dr": None}
+
+
+def test_slugs_are_unique(spark):
+    rows = spark.createDataFrame([(1, "Bob"), (2, "bob"), (3, "Bob 2"), (4, "bob!"), (5, "bob 2"), (6, "")], "n long, name string")
+    got = {r.n: r.slug for r in I.unique_slugs(rows, "name", "n").collect()}
+    assert got == {1: "bob", 2: "bob_3", 3: "bob_2", 4: "bob_4", 5: "bob_2_2", 6: "character"}
+
+
+def test_scene_participants_and_orphans(spark):
+    scenes = spark.createDataFrame([(1, ["a", None, "x", "b", "a"])], "scene_id long, characters array<string>")
+    known = spark.createDataFrame([("a", "A"), ("b", "B")], "identity_key string, name string")
+    assert {(r.identity_key, r.first) for r in K.scene_participants(scenes, known).collect()} == {("a", True), ("b", False)}
+    beats = spark.createDataFrame([("k", "b1", "Ann"), ("l", "b2", "Bo")], "identity_key string, beat_id string, speaker string")
+    held = spark.createDataFrame([("ann", "b1"), ("zed", "b9")], "speaker_norm string, beat_id string")
+    gone = spark.createDataFrame([("k",)], "identity_key string")
+    assert {tuple(r) for r in K.orphaned(beats, held, gone).collect()} == {("ann", "b1"), ("zed", "b9")}
+
+
 def test_batches_that_fail_give_nulls(spark):
     def infer(frame):
         if (frame["id"] == 3).any():
