@@ -250,7 +250,8 @@ def _known(labels: DataFrame, sample: int) -> tuple[DataFrame, DataFrame]:
 def _lexicon(docs: DataFrame, known: DataFrame) -> Learnt:
     known = known.where(part(F.col("doc_id")) > 0)
     both = known.agg(F.min("toxic"), F.max("toxic")).first()
-    return learnt(documents(docs).where("text is not null").join(known, "doc_id").drop("doc_id")) if tuple(both) == (0, 1) else Learnt()
+    # The labels grow with the table, so at every size both sides are dealt by id.
+    return learnt(documents(docs).where("text is not null").join(known.hint("merge"), "doc_id").drop("doc_id")) if tuple(both) == (0, 1) else Learnt()
 
 
 def _featured(docs: DataFrame, lexicon: Learnt, *more: str) -> DataFrame:
