@@ -37,6 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
     for step in reversed(joined[:-1]):
         last = nodes.select(F.col("node").alias("to"), F.col("root").alias("final"))
         nodes = step.join(last, "to", "left").select("node", F.coalesce("final", "to").alias("root"))
-    least = nodes.groupBy("root").agg(F.min("node").alias("component"))
+    nodes = checkpoint(nodes)
+    least = checkpoint(nodes.groupBy("root").agg(F.min("node").alias("component")))
     # Roots are hubs: the join is left to adaptive execution, which splits the skewed side.
-    return checkpoint(nodes).join(checkpoint(least), "root").select("node", "component")
+    return nodes.join(least, "root").select("node", "component")

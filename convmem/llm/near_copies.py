@@ -154,7 +154,13 @@ def links(docs: DataFrame, classes: DataFrame, stars: int = 2) -> DataFrame:
     more = _verified(still.join(other.hint("merge"), "key").where(fits).select(F.col("class").alias("a"), "b").distinct(), sets)
     if more.isEmpty():
         return roots
-    return checkpoint(components(found.unionByName(more)).select(F.col("node").alias("class"), "component"))
+    # Only components are joined from here on: far fewer nodes than classes, so few and small rounds.
+    of = lambda side: roots.select(F.col("class").alias(side), F.col("component").alias(f"{side}_of"))
+    between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b"))
+    joined = checkpoint(components(between))
+    moved = roots.join(joined.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("class", F.coalesce("top", "component").alias("component"))
+    alone = joined.select(F.col("node").alias("class"), "component").join(roots, "class", "left_anti")
+    return checkpoint(moved.unionByName(alone))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -163,7 +169,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     classes = checkpoint(every.groupBy("class").agg(F.min("doc_id").alias("least"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("keys").alias("keys")))
     merged = classes.join(links(docs, classes), "class", "left").select("class", "least", F.coalesce("component", "class").alias("component"))
     merged = checkpoint(merged)
-    least = checkpoint(merged.groupBy("component").agg(F.min("least").alias("component_id")))
+    least = merged.groupBy("component").agg(F.min("least").alias("component_id"))
     found = checkpoint(merged.join(least, "component").select("class", "component_id"))
     # A class that many documents share is a skewed key here, which adaptive execution can split.
     return every.select("doc_id", "class").join(found.hint("merge"), "class").select("doc_id", "component_id")

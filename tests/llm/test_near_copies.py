@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 import corpus_pipeline
+from convmem.llm import near_copies
 from tests.llm.corpus import frame, texts
 
 
@@ -33,7 +36,9 @@ def _kept(rows):
     return {d for i, (d, _) in enumerate(rows) if least.get(top(i)) == d}
 
 
-def test_stage_keeps_one_of_edited_copies(spark):
+@pytest.mark.parametrize("stars", [2, 0])  # without stars all links of bands are left to the pair-by-pair rest
+def test_stage_keeps_one_of_edited_copies(spark, monkeypatch, stars):
+    monkeypatch.setattr(near_copies.links, "__defaults__", (stars,))
     rnd = random.Random(5)
     rows, at, edited = texts(), 1000, set()
     for size in (30, 60, 100, 100, 400):  # copies with one to many changed words, on both sides of the bound
