@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from convmem.functions import text as X
 from convmem.operators import commands as C
 from convmem.operators import ledger as L
+from convmem.operators import similarity as S
+from convmem.operators.curation import independent_first
+from convmem.operators.graph import checkpoint
 from convmem.operators.identity import jaro_winkler
-from convmem.operators.similarity import batch_infer
 
 
 def clock_line(time: Column, day: Column, previous: Column, presence: Column, returns: Column) -> Column:
@@ -139,5 +141,24 @@ def migrated(pending: DataFrame, mapping: DataFrame, beats: DataFrame, aliases:
 
 def completed_cache(rows: DataFrame, cache: DataFrame, key: str, infer, schema: str) -> DataFrame:
     """The cache with what it lacks of the rows; only those are given to ``infer``. cache has the key and the columns of ``schema``."""
-    new = batch_infer(rows.join(cache.select(key), key, "left_anti"), infer, schema)
+    new = S.batch_infer(rows.join(cache.select(key), key, "left_anti"), infer, schema)
     return cache.unionByName(new.select(*cache.columns))
+
+
+def duplicates(ledger: DataFrame, least: float = 0.35) -> DataFrame:
+    """(id): open entries that a stronger one of their scope and lane with a similar summary replaces; a clean-up marks them done.
+
+    Stronger is a structured summary, then more use, then the earlier row; entries are taken from the strongest on, and who
+    has lost eliminates no one. Of equal summaries only the strongest is compared, so copies never multiply. Ids are unique.
+    """
+    open_rows = ledger.where((F.coalesce("status", F.lit("open")) != "done") & (F.trim("summary") != ""))
+    use = F.coalesce("retrieval_count", F.lit(0)) + 3 * F.coalesce("recitation_count", F.lit(0))
+    order = F.struct((-F.when(F.col("summary").startswith("["), 2).otherwise(1)).alias("rich"), (-use).alias("use"), "entry_pos", "id")
+    rows = checkpoint(open_rows.select(F.struct("scope_id", "lane").alias("block"), "id", X.bag(F.col("summary")).alias("bag"), order.alias("order")).where(F.size("bag") > 0))
+    classes = S.set_classes(rows, "block", "id", F.col("bag")).join(rows.select(F.col("id").alias("key"), "order"), "key")
+    best = checkpoint(classes.groupBy("block", "rep").agg(F.min("order").alias("order")))
+    side = lambda n: best.select("block", F.col("rep").alias(n), F.col("order").alias(f"_{n}"))
+    pairs = S.set_similarity_pairs(rows, "block", "id", F.col("bag"), least).join(side("a"), ["block", "a"]).join(side("b"), ["block", "b"])
+    conflicts = pairs.select(F.least("_a", "_b")["id"].alias("a"), F.greatest("_a", "_b")["id"].alias("b"))
+    kept = independent_first(best.select(F.col("order")["id"].alias("id")), conflicts)
+    return rows.select("id").join(kept, "id", "left_anti")

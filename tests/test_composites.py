@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from convmem.operators import composites as M
@@ -66,3 +69,20 @@ def test_migration_is_idempotent(spark):
     assert [tuple(r) for r in names.collect()] == [("k2", " CY ")]
     again = M.migrated(left, mapping, own, names)
     assert again[0].count() == 2 and again[1].count() == 1 and again[2].count() == 1
+
+
+def test_duplicates_by_brute_force(spark):
+    chance = random.Random(4)
+    said = ["red house by the lake", "red house by a lake", "[hope] red house", "old feud at sea", "old feud", "a storm", "", "the red lake", "storm at sea by the house"]
+    rows = [(f"s{chance.randrange(2)}", chance.choice(["x", "y"]), i, f"e{i}", chance.choice(said), chance.choice([None, "open", "done"]), chance.randrange(3), chance.choice([None, 1])) for i in range(60)]
+    ledger = spark.createDataFrame(rows, "scope_id string, lane string, entry_pos long, id string, summary string, status string, retrieval_count long, recitation_count long")
+    bag = lambda t: set(re.sub(r"[^\w\s]", " ", t.lower()).split())
+    order = sorted((r for r in rows if r[5] != "done" and bag(r[4])), key=lambda r: (-(2 if r[4].startswith("[") else 1), -(r[6] + 3 * (r[7] or 0)), r[2]))
+    kept, lost = [], set()
+    for r in order:
+        if any(k[:2] == r[:2] and len(bag(k[4]) & bag(r[4])) >= 0.35 * len(bag(k[4]) | bag(r[4])) for k in kept):
+            lost.add(r[3])
+        else:
+            kept.append(r)
+    assert lost and {r.id for r in M.duplicates(ledger).collect()} == lost
+    assert M.duplicates(ledger.limit(0)).count() == 0
