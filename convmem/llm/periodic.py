@@ -42,8 +42,8 @@ from convmem.llm.common import documents, rebatched, stored, task_number, texts_
 LEAST, TIMES = 12, 2
 #: Words of a tile's stride at least, and octaves' lengths of it otherwise.
 STRIDE, LENGTHS = 4096, 8
-#: Pairs of blocks compared at once.
-PAIRS = 1 << 20
+#: Bytes of text coded at once, and pairs of blocks compared at once.
+BATCH, PAIRS = 2 << 20, 1 << 19
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -211,7 +211,7 @@ def coded(docs: DataFrame) -> DataFrame:
 
     def code(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = task_number() << 33
-        for batch in rebatched(source):
+        for batch in rebatched(source, BATCH):
             ids = batch.column("doc_id").to_pylist()
             lists = [altered(i, t.split()) for i, t in zip(ids, texts_of(batch), strict=True)]
             sizes = np.array([len(w) for w in lists], np.int64)
