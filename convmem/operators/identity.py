@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -31,20 +33,30 @@ def _jaro(a: str, b: str) -> float:
     return (m / len(a) + m / len(b) + (m - moved) / m) / 3
 
 
+def similarity(x: str | None, y: str | None) -> float | None:
+    """Jaro similarity raised by a common beginning of up to four characters, whatever the similarity."""
+    if x is None or y is None:
+        return None
+    s = _jaro(x, y)
+    same = 0
+    while same < min(4, len(x), len(y)) and x[same] == y[same]:
+        same += 1
+    return s + same * 0.1 * (1 - s)
+
+
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Jaro similarity raised by a common beginning of up to four characters, whatever the similarity."""
+    return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)])
 
-    def one(x: str | None, y: str | None) -> float | None:
-        if x is None or y is None:
-            return None
-        s = _jaro(x, y)
-        same = 0
-        while same < min(4, len(x), len(y)) and x[same] == y[same]:
-            same += 1
-        return s + same * 0.1 * (1 - s)
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+def labels_alike(a: str, b: str, least: float = 0.85) -> bool:
+    """Two labels that are the same, or one's significant words among the other's, or nearly the same; a blank one matches nothing."""
+    x, y = " ".join(a.lower().split()), " ".join(b.lower().split())
+    if not x or not y:
+        return False
+    v, w = ({t for t in re.findall(r"[^\W_]+", z) if len(t) >= 3} for z in (x, y))
+    inside = bool(v and w) and (v <= w or w <= v)
+    return x == y or inside or similarity(x, y) >= least
 
 
 @F.pandas_udf(T.StringType())
