@@ -7,20 +7,45 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from convmem.functions import text as X
+from convmem.operators import similarity as S
 from convmem.operators.graph import checkpoint
 
 
+def _agreed(rows: DataFrame, keys: list[str], passes: int) -> DataFrame:
+    """(keys, fact, subject, seen) of the groups that most of the passes have. rows: keys and pass, pos, fact, subject."""
+    rows = rows.withColumn("_s", F.coalesce("subject", F.lit("?")))
+    per_subject = rows.groupBy(*keys, "_s").agg(F.count("*").alias("c"), F.min(F.struct("pass", "pos")).alias("first"), F.min(F.struct((-F.length("fact")).alias("l"), "pass", "pos", "fact", "lane")).alias("rep"))
+    best = per_subject.groupBy(*keys).agg(F.min(F.struct((-F.col("c")).alias("c"), "first", "_s", "rep")).alias("b"))
+    seen = rows.groupBy(*keys).agg(F.countDistinct("pass").alias("seen")).where(F.col("seen") >= passes // 2 + 1)
+    return best.join(seen, keys).select(*[k for k in keys if k != "lane"], F.col("b.rep.lane").alias("lane"), F.col("b.rep.fact").alias("fact"), F.col("b._s").alias("subject"), "seen")
+
+
 def consensus_facts(facts: DataFrame, passes: int) -> DataFrame:
     """(lane, fact, subject, seen) of facts found in most of the passes, by their normalised text.
 
     facts: (pass, pos, fact, lane, subject). The subject is the one most often given, of equals the
     first seen; the fact is the longest phrasing that has it.
     """
-    rows = facts.withColumns({"_n": X.label(F.col("fact")), "_s": F.coalesce("subject", F.lit("?"))})
-    per_subject = rows.groupBy("lane", "_n", "_s").agg(F.count("*").alias("c"), F.min(F.struct("pass", "pos")).alias("first"), F.min(F.struct((-F.length("fact")).alias("l"), "pass", "pos", "fact")).alias("rep"))
-    best = per_subject.groupBy("lane", "_n").agg(F.min(F.struct((-F.col("c")).alias("c"), "first", "_s", "rep")).alias("b"))
-    seen = rows.groupBy("lane", "_n").agg(F.countDistinct("pass").alias("seen")).where(F.col("seen") >= passes // 2 + 1)
-    return best.join(seen, ["lane", "_n"]).select("lane", F.col("b.rep.fact").alias("fact"), F.col("b._s").alias("subject"), "seen")
+    return _agreed(facts.withColumn("_n", X.label(F.col("fact"))), ["lane", "_n"], passes).select("lane", "fact", "subject", "seen")
+
+
+def leaders(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """(id, leader): taken in order, a row joins the most similar earlier leader it is near to, of equals the last; near to none, it is a leader.
+
+    rows: (id); near: (a, b, cosine) with a before b. Leaders are found in rounds, then every other row takes its best one.
+    """
+    first = checkpoint(independent_first(rows.select("id"), near))
+    best = near.join(first.select(F.col("id").alias("a")), "a").join(first.select(F.col("id").alias("b")), "b", "left_anti").groupBy(F.col("b").alias("id")).agg(F.max(F.struct("cosine", "a"))["a"].alias("leader"))
+    return first.select("id", F.col("id").alias("leader")).unionByName(best)
+
+
+def consensus_by_meaning(facts: DataFrame, passes: int, least: float = 0.85) -> DataFrame:
+    """(scope_id, leader, lane, fact, subject, seen): as ``consensus_facts``, of facts that mean the same by their vectors.
+
+    facts: (scope_id, id: bigint in the order of passes and places, pass, pos, fact, lane, subject, vector). A fact without a vector stands for itself.
+    """
+    near = checkpoint(S.vector_pairs(facts.where("vector is not null"), "scope_id", "id", "vector", least).select("a", "b", "cosine"))
+    return _agreed(facts.join(leaders(facts, near), "id"), ["scope_id", "leader"], passes)
 
 
 def kept_by_vote(items: DataFrame, votes: DataFrame) -> DataFrame:
@@ -76,18 +101,15 @@ def independent_first(items: DataFrame, conflicts: DataFrame) -> DataFrame:
     number of rounds is that of the longest chain of dependencies, short in practice.
     """
     edges = checkpoint(conflicts.select("a", "b").distinct())
-    kept, gone = [], []
+    gone = items.select("id").limit(0)
     while not edges.isEmpty():
         blocked = edges.select(F.col("b").alias("id")).distinct()
         free = checkpoint(edges.select(F.col("a").alias("id")).distinct().join(blocked, "id", "left_anti"))
         out = checkpoint(edges.join(free.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct())
-        gone.append(out)
-        kept.append(free)
+        gone = checkpoint(gone.unionByName(out))
         done = free.unionByName(out)
         edges = checkpoint(edges.join(done.select(F.col("id").alias("a")), "a", "left_anti").join(out.select(F.col("id").alias("b")), "b", "left_anti"))
-    for out in gone:
-        items = items.join(out, "id", "left_anti")
-    return items
+    return items.join(gone, "id", "left_anti")
 
 
 def cleanup(ledger: DataFrame, transient: str) -> DataFrame:

@@ -28,17 +28,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that can be reached from each node of ``edges`` (a, b).
 
-    Labels spread along edges and are then looked up at the label's own label, so the number of
-    rounds follows the logarithm of long chains; a node's neighbours are reduced to a minimum.
+    The graph is contracted: in each round every node joins the one of itself and its neighbours
+    that a hash of the round puts first, and edges are carried over to what their ends have joined.
+    So the edges that are left get fewer by a share in every round, however long a chain is.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = checkpoint(both)
-    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        step = checkpoint(step.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("label")))
-        if step.where("old <> label").isEmpty():
-            return step.select("node", F.col("label").alias("component"))
-        labels = step.select("node", "label")
+    left = checkpoint(edges.select("a", "b").where("a <> b").distinct())
+    names, turn = None, 0
+    while names is None or not left.isEmpty():
+        order = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        joined = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min(order("b")), F.min(order("a")))["to"].alias("to")))
+        names = joined if names is None else checkpoint(names.join(joined.select(F.col("node").alias("to"), F.col("to").alias("then")), "to", "left").select("node", F.coalesce("then", "to").alias("to")))
+        for end in ("a", "b"):
+            left = left.join(joined.select(F.col("node").alias(end), F.col("to").alias(f"{end}_")), end)
+        left = checkpoint(left.select(F.col("a_").alias("a"), F.col("b_").alias("b")).where("a <> b").distinct())
+        turn += 1
+    least = names.groupBy("to").agg(F.min("node").alias("component"))
+    return names.join(least, "to").select("node", "component")

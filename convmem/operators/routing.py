@@ -23,6 +23,19 @@ def fact_targets(facts: DataFrame, resolved: DataFrame, own: list[str]) -> DataF
     ).drop("identity_key")
 
 
+def facts_for_ledgers(facts: DataFrame, resolved: DataFrame, own: list[str], most: int = 600) -> DataFrame:
+    """Facts that passes agree on, as rows that can be taken into ledgers: each in its target's scope, those about a character as traits.
+
+    facts: (scope_id, leader, lane, fact, subject). The content is the fact itself, cut at a sentence; arrival goes by scope and leader.
+    """
+    rows = fact_targets(facts, resolved, own)
+    scope = F.when(F.col("target") == "self", F.concat(F.lit("self/"), "scope_id")).when(F.col("target").isNotNull(), F.concat(F.lit("character/"), "target")).otherwise(F.concat(F.lit("chat/"), "scope_id"))
+    return rows.select(
+        scope.alias("scope_id"), "lane", F.when(F.col("lane") == "character_topics", "trait").alias("kind"), F.concat("scope_id", F.lit("-"), F.col("leader").cast("string")).alias("id"), F.col("leader").cast("bigint").alias("pos"),
+        F.col("fact").alias("summary"), X.cut_at_sentence(F.col("fact"), most).alias("content"), F.col("scope_id").alias("source_chat_id"), F.lit(None).cast("bigint").alias("turn_start"),
+    )
+
+
 def companions(beats: DataFrame, ledger: DataFrame, most: int = 100) -> DataFrame:
     """(beat_id, id): the one character topic whose summary begins as the beat's; none if there are several."""
     start = lambda c: F.substring(F.lower(F.regexp_replace(c, r"\s+", " ")), 1, most)
