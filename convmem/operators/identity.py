@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from convmem.functions import text as X
+from convmem.operators import setjoin
+from convmem.operators.graph import checkpoint
 
 
 def _jaro(a: str, b: str) -> float:
@@ -72,17 +74,62 @@ def exact_matches(labels: DataFrame, aliases: DataFrame) -> DataFrame:
     return found.select("label", "identity_key", F.count("*").over(W.partitionBy("label")).alias("claimants"))
 
 
+#: Two labels with so many first letters in common (none to four) and at least 0.85 by Jaro-Winkler have Jaro similarity s of (0.85 - n / 10) / (1 - n / 10)
+#: or more, so at least 3 s - 1 = share of the one + share of the other in letters in common, and a Jaccard similarity of their letters of 3 s - 2 or more.
+def letters_in_common(least: float, first: int) -> float:
+    s = (least - 0.1 * first) / (1 - 0.1 * first)
+    return max(0.01, 3 * s - 2)
+
+
+def _letters(n: Column) -> Column:
+    """The letters of a label, each with its number among its like, so that a set of them is the label's multiset of letters."""
+
+    def one(i: Column) -> Column:
+        c, head = F.substring(n, i, F.lit(1)), F.substring(n, F.lit(1), i)
+        return F.concat(c, F.lit("#"), (F.length(head) - F.length(F.replace(head, c, F.lit("")))).cast("string"))
+
+    return F.array_sort(F.transform(F.sequence(F.lit(1), F.length(n)), one))
+
+
+def _alike(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(n, m): labels that may be ``least`` alike by Jaro-Winkler: an upper bound from their lengths and letters lets no pair be lost."""
+    blocks = lambda c: F.filter(F.array(*[F.concat(F.lit(str(k)), F.substring(c, 1, k)) for k in range(5)]), lambda b: F.length(b) == F.substring(b, 1, 1).cast("int") + 1)
+    asked, known = left.select("n").distinct().where("n <> ''"), right.select(F.col("m").alias("n")).distinct().where("n <> ''")
+    rows = asked.withColumns({"probe": F.lit(True), "target": F.lit(False)}).unionByName(known.withColumns({"probe": F.lit(False), "target": F.lit(True)}))
+    rows = checkpoint(rows.withColumns({"t": _letters(F.col("n")), "block": F.explode(blocks("n"))}))
+    sets = setjoin.numbered_sets(rows)
+    bound = F.element_at(F.array(*[F.lit(letters_in_common(least, k)) for k in range(5)]), F.substring("block", 1, 1).cast("int") + 1)
+    pairs = setjoin.similar(sets, bound)
+    named = rows.join(sets.select("block", "t", "set_id"), ["block", "t"])
+    of = lambda who, end, name: named.where(who).select(F.col("set_id").alias(end), F.col("n").alias(name))
+    return pairs.join(of("probe", "a", "n"), "a").join(of("target", "b", "m"), "b").select("n", "m").distinct()
+
+
+def _contained(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(n, m): labels of which one has all words of the other, found by the smaller one's rarest word."""
+    split = lambda rows, c: rows.select(F.col(c)).distinct().withColumn("w", F.array_distinct(F.split(c, " ")))
+    n, m = split(left, "n"), split(right, "m")
+    many = n.select(F.explode("w").alias("x")).unionByName(m.select(F.explode("w").alias("x"))).groupBy("x").agg(F.count("*").alias("c"))
+
+    def inside(small: DataFrame, large: DataFrame, s: str, t: str) -> DataFrame:
+        rare = small.select(s, "w", F.explode("w").alias("x")).join(many, "x").groupBy(s, "w").agg(F.min(F.struct("c", "x"))["x"].alias("x"))
+        wide = large.select(t, F.col("w").alias("v"), F.explode("w").alias("x"))
+        return rare.join(wide, "x").where(F.size(F.array_except("w", "v")) == 0).select("n", "m")
+
+    return inside(n, m, "n", "m").unionByName(inside(m, n, "m", "n")).distinct()
+
+
 def fuzzy_suggestions(labels: DataFrame, aliases: DataFrame, least: float = 0.85) -> DataFrame:
-    """(label, identity_key, score): the most similar alias of each label. Pairs are found by a shared word or first two letters."""
-    def keys(n: Column) -> Column:
-        return F.array_distinct(F.concat(F.split(n, " "), F.array(F.concat(F.lit("#"), F.substring(n, 1, 2)))))
-
-    left = labels.select("label", X.label(F.col("label")).alias("n")).distinct().withColumn("k", F.explode(keys(F.col("n"))))
-    right = aliases.select("identity_key", X.label(F.col("label")).alias("m")).distinct().withColumn("k", F.explode(keys(F.col("m"))))
-    pairs = left.join(right, "k").select("label", "identity_key", "n", "m").distinct()
-    contained = (F.size(F.array_except(F.split("n", " "), F.split("m", " "))) == 0) | (F.size(F.array_except(F.split("m", " "), F.split("n", " "))) == 0)
-    scored = pairs.withColumn("score", F.greatest(jaro_winkler("n", "m"), F.when(contained, 0.9).otherwise(0.0))).where(F.col("score") >= least)
-    best = scored.groupBy("label", "identity_key").agg(F.max("score").alias("score"))
+    """(label, identity_key, score): the most similar alias of each label, of equal ones the first identity's; one that has all words of the other is 0.9 alike at least.
+
+    Nothing is lost: pairs are found by the letters they must share, see ``_alike``, and by words, and only these are scored. A blank label matches nothing.
+    """
+    left = labels.select("label", X.label(F.col("label")).alias("n")).distinct().where("n <> ''")
+    right = aliases.select("identity_key", X.label(F.col("label")).alias("m")).distinct().where("m <> ''")
+    pairs = _alike(left, right, least).withColumn("c", F.lit(0.0)).unionByName(_contained(left, right).withColumn("c", F.lit(0.9)))
+    scored = pairs.groupBy("n", "m").agg(F.max("c").alias("c"))
+    scored = checkpoint(scored.withColumn("score", F.greatest("c", jaro_winkler("n", "m"))).where(F.col("score") >= least))
+    best = left.join(scored, "n").join(right, "m").groupBy("label", "identity_key").agg(F.max("score").alias("score"))
     order = W.partitionBy("label").orderBy(F.desc("score"), "identity_key")
     return best.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
 
@@ -119,15 +166,21 @@ def roster(identities: DataFrame, aliases: DataFrame, participants: DataFrame |
     return every if participants is None else every.join(participants.select("identity_key").distinct(), "identity_key", "left_semi")
 
 
-def in_scene(scenes: DataFrame, names: DataFrame, least: int = 3, words: int = 3) -> DataFrame:
-    """(scene_id, identity_key): whose label, of up to ``words`` words, occurs in a scene as whole words. By word groups, not by pairs."""
-    parts = scenes.select("scene_id", F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9_]", " "), " +"), lambda w: w != "").alias("p"))
-    def groups(n: int):
-        return F.when(F.size("p") >= n, F.transform(F.sequence(F.lit(0), F.size("p") - n), lambda i: F.array_join(F.slice("p", i + 1, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+def in_scene(scenes: DataFrame, names: DataFrame, least: int = 3) -> DataFrame:
+    """(scene_id, identity_key): whose label, of however many words, occurs in a scene as whole words.
 
-    spread = parts.select("scene_id", F.explode(F.array_distinct(F.concat(*[groups(n) for n in range(1, words + 1)]))).alias("l"))
-    labels = names.select("identity_key", F.trim(F.regexp_replace(F.lower("label"), "[^a-z0-9_]+", " ")).alias("l")).where(F.length("l") >= least).distinct()
-    return spread.join(labels, "l").select("scene_id", "identity_key").distinct()
+    Labels are looked up by their first word; where that stands in a scene, the words from there on are compared.
+    """
+    plain = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9_]", " "), " +"), lambda w: w != "")
+    labels = names.select("identity_key", plain("label").alias("l")).where(F.length(F.array_join("l", " ")) >= least).distinct()
+    labels = labels.select("identity_key", "l", F.get("l", F.lit(0)).alias("w"))
+    spread = scenes.select("scene_id", plain("text").alias("p")).select("scene_id", "p", F.posexplode("p").alias("i", "w"))
+    firsts = labels.select("w").distinct()
+    longest = labels.agg(F.max(F.size("l")).alias("k"))
+    # Only as many words as the longest label has go along with a first word.
+    held = spread.join(firsts, "w", "left_semi").join(F.broadcast(longest)).select("scene_id", "w", F.slice("p", F.col("i") + 1, F.col("k")).alias("s"))  # one row
+    found = held.join(labels, "w").where(F.slice("s", F.lit(1), F.size("l")) == F.col("l"))
+    return found.select("scene_id", "identity_key").distinct()
 
 
 def routed(orphans: DataFrame, aliases: DataFrame, user_key: str) -> DataFrame:

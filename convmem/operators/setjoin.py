@@ -45,29 +45,30 @@ def _signature(codes: Column) -> list[Column]:
     return [bit(k) for k in range(SIGNATURE)]
 
 
-def candidates(coded: DataFrame, least: float) -> DataFrame:
-    """(x, y): pairs x < y, of a probing and a target set, that pass all filters."""
-    prefix = (F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1).cast("int")
+def candidates(coded: DataFrame, least: float | Column) -> DataFrame:
+    """(x, y): pairs x < y, of a probing and a target set, that pass all filters. ``least`` may be a column made of ``block``."""
+    prefix = (F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).cast("int")
     signed = coded.withColumns({f"g{k}": g for k, g in enumerate(_signature(F.col("c")))})
     index = signed.select("block", "set_id", "probe", "target", "size", *[f"g{k}" for k in range(SIGNATURE)], F.posexplode(F.slice("c", F.lit(1), prefix)).alias("at", "w"))
     other = index.select("block", "w", *[F.col(c).alias(f"{c}_") for c in ("set_id", "probe", "target", "size", "at", *[f"g{k}" for k in range(SIGNATURE)])])
+    least = least if isinstance(least, Column) else F.lit(least)
     both = index.join(other, ["block", "w"]).where("set_id < set_id_ and ((probe and target_) or (target and probe_))")
     total = F.col("size") + F.col("size_")
     needed = F.ceil(total * least / (1 + least) - 1e-9)
     after = F.least(F.col("size") - F.col("at"), F.col("size_") - F.col("at_"))
     differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"g{k}").bitwiseXOR(F.col(f"g{k}_"))) for k in range(SIGNATURE)))
-    passed = both.where((F.least("size", "size_") >= least * F.greatest("size", "size_") - 1e-9) & (after >= needed) & (total - differ >= 2 * needed))
+    passed = both.where((F.least("size", "size_") >= F.greatest("size", "size_") * least - 1e-9) & (after >= needed) & (total - differ >= 2 * needed))
     return passed.select(F.col("set_id").alias("x"), F.col("set_id_").alias("y")).distinct()
 
 
-def similar(sets: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity): every probing set with each target set of its block at ``least`` or more; a set that is both, with itself too."""
+def similar(sets: DataFrame, least: float | Column) -> DataFrame:
+    """(a, b, similarity): every probing set with each target set of its block at ``least`` or more; a set that is both, with itself too. ``least`` may be a column made of ``block``."""
     coded = checkpoint(_coded(sets))
     near = candidates(coded, least)
     for side in ("x", "y"):
-        near = near.join(coded.select(F.col("set_id").alias(side), F.col("c").alias(f"c{side}"), F.col("probe").alias(f"p{side}"), F.col("target").alias(f"t{side}")), side)
+        near = near.join(coded.select(*["block"] * (side == "x"), F.col("set_id").alias(side), F.col("c").alias(f"c{side}"), F.col("probe").alias(f"p{side}"), F.col("target").alias(f"t{side}")), side)
     shared = F.size(F.array_intersect("cx", "cy"))
-    found = near.withColumn("similarity", shared / (F.size("cx") + F.size("cy") - shared)).where(F.col("similarity") >= least)
+    found = near.withColumn("similarity", shared / (F.size("cx") + F.size("cy") - shared)).where(F.col("similarity") >= (least - 1e-12 if isinstance(least, Column) else least))
     ways = F.filter(F.array(F.when(F.expr("px and ty"), F.struct(F.col("x").alias("a"), F.col("y").alias("b"))), F.when(F.expr("py and tx"), F.struct(F.col("y").alias("a"), F.col("x").alias("b")))), lambda p: p.isNotNull())
     found = found.select(F.explode(ways).alias("p"), "similarity").select("p.a", "p.b", "similarity")
     return found.unionByName(sets.where("probe and target").select(F.col("set_id").alias("a"), F.col("set_id").alias("b"), F.lit(1.0).alias("similarity")))

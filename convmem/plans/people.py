@@ -51,8 +51,14 @@ FROM names LEFT JOIN a ON a.n = lower(name) LEFT JOIN b ON b.n = lower(name) LEF
 
 Q["j2_fuzzy_suggestions"] = lambda s, d: I.fuzzy_suggestions(B.table(s, d, "nation").select(F.concat(F.substring("n_name", 1, 5), F.lit("x")).alias("label")), B.table(s, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("identity_key"), F.col("n_name").alias("label"))).select("label", "identity_key", F.round("score", 6).alias("score"))
 SQL["j2_fuzzy_suggestions"] = """WITH l AS (SELECT DISTINCT substr(n_name, 1, 5) || 'x' AS label, lower(substr(n_name, 1, 5) || 'x') AS n FROM nation), r AS (SELECT 'n' || n_nationkey AS identity_key, lower(n_name) AS m FROM nation),
-p AS (SELECT label, identity_key, n, m, jaro_similarity(n, m) AS j, CASE WHEN n[1] <> m[1] THEN 0 WHEN n[2] <> m[2] THEN 1 WHEN n[3] <> m[3] THEN 2 WHEN n[4] <> m[4] THEN 3 ELSE 4 END AS c FROM l JOIN r ON substr(n, 1, 2) = substr(m, 1, 2)),
-s AS (SELECT label, identity_key, CASE WHEN n = m THEN 1 ELSE j + c * 0.1::DOUBLE * (1 - j) END AS score FROM p)
+p AS (SELECT label, identity_key, n, m, jaro_similarity(n, m) AS j, CASE WHEN n[1] <> m[1] THEN 0 WHEN n[2] <> m[2] THEN 1 WHEN n[3] <> m[3] THEN 2 WHEN n[4] <> m[4] THEN 3 ELSE 4 END AS c FROM l CROSS JOIN r),
+s AS (SELECT label, identity_key, greatest(CASE WHEN n = m THEN 1 ELSE j + c * 0.1::DOUBLE * (1 - j) END, CASE WHEN list_has_all(string_split(m, ' '), string_split(n, ' ')) OR list_has_all(string_split(n, ' '), string_split(m, ' ')) THEN 0.9 ELSE 0 END) AS score FROM p)
+SELECT label, identity_key, round(score, 6) AS score FROM s WHERE score >= 0.85 QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, identity_key) = 1"""
+
+Q["j2_exact_suggestions"] = lambda s, d: I.fuzzy_suggestions(B.table(s, d, "part").select(F.concat(F.element_at(F.split("p_name", " "), 1), F.lit(" "), F.substring(F.element_at(F.split("p_name", " "), 2), 2, 9)).alias("label")), B.table(s, d, "part").select(F.concat(F.lit("p"), (F.col("p_partkey") % 500).cast("string")).alias("identity_key"), F.col("p_name").alias("label"))).select("label", "identity_key", F.round("score", 6).alias("score"))
+SQL["j2_exact_suggestions"] = """WITH l AS (SELECT DISTINCT string_split(p_name, ' ')[1] || ' ' || substr(string_split(p_name, ' ')[2], 2, 9) AS label, lower(label) AS n FROM part), r AS (SELECT 'p' || (p_partkey % 500) AS identity_key, lower(p_name) AS m FROM part),
+p AS (SELECT label, identity_key, n, m, jaro_similarity(n, m) AS j, CASE WHEN n[1] <> m[1] THEN 0 WHEN n[2] <> m[2] THEN 1 WHEN n[3] <> m[3] THEN 2 WHEN n[4] <> m[4] THEN 3 ELSE 4 END AS c FROM l CROSS JOIN r),
+s AS (SELECT label, identity_key, greatest(CASE WHEN n = m THEN 1 ELSE j + c * 0.1::DOUBLE * (1 - j) END, CASE WHEN list_has_all(string_split(m, ' '), string_split(n, ' ')) OR list_has_all(string_split(n, ' '), string_split(m, ' ')) THEN 0.9 ELSE 0 END) AS score FROM p)
 SELECT label, identity_key, round(score, 6) AS score FROM s WHERE score >= 0.85 QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, identity_key) = 1"""
 
 Q["j5_roster"] = lambda s, d: I.roster(_identities(s, d), _aliases(s, d).select("identity_key", "label"), B.table(s, d, "orders").select(F.concat(F.lit("k"), F.col("o_custkey").cast("string")).alias("identity_key")))
