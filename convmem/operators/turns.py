@@ -92,14 +92,17 @@ def score(rows: DataFrame, lexicon: dict[str, list[str]], cfg: Scoring, direct:
     text = F.lower("text")
     hits = {lane: lane_hits(text, lexicon.get(lane, [])) for lane in cfg.lanes}
     d, f, a = lane_hits(text, list(direct)), lane_hits(text, list(deflection)), lane_hits(text, list(attachment))
-    rows = rows.withColumns({f"_h_{k}": h for k, h in hits.items()} | {"_d": d, "_f": f, "_a": a})
+    brief = F.size(F.split(F.trim("text"), r"\s+")) <= cfg.short_words
+    found = {f"_h_{k}": h for k, h in hits.items()} | {"_d": d, "_f": f, "_a": a, "_brief": brief}
+    # A generator of one row: filters on the score stay above it, so that no phrase is looked for twice.
+    rows = rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in found.items()]))))
     cap = lambda c: F.least(F.lit(1.0), c)
     total = sum((F.col(f"_h_{k}") for k in cfg.lanes), F.lit(0)) + F.col("_d") + F.col("_f") + F.col("_a")
     base = {k: cap(F.col(f"_h_{k}") * cfg.per_hit * w) for k, w in cfg.lanes.items() if k != "dysregulation"}
     own = cap(cap(F.col("_d") * cfg.per_hit * cfg.lanes.get("dysregulation", 0.9)) + F.col("_f") * cfg.deflection)
     base["dysregulation"] = F.when((F.col("_f") > 0) & (F.col("_a") > 0), cap(own * cfg.together)).otherwise(own)
     compound = F.when(total >= 3, cfg.three_hits).when(total >= 2, cfg.two_hits).otherwise(1.0)
-    short = F.when(F.size(F.split(F.trim("text"), r"\s+")) <= cfg.short_words, cfg.short_boost).otherwise(1.0)
+    short = F.when(F.col("_brief"), cfg.short_boost).otherwise(1.0)
     scored = rows.withColumns({"hits": total.cast("bigint")} | {k: cap(cap(b * compound) * short) for k, b in base.items()})
     names = list(base)
     scored = scored.withColumn("salience", F.greatest(*names) if len(names) > 1 else F.col(names[0]))
@@ -107,7 +110,7 @@ def score(rows: DataFrame, lexicon: dict[str, list[str]], cfg: Scoring, direct:
     for k in reversed(names):
         primary = F.when(F.col(k) == F.col("salience"), F.lit(k)).otherwise(primary)
     scored = scored.withColumn("primary_emotion", F.when(F.col("salience") > 0, primary))
-    return scored.drop(*[f"_h_{k}" for k in cfg.lanes], "_d", "_f", "_a")
+    return scored.drop(*[f"_h_{k}" for k in cfg.lanes], "_d", "_f", "_a", "_brief")
 
 
 def gate(scored: DataFrame, threshold: float = 0.4) -> DataFrame:

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of queries; each has Q and SQL.
-MODULES = ("conversation", "ledgers", "texts", "people", "extras", "composites", "ingest", "streams", "recaps", "throughlines", "exported")
+MODULES = ("conversation", "ledgers", "texts", "people", "extras", "composites", "ingest", "streams", "recaps", "throughlines", "exported", "imports")
 
 
 def _all(name: str) -> dict:

@@ -247,3 +247,14 @@ def test_against_sql(spark, name):
     names = sorted(got.columns)
     want = con.sql(catalog.oracle_sql()[name]).df()[names].astype(str).values.tolist()
     assert sorted(map(list, got.select(names).toPandas().astype(str).values)) == sorted(want)
+
+
+def test_no_phrase_is_looked_for_in_a_filter(spark):
+    """The salience gate filters on counts that are there, and each phrase is looked for once."""
+    from convmem.plans import bindings as B
+
+    plan = T.gate(B.scores(spark, DATA))._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line and "salience" in line or "Filter" in line and "_h_" in line]
+    assert filters and not any("RLIKE" in line for line in filters)
+    phrases = sum(len(w) for w in B.LEXICON.values()) + len(B.DIRECT + B.DEFLECTION + B.ATTACHMENT)
+    assert plan.count("RLIKE (^|[^A-Za-z0-9_])") <= phrases
