@@ -11,9 +11,10 @@ are verified on the whole sets, never on fingerprints or signatures.
 
 A group of n near copies does not give n * n pairs: every class is first verified against one
 hub, the least of what shares a band with it, twice with a new order, after what SimHash has joined; only then every pair of
-candidates that are not in one component yet is verified, so no candidate goes unseen.
+candidates that are not in one component yet is looked at, so no candidate goes unseen: first at 512 parity bits of both sets,
+which bound how far these differ from below, then, where the bound leaves it open, at the sets.
 
-Defined cases: null text has no words; texts without words are one class; texts of fewer words
+Defined cases: null text has no words; repeated rows have one component; texts without words are one class; texts of fewer words
 than a shingle are one shingle; a null id never names a component; an empty table gives an empty
 result; other columns are ignored.
 """
@@ -21,6 +22,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ from convmem.llm.common import apart, checkpoint, documents, rebatched, texts_of
 from convmem.llm.components import components
 
 WIDTH, BANDS, ROWS = 5, 20, 4
+#: Numbers of 64 parity bits of a set.
+PARITY = 8
 _ODD = np.random.default_rng(17).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = np.random.default_rng(18).integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = np.random.default_rng(19).integers(0, 1 << 63, BANDS, np.uint64)
@@ -70,6 +74,12 @@ def print_of(found: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(found)).view(">i8")[0])
 
 
+def parity_of(found: np.ndarray) -> list[int]:
+    """Parity bits of a set, as signed numbers: each member turns over one of them, so two sets differ in as many members as bits, or more."""
+    ones = np.bincount((mixed(found) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(ones.astype(np.uint8)).view(">i8").tolist()
+
+
 def _close_prints(classes: DataFrame, budget: int = 2) -> DataFrame:
     """(a, b): classes whose SimHash fingerprints are equal or joined in the forest of the trie self-join."""
     own = classes.where("n > 0").select("class", "bits")
@@ -82,17 +92,18 @@ def _close_prints(classes: DataFrame, budget: int = 2) -> DataFrame:
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class, n, bits, keys) of every document."""
+    """(doc_id, text_hash, class, n, bits, parity, keys) of every document."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(source):
             sets = [shingles(t) for t in texts_of(batch)]
             keys = [bands(s).tolist() if len(s) else [] for s in sets]
             numbers = [[f(s) for s in sets] for f in (class_of, len, print_of)]
-            columns = [batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in numbers], pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "class", "n", "bits", "keys"])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in ([parity_of(s) for s in sets], keys)]
+            columns = [batch.column("doc_id"), batch.column("text_hash"), *[pa.array(x, pa.int64()) for x in numbers], *lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "class", "n", "bits", "parity", "keys"])
 
-    return documents(docs).mapInArrow(run, "doc_id bigint, class bigint, n bigint, bits bigint, keys array<bigint>")
+    return documents(docs, F.xxhash64(F.col("text").cast("string")).alias("text_hash")).mapInArrow(run, "doc_id bigint, text_hash bigint, class bigint, n bigint, bits bigint, parity array<bigint>, keys array<bigint>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -148,9 +159,13 @@ def links(docs: DataFrame, classes: DataFrame, stars: int = 2) -> DataFrame:
     # What shares a band and is not in one component yet, pair by pair.
     still = met.join(roots, "class", "left").withColumn("component", F.coalesce("component", "class"))
     open_keys = still.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    still = checkpoint(still.join(open_keys, "key"))
-    other = still.select("key", F.col("class").alias("b"), F.col("n").alias("m"), F.col("component").alias("of"))
+    signed = classes.select("class", *[F.get("parity", F.lit(k)).alias(f"p{k}") for k in range(PARITY)])
+    still = checkpoint(still.join(open_keys, "key").join(signed, "class"))
+    other = still.select("key", F.col("class").alias("b"), F.col("n").alias("m"), F.col("component").alias("of"), *[F.col(f"p{k}").alias(f"q{k}") for k in range(PARITY)])
+    differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"q{k}"))) for k in range(PARITY)))
     fits = (F.col("class") < F.col("b")) & (F.col("component") != F.col("of")) & (5 * F.least("n", "m") >= 4 * F.greatest("n", "m"))
+    # Sets that are 0.8 alike differ in a ninth of their sizes' sum at most.
+    fits = fits & (9 * differ <= F.col("n") + F.col("m"))
     more = _verified(still.join(other.hint("merge"), "key").where(fits).select(F.col("class").alias("a"), "b").distinct(), sets)
     if more.isEmpty():
         return roots
@@ -164,18 +179,22 @@ def links(docs: DataFrame, classes: DataFrame, stars: int = 2) -> DataFrame:
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) of every document; component_id is the least id of the component."""
+    """(doc_id, text_hash, component_id) of every document; component_id is the least id of the component."""
     every = checkpoint(_classes(docs))
-    classes = checkpoint(every.groupBy("class").agg(F.min("doc_id").alias("least"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("keys").alias("keys")))
+    classes = checkpoint(every.groupBy("class").agg(F.min("doc_id").alias("least"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("parity").alias("parity"), F.any_value("keys").alias("keys")))
     merged = classes.join(links(docs, classes), "class", "left").select("class", "least", F.coalesce("component", "class").alias("component"))
     merged = checkpoint(merged)
     least = merged.groupBy("component").agg(F.min("least").alias("component_id"))
     found = checkpoint(merged.join(least, "component").select("class", "component_id"))
     # A class that many documents share is a skewed key here, which adaptive execution can split.
-    return every.select("doc_id", "class").join(found.hint("merge"), "class").select("doc_id", "component_id")
+    return every.select("doc_id", "text_hash", "class").join(found.hint("merge"), "class").select("doc_id", "text_hash", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of the input whose id is the least of its component; of rows without an id those without a twin that has one."""
-    stay = near_copies(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay")).distinct()
-    return apart(docs, id=F.col("doc_id").cast("bigint")).join(stay, F.col("id").eqNullSafe(F.col("stay")), "left_semi").select("row.*")
+    """The rows of the input whose id is the least of their component; rows without an id stay where no row of their component has one.
+
+    An id may stand at several texts, so it is a row's id and text that decide. Rows that repeat an id and a text stay or go together.
+    """
+    stay = near_copies(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay"), "text_hash").distinct()
+    rows = apart(docs, id=F.col("doc_id").cast("bigint"), own=F.xxhash64(F.col("text").cast("string")))
+    return rows.join(stay, F.col("id").eqNullSafe(F.col("stay")) & (F.col("own") == F.col("text_hash")), "left_semi").select("row.*")

@@ -42,13 +42,14 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, bits): fingerprints as signed 64-bit numbers."""
+    """(doc_id, text_hash, bits): fingerprints as signed 64-bit numbers."""
+
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(source):
             bits = np.array([fingerprint(t, width) for t in texts_of(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bits, pa.int64())], ["doc_id", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(bits, pa.int64())], ["doc_id", "text_hash", "bits"])
 
-    return documents(docs).mapInArrow(run, "doc_id bigint, bits bigint")
+    return documents(docs, F.xxhash64(F.col("text").cast("string")).alias("text_hash")).mapInArrow(run, "doc_id bigint, text_hash bigint, bits bigint")
 
 
 # The self-join --------------------------------------------------------------------------------
@@ -180,8 +181,8 @@ def links(prints: DataFrame, budget: int, per_node: int = 1 << 20, least: int =
     return dealt.groupBy("pair", "mask").applyInArrow(walk, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every document."""
+def _components(docs: DataFrame, width: int, budget: int) -> DataFrame:
+    """(doc_id, text_hash, bits, component_id) of every document."""
     every = checkpoint(fingerprints(docs, width))
     classes = checkpoint(every.groupBy("bits").agg(F.min("doc_id").alias("least")))
     roots = components(links(classes, budget))
@@ -189,11 +190,20 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFra
     least = checkpoint(merged.groupBy("component").agg(F.min("least").alias("component_id")))
     found = checkpoint(checkpoint(merged).join(least, "component").select("bits", "component_id"))
     # A fingerprint that many documents share is a skewed key here: both sides come from a shuffle of their own, so adaptive execution can split it.
-    return every.join(found.hint("merge"), "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+    return every.join(found.hint("merge"), "bits")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document."""
+    return _components(docs, width, budget).select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
-    """The rows of the input whose id is the least of its component; of rows without an id those without a twin that has one."""
-    found = near_duplicates(docs, width, budget)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay")).distinct()
-    return apart(docs, id=F.col("doc_id").cast("bigint")).join(stay, F.col("id").eqNullSafe(F.col("stay")), "left_semi").select("row.*")
+    """The rows of the input whose id is the least of their component; rows without an id stay where no row of their component has one.
+
+    An id may stand at several texts, so it is a row's id and text that decide. Rows that repeat an id and a text stay or go together.
+    """
+    found = _components(docs, width, budget)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay"), "text_hash").distinct()
+    rows = apart(docs, id=F.col("doc_id").cast("bigint"), own=F.xxhash64(F.col("text").cast("string")))
+    return rows.join(stay, F.col("id").eqNullSafe(F.col("stay")) & (F.col("own") == F.col("text_hash")), "left_semi").select("row.*")
