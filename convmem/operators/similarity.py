@@ -9,33 +9,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convmem.operators import setjoin
 from convmem.operators.graph import components
 
 
 def set_similarity_pairs(rows: DataFrame, block: str, key: str, tokens: Column, least: float) -> DataFrame:
-    """(block, a, b, similarity) of pairs a < b of a block with Jaccard similarity of at least ``least``.
+    """(block, a, b, similarity) of pairs a < b of a block with Jaccard similarity of at least ``least``, by the filters of ``setjoin``.
 
-    Sets are ordered by how rare their tokens are in the block, and only a prefix of each, which
-    two similar sets must share a token of, is joined; pairs of too different sizes are dropped
-    before the sets are compared. Equal sets are one row until the end, so copies do not multiply.
+    Equal sets are one row, called by their least key, so copies do not multiply.
     """
-    sets = rows.select(F.col(block).alias("block"), F.col(key).alias("key"), F.array_sort(tokens).alias("t")).where(F.size("t") > 0)
-    kinds = sets.groupBy("block", "t").agg(F.min("key").alias("rep"))
-    counts = kinds.select("block", F.explode("t").alias("w")).groupBy("block", "w").agg(F.count("*").alias("n"))
-    spread = kinds.select("block", "rep", F.size("t").alias("size"), F.explode("t").alias("w")).join(counts, ["block", "w"])
-    ordered = spread.groupBy("block", "rep", "size").agg(F.sort_array(F.collect_list(F.struct("n", "w"))).alias("o"))
-    # Sets with similarity s share a token among their first size - ceil(s * size) + 1.
-    prefix = F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9) + 1
-    ordered = ordered.select("block", "rep", "size", F.transform("o", lambda x: x["w"]).alias("t"), F.transform(F.slice("o", F.lit(1), prefix.cast("int")), lambda x: x["w"]).alias("p"))
-    index = ordered.select("block", "rep", "size", F.explode("p").alias("w"))
-    other = index.select("block", "w", F.col("rep").alias("b"), F.col("size").alias("size_b"))
-    near = index.withColumnRenamed("rep", "a").join(other, ["block", "w"]).where((F.col("a") < F.col("b")) & (F.least("size", "size_b") >= least * F.greatest("size", "size_b") - 1e-9))
-    near = near.select("block", "a", "b").distinct()
-    full = ordered.select("block", F.col("rep"), "t")
-    both = near.join(full.select("block", F.col("rep").alias("a"), F.col("t").alias("ta")), ["block", "a"]).join(full.select("block", F.col("rep").alias("b"), F.col("t").alias("tb")), ["block", "b"])
-    shared = F.size(F.array_intersect("ta", "tb"))
-    both = both.withColumn("similarity", shared / (F.size("ta") + F.size("tb") - shared)).where(F.col("similarity") >= least)
-    return both.select("block", "a", "b", "similarity")
+    rows = rows.select(F.col(block).alias("block"), F.col(key).alias("key"), F.array_sort(tokens).alias("t")).where(F.size("t") > 0)
+    yes = F.lit(True)
+    sets = rows.groupBy("block", "t").agg(F.min("key").alias("rep")).select("block", "t", "rep", yes.alias("probe"), yes.alias("target"), F.monotonically_increasing_id().alias("set_id"))
+    sets = setjoin.checkpoint(sets)
+    found = setjoin.similar(sets.drop("rep"), least).where("a < b")
+    x, y = (sets.select(F.col("set_id").alias(c), F.col("rep").alias(f"r{c}"), *["block"] * (c == "a")) for c in "ab")
+    return found.join(x, "a").join(y, "b").select("block", F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "similarity")
 
 
 def set_classes(rows: DataFrame, block: str, key: str, tokens: Column) -> DataFrame:
