@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from convmem.functions import text as X
+
 PREFIX = r"^([A-Za-z][A-Za-z0-9 _'-]{0,40})(?:\s*\([^)]*\))?\s*:\s*"
 
 
@@ -64,6 +66,12 @@ def chunks(turns: DataFrame, most: int = 6, breaks: Column | None = None) -> Dat
     return found.select("conv_id", number.cast("bigint").alias("chunk_id"), "speaker", "text", "turn_start", "turn_end")
 
 
+def apart_in_meaning(least: float, vector: str = "vector") -> Column:
+    """A break for ``chunks``: where a turn's vector is less like the one before than ``least``; without a vector it is like nothing."""
+    before = F.lag(vector).over(W.partitionBy("conv_id").orderBy("turn_index"))
+    return F.coalesce(X.cosine(before, F.col(vector)), F.lit(0.0)) < least
+
+
 @dataclass(frozen=True)
 class Scoring:
     """Weights of the keyword score; lanes in the order in which ties are decided."""

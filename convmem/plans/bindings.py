@@ -24,8 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_messages(table(spark, sf_dir, "conversations"))
+
+
+def as_messages(rows: DataFrame) -> DataFrame:
     """Every third message begins with a name, every fifth goes on with narration and another line."""
-    rows = table(spark, sf_dir, "conversations")
     text = F.concat(F.when(F.col("turn") % 3 == 0, F.lit("Ann: ")).otherwise(F.lit("")), F.col("text"), F.when(F.col("turn") % 5 == 0, F.lit("\n*waves slowly*\nand goes on")).otherwise(F.lit("")))
     return T.messages(rows.withColumn("text", text))
 

@@ -118,5 +118,20 @@ Q["w2_semantic_chunks"] = lambda s, d: T.chunks(B.turns(s, d), breaks=F.col("tur
 SQL["w2_semantic_chunks"] = f"""WITH {B.TURNS}, r0 AS (SELECT *, CASE WHEN speaker IS DISTINCT FROM lag(speaker) OVER (PARTITION BY conv_id ORDER BY turn_index) OR turn_index = 0 OR turn_index % 4 = 3 THEN 1 ELSE 0 END AS ch FROM turns),
 r1 AS (SELECT *, sum(ch) OVER (PARTITION BY conv_id ORDER BY turn_index) AS run FROM r0), r2 AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, run ORDER BY turn_index) - 1) // 6 AS part FROM r1),
 c AS (SELECT conv_id, min(turn_index) AS turn_start, max(turn_index) AS turn_end FROM r2 GROUP BY conv_id, run, part) SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn_start) - 1 AS BIGINT) AS chunk_id, turn_start, turn_end FROM c"""
+
+
+def _turn_vectors(s, d):
+    """Two turns in a row have one vector of the table, where there is one."""
+    v = B.table(s, d, "embeddings").select(F.col("vec_id").alias("_v"), F.col("embedding").alias("vector"))
+    t = B.turns(s, d).withColumn("_v", F.col("conv_id") * 5 + F.floor(F.col("turn_index") / 2))
+    return t.join(v, "_v", "left").drop("_v")
+
+
+Q["w2_chunks_by_meaning"] = lambda s, d: T.chunks(_turn_vectors(s, d), breaks=T.apart_in_meaning(0.1)).select("conv_id", "chunk_id", "turn_start", "turn_end")
+SQL["w2_chunks_by_meaning"] = f"""WITH {B.TURNS}, x AS (SELECT turns.*, CAST(embedding AS DOUBLE[]) AS v FROM turns LEFT JOIN embeddings ON vec_id = conv_id * 5 + turn_index // 2),
+y AS (SELECT *, lag(v) OVER w AS u, lag(speaker) OVER w AS before FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY turn_index)),
+r0 AS (SELECT *, CASE WHEN turn_index = 0 OR speaker IS DISTINCT FROM before OR coalesce(list_dot_product(u, v) / (sqrt(list_dot_product(u, u)) * sqrt(list_dot_product(v, v))), 0) < 0.1 THEN 1 ELSE 0 END AS ch FROM y),
+r1 AS (SELECT *, sum(ch) OVER (PARTITION BY conv_id ORDER BY turn_index) AS run FROM r0), r2 AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, run ORDER BY turn_index) - 1) // 6 AS part FROM r1),
+c AS (SELECT conv_id, min(turn_index) AS turn_start, max(turn_index) AS turn_end FROM r2 GROUP BY conv_id, run, part) SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn_start) - 1 AS BIGINT) AS chunk_id, turn_start, turn_end FROM c"""
 Q["w10_newest_vectors"] = lambda s, d: (lambda v: v.withColumn("rn", F.row_number().over(L.W.partitionBy("scope_id").orderBy(F.desc("recap_id")))).where("rn <= 6").select("scope_id", "recap_id"))(_V(s, d))
 SQL["w10_newest_vectors"] = "SELECT CAST(label AS BIGINT) AS scope_id, vec_id AS recap_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) <= 6"

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convmem.functions import signals
+from convmem.functions import text as X
+from convmem.operators import turns as T
 from convmem.operators.graph import shared_folder
 from convmem.plans import bindings as B
 from convmem.streaming import conversations as ST
@@ -77,3 +79,25 @@ _BAG = B.sql_bag("{}")
 _STOPS = "[" + ", ".join(f"'{w}'" for w in ST.STOP_WORDS) + "]"
 SQL["st6_recited"] = f"""WITH {_TURNS}, w AS (SELECT conv_id, rn, turn, list_filter({_BAG.format("text")}, lambda w: length(w) > 2 AND NOT list_contains({_STOPS}, w)) AS said, list_filter({_BAG.format("substring(text, 1, 60) || ' the and with'")}, lambda w: length(w) > 2 AND NOT list_contains({_STOPS}, w)) AS ws FROM t)
 SELECT a.conv_id, a.turn, 'e' || b.turn AS id FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.rn = a.rn - 1 WHERE len(b.ws) > 0 AND len(list_intersect(b.ws, a.said)) / len(b.ws)::DOUBLE >= 0.3"""
+
+
+def live_beats(rows: DataFrame) -> DataFrame:
+    """What a micro-batch of messages brings: turns, chunks, scores, the gate, and beats by their ids."""
+    chunks = T.chunks(T.parse_turns(B.as_messages(rows)))
+    scored = T.gate(T.score(chunks, B.LEXICON, B.SCORING, B.DIRECT, B.DEFLECTION, B.ATTACHMENT))
+    beat = X.beat_id(F.col("turn_start"), F.col("turn_end"), F.col("speaker"), F.col("text"))
+    return scored.select("conv_id", beat.alias("beat_id"), "speaker", "primary_emotion", F.round("salience", 6).alias("salience"))
+
+
+def live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages as a stream into a table of beats, committed batch by batch."""
+    at = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
+    rows = spark.readStream.schema(B.table(spark, sf_dir, "conversations").schema).parquet(f"{sf_dir}/conversations.parque[t]")
+    write = ST.committed(live_beats, f"{at}/beats", ["conv_id", "beat_id"])
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/beats").select("conv_id", "beat_id", "speaker", "primary_emotion", "salience")
+
+
+Q["st7_live_beats"] = live
+SQL["st7_live_beats"] = f"""WITH {B.SCORES} SELECT DISTINCT conv_id, 'beat-' || substr(sha1(turn_start::VARCHAR || ':' || turn_end::VARCHAR || ':' || speaker || chr(10) || text), 1, 12) AS beat_id, speaker,
+CASE salience WHEN fear THEN 'fear' WHEN hope THEN 'hope' WHEN anger THEN 'anger' WHEN joy THEN 'joy' ELSE 'dysregulation' END AS primary_emotion, round(salience, 6) AS salience FROM scores WHERE salience >= 0.4"""

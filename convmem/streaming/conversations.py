@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from convmem.functions import signals
 from convmem.functions.text import STOP_WORDS
+from convmem.operators.graph import checkpoint
 from convmem.operators.identity import labels_alike
 from convmem.streaming.state import Follower, followed
 
@@ -299,3 +300,24 @@ def ingest(batch: Callable[[DataFrame], DataFrame], path: str, key: list[str]) -
         new.drop("batch").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
+
+
+def committed(batch: Callable[[DataFrame], DataFrame], path: str, key: list[str], parts: int = 64) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: as ``ingest``, for tables that grow: rows lie in parts by a hash of their key, and a batch reads only the parts of its own keys.
+
+    A batch writes its own folders, part by part, and replaces them if it is run again, as after a crash between its write and the stream's
+    own record of it; what earlier batches have is left out. ``parts`` must stay as it is for a table.
+    """
+
+    def write(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        new = batch(rows).dropDuplicates(key).withColumn("part", F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int"))
+        new = checkpoint(new)
+        own = [r.part for r in new.select("part").distinct().collect()]  # no more than parts
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            known = spark.read.parquet(path)
+            new = new.join(known.where(F.col("part").isin(own) & (F.col("batch") != number)).select(*key), key, "left_anti")
+        new.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(path)
+
+    return write

@@ -113,3 +113,24 @@ def test_new_turns(played):
 
 def test_nothing_comes(played, spark):
     assert played(ST.bookmark_state, [[]]) == []
+
+
+def test_commits_are_repeated_without_effect(spark, tmp_path, monkeypatch):
+    """A batch that is run again, whole or after it broke off half-way, leaves its rows once; a batch reads only the parts of its keys."""
+    schema = "conv_id long, turn long, text string"
+    write = ST.committed(lambda df: df, str(tmp_path / "t"), ["conv_id", "turn"], parts=8)
+    first = spark.createDataFrame([(1, t, "x") for t in range(20)], schema)
+    write(first, 0)
+    write(first, 0)
+    write(spark.createDataFrame([(1, 5, "again"), (2, 0, "new"), (2, 0, "new")], schema), 1)
+    rows = lambda: sorted((r.conv_id, r.turn, r.text) for r in spark.read.parquet(str(tmp_path / "t")).collect())
+    want = [(1, t, "x") for t in range(20)] + [(2, 0, "new")]
+    assert rows() == want
+    # The third batch broke off when half of its folders were there.
+    third = spark.createDataFrame([(3, t, "y") for t in range(12)], schema)
+    write(third.where("turn < 6"), 2)
+    write(third, 2)
+    write(third, 3)
+    assert rows() == want + [(3, t, "y") for t in range(12)]
+    write(third.limit(0), 4)
+    assert rows() == want + [(3, t, "y") for t in range(12)]
