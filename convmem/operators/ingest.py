@@ -100,8 +100,7 @@ def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _edges(sets: DataFrame, rules: Rules) -> DataFrame:
     """(a, b, correction): a probing set and a target set that are alike enough in their family."""
-    family = F.get_json_object("block", "$[0]")
-    found = setjoin.similar(sets.where(family == "a"), rules.least).unionByName(setjoin.similar(sets.where(family == "b"), rules.least_incident))
+    found = setjoin.similar(sets, F.when(F.startswith("block", F.lit('["a"')), rules.least).otherwise(rules.least_incident))
     side = lambda n: sets.select(F.col("set_id").alias(n), F.col("t").alias(f"t{n}"))
     close = found.where("similarity >= 0.5 and a <> b").join(side("a"), "a").join(side("b"), "b").where(X.correction(F.col("ta"), F.col("tb"))).select("a", "b", F.lit(True).alias("correction"))
     return found.join(close, ["a", "b"], "left").select("a", "b", F.coalesce("correction", F.lit(False)).alias("correction"))
@@ -147,6 +146,8 @@ def _replay(rows: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
 
 def decisions(ledger: DataFrame, incoming: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
     """(scope_id, id, action, against) of every new row: ``created``, ``corrected`` (created, ``against`` is superseded), ``skipped`` (because of ``against``) or ``blank``."""
+    if incoming.isEmpty():
+        return incoming.select("scope_id", "id", F.lit(None).cast("string").alias("action"), F.col("id").alias("against"))
     rows = checkpoint(_rows(ledger, incoming, rules))
     sets = _sets(rows)
     numbered = checkpoint(_with_sets(rows, sets))
