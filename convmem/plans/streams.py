@@ -37,8 +37,9 @@ def played(stream: DataFrame) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
-def _of(operator: Callable[[DataFrame], DataFrame], **more: Column) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: played(operator(turns(spark, sf_dir, **more)))
+def _of(operator: Callable[[DataFrame], DataFrame], **more: Callable[[], Column]) -> Callable[[SparkSession, str], DataFrame]:
+    """Columns are made when the query is, for there may be no session yet."""
+    return lambda spark, sf_dir: played(operator(turns(spark, sf_dir, **{n: c() for n, c in more.items()})))
 
 
 _TURNS = f"""t AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, {_TEXT.replace("AS STRING", "AS VARCHAR")} AS text, CAST({_WHEN} AS BIGINT) AS sec,
@@ -65,15 +66,17 @@ c AS (SELECT conv_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS turn, CAS
   CASE WHEN said AND gone THEN 'away' WHEN said AND presence = 'away' THEN 'present' ELSE presence END, CASE WHEN said AND coalesce(gone, false) = false AND presence = 'away' THEN returns + 1 ELSE returns END
   FROM c JOIN g ON g.conv_id = c.conv_id AND g.rn = c.rn + 1) SELECT conv_id, turn, day, part, after, presence, returns FROM c WHERE rn > 0"""
 
-_LABEL = F.concat(F.element_at(F.split(F.regexp_replace("text", r"^\[[^\]]*\] *", ""), " "), 1), F.lit(" affair"))
-Q["st4_threads"] = _of(ST.threads, label=F.when(F.col("turn") % 4 != 1, _LABEL), participant=F.col("role"))
+_LABEL = lambda: F.concat(F.element_at(F.split(F.regexp_replace("text", r"^\[[^\]]*\] *", ""), " "), 1), F.lit(" affair"))
+Q["st4_threads"] = _of(ST.threads, label=lambda: F.when(F.col("turn") % 4 != 1, _LABEL()), participant=lambda: F.col("role"))
 
 Q["st5_snapshots"] = lambda s, d: _of(ST.snapshots)(s, d).select("conv_id", "turn", F.md5("messages").alias("messages"))
 SQL["st5_snapshots"] = f"""WITH RECURSIVE {_TURNS}, c AS (SELECT conv_id, rn, turn, sec AS fired, false AS fires FROM t WHERE rn = 1
   UNION ALL SELECT t.conv_id, t.rn, t.turn, CASE WHEN t.sec - fired >= 1800 THEN t.sec ELSE fired END, t.sec - fired >= 1800 FROM c JOIN t ON t.conv_id = c.conv_id AND t.rn = c.rn + 1)
 SELECT c.conv_id, c.turn, (SELECT md5(string_agg(role || ': ' || text, chr(10) ORDER BY x.rn)) FROM t x WHERE x.conv_id = c.conv_id AND x.rn BETWEEN c.rn - 39 AND c.rn) AS messages FROM c WHERE fires"""
 
-_SURFACED = F.array(F.struct(F.concat(F.lit("e"), F.col("turn").cast("string")).alias("id"), F.concat(F.substring("text", 1, 60), F.lit(" the and with")).alias("summary")))
+_SURFACED = lambda: F.array(
+    F.struct(F.concat(F.lit("e"), F.col("turn").cast("string")).alias("id"), F.concat(F.substring("text", 1, 60), F.lit(" the and with")).alias("summary"))
+)
 Q["st6_recited"] = _of(ST.recited, surfaced=_SURFACED)
 _BAG = B.sql_bag("{}")
 _STOPS = "[" + ", ".join(f"'{w}'" for w in ST.STOP_WORDS) + "]"
