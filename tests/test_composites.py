@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 
 from pyspark.sql import functions as F
 
 from convmem.operators import composites as M
+from convmem.operators import routing as G
 
 
 def test_clock_line(spark):
@@ -45,6 +47,31 @@ def test_matched_arcs(spark):
     assert {r.cluster: r.arc_id for r in M.matched_arcs(clusters, arcs).collect()} == {1: "a1", 2: "a2", 3: "a1", 4: None, 5: None}
 
 
+def test_matched_arcs_by_brute_force(spark):
+    """All relations at once, over several tiles, with odd vectors, nulls and repeated elements."""
+    rnd = random.Random(8)
+    pick = lambda names, k: rnd.choice([None, [], [rnd.choice(names) for _ in range(rnd.randint(1, k))]])
+    vec = lambda: rnd.choice([None, [], [0.0, 0.0, 0.0], [rnd.choice([-1.0, 0.0, 1.0, 2.0, None]) for _ in range(rnd.randint(1, 4))]])
+    signs = lambda: (rnd.choice(["s", "r", None]), pick([f"t{i}" for i in range(90)], 2), pick(["x", "y", "z", "u", "v", "w", "q", None], 5), vec())
+    arcs = [(*signs(), f"a{k:02d}", k, rnd.choice(["active", "dormant", "dormant", None])) for k in range(40)]
+    clusters = [(*signs(), k) for k in range(120)]
+    sign = "scope_id string, threads array<string>, entities array<string>, centroid array<double>"
+
+    def hit(c, a):
+        if c[0] is None or c[0] != a[0]:
+            return False
+        x, y = ([v or 0.0 for v in row[3] or []] for row in (c, a))
+        size = math.sqrt(sum(v * v for v in x)) * math.sqrt(sum(v * v for v in y))
+        close = size > 0 and sum(p * q for p, q in zip(x, y, strict=False)) / size >= 0.7
+        e, f = set(c[2] or []), set(a[2] or [])
+        alike = a[6] == "active" and c[2] is not None and a[2] is not None and e | f and len(e & f) / len(e | f) >= 0.5
+        return bool(set(c[1] or []) & set(a[1] or []) or close or alike)
+
+    want = {c[4]: next((a[4] for a in arcs if hit(c, a)), None) for c in clusters}
+    got = M.matched_arcs(spark.createDataFrame(clusters, f"{sign}, cluster int"), spark.createDataFrame(arcs, f"{sign}, arc_id string, pos int, status string"), rows_per_tile=7)
+    assert {r.cluster: r.arc_id for r in got.collect()} == want and len({*want.values()}) > 6
+
+
 def test_applied_merges_and_audit(spark, tmp_path):
     ledger = spark.createDataFrame([("a", "calm", None, "hot"), ("b", "calm", None, "hot"), ("c", "the trauma", None, "hot"), ("d", "calm", None, "hot")], "id string, summary string, superseded_by string, temp string")
     merges = spark.createDataFrame([(1, "a", ["b", "gone"], "high", "same"), (2, "c", ["d"], "low", "same"), (3, "x", ["y"], "high", "same")], "cluster int, canonical_id string, redundant_ids array<string>, confidence string, rationale string")
@@ -86,3 +113,12 @@ def test_duplicates_by_brute_force(spark):
             kept.append(r)
     assert lost and {r.id for r in M.duplicates(ledger).collect()} == lost
     assert M.duplicates(ledger.limit(0)).count() == 0
+
+
+def test_equally_good_suggestions(spark):
+    """Of equally good suggestions the first held beat's stands, null or not, however rows are dealt."""
+    rows = [("ann", 30, "t30", 5), ("ann", 10, "t10", 7), ("ann", 20, "t20", 7), ("bo", 11, None, 7), ("bo", 21, "t21", 7), ("bo", 1, "t1", 6)]
+    held = spark.createDataFrame([(n, n, *r) for n, *r in rows], "speaker_norm string, speaker string, seq long, suggestion string, score long")
+    for order in (F.col("seq"), F.desc("seq")):
+        got = G.pending_speakers(held.coalesce(1).sortWithinPartitions(order)).collect()
+        assert {(r.speaker_norm, r.held, r.suggestion) for r in got} == {("ann", 3, "t10"), ("bo", 3, None)}
