@@ -258,3 +258,14 @@ def test_no_phrase_is_looked_for_in_a_filter(spark):
     assert filters and not any("RLIKE" in line for line in filters)
     phrases = sum(len(w) for w in B.LEXICON.values()) + len(B.DIRECT + B.DEFLECTION + B.ATTACHMENT)
     assert plan.count("RLIKE (^|[^A-Za-z0-9_])") <= phrases
+
+
+def test_sentence_candidates_on_odd_spaces(spark, tmp_path):
+    """White space that only one engine counts as such: vertical tabs do not split, space separators of all kinds are trimmed, and the mark that SQL splits at splits here."""
+    said = "Ann goes home"
+    texts = [f"{said}.\x0b{said}. ", f"　{said} \n{said}\u0085", f"{said}! {said}", f"{said}\x01{said} now", f"My \x0c{said}. \x0c {said}\r{said}"]
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.sql(catalog.oracle_sql()["p9_sentence_candidates"]).fetchall())
+    assert sorted(tuple(r) for r in catalog.queries()["p9_sentence_candidates"](spark, str(tmp_path)).collect()) == want and len(want) > 6
