@@ -93,6 +93,28 @@ def test_decisions(spark, seed, copies):
     assert kinds >= {(lane, a) for lane in LANES for a in ("created", "skipped")} | {("user_topics", "corrected")}
 
 
+def test_components_are_replayed_together(spark, tmp_path):
+    """Some hundred components are a few groups of rows, not a group each, and decisions are those of the loop."""
+    data = [r | {"id": f"{k:02d}{r['id']}", "scope_id": f"{r['scope_id']}{k}"} for k in range(12) for r in rows(k, 60)]
+    known, new = [r for r in data if r["id"][2:] < "r015" and (r["summary"] or "").strip()], [r for r in data if r["id"][2:] >= "r015"]
+    want = loop(*(sorted(part, key=lambda r: (r["pos"], r["id"])) for part in (known, new)))
+    counted = spark.sparkContext.accumulator(0)
+    plain = ingest._replay
+
+    def counting(r, e):
+        counted.add(1)
+        return plain(r, e)
+
+    for size in (20_000, 40):
+        ingest._replay, counted.value = counting, 0
+        try:
+            got = {(r.scope_id, r.id): (r.action, r.against) for r in ingest.decisions(*(spark.createDataFrame([tuple(r.values()) for r in part], SCHEMA) for part in (known, new)), rows_per_part=size).collect()}
+        finally:
+            ingest._replay = plain
+        assert got == want
+        assert counted.value <= (spark.sparkContext.defaultParallelism + 1 if size > 40 else 40)
+
+
 def test_outputs(spark):
     known = spark.createDataFrame([("p", "user_topics", None, "a", 1, "his sister is Mei", "", None, None), ("p", "open_threads", None, "b", 2, "find the lost key", "", None, None)], SCHEMA)
     new = spark.createDataFrame([("p", "user_topics", None, "c", 1, "his sister is Lin", "", None, None), ("p", "user_topics", None, "d", 2, "sister is Lin", "", None, None), ("p", "open_threads", None, "e", 3, "find the key", "", None, None)], SCHEMA)
