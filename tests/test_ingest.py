@@ -156,3 +156,16 @@ def test_sentences_give_few_candidates(spark):
     sets = setjoin.numbered_sets(rows)
     every = sum(r["count"] * (r["count"] - 1) // 2 for r in sets.groupBy("block").count().collect())
     assert setjoin.candidates(setjoin._coded(sets), 0.35).count() < 0.05 * every
+
+
+@pytest.mark.parametrize("least,tile,run", [(0.35, 9, 4), (0.5, 1000, 7), (0.8, 20, 100)])
+def test_set_join_in_tiles(spark, least, tile, run):
+    """Words that most sets have, over several tiles and runs: all pairs are found, each once, and no candidate leaves a task."""
+    rnd = random.Random(4)
+    data = {(f"b{i % 3}", tuple(sorted({f"w{int(rnd.paretovariate(0.6)) % 60}" for _ in range(rnd.choice([1, 2, 5, 14, 30]))}))) for i in range(300)}
+    data |= {("b0", tuple(f"v{k:04d}" for k in range(n))) for n in (7, 20, 400, 1142, 1143, 1144, 1500)}
+    sets = setjoin.checkpoint(spark.createDataFrame([(b, list(t)) for b, t in sorted(data)], "block string, t array<string>").repartition(3).withColumn("set_id", F.monotonically_increasing_id()))
+    known = sets.collect()
+    want = sorted((a.set_id, b.set_id, round(alike(set(a.t), set(b.t)), 9)) for a in known for b in known if a.block == b.block and a.set_id < b.set_id and alike(set(a.t), set(b.t)) >= least)
+    got = setjoin.similar_in_tiles(sets, least, rows_per_tile=tile, run=run)
+    assert sorted((r.a, r.b, round(r.similarity, 9)) for r in got.collect()) == want and len(want) > 2
