@@ -269,3 +269,14 @@ def test_sentence_candidates_on_odd_spaces(spark, tmp_path):
     con.execute(f"create view documents as from '{tmp_path}/documents.parquet/*.parquet'")
     want = sorted(con.sql(catalog.oracle_sql()["p9_sentence_candidates"]).fetchall())
     assert sorted(tuple(r) for r in catalog.queries()["p9_sentence_candidates"](spark, str(tmp_path)).collect()) == want and len(want) > 6
+
+
+def test_relevance_sends_each_entry_once_and_talk_in_pieces(spark):
+    """Talk of many words is cut into pieces, shares stay whole, and no word of an entry is a row of its own."""
+    talk = spark.createDataFrame([("s", " ".join(f"word{i}" for i in range(k, 60, 3))) for k in range(3)] + [("t", "other")], "scope_id string, talk string")
+    ledger = spark.createDataFrame([("s", "a", "word1 word2 word3 missing"), ("s", "b", "nothing here"), ("t", "a", "word1 other"), ("u", "a", "word1"), ("s", "c", "")], "scope_id string, id string, summary string")
+    for size in (4096, 7):
+        rows = recall.relevance(ledger, talk, size)
+        assert {(r.scope_id, r.id): r.relevance for r in rows.collect()} == {("s", "a"): 0.75, ("s", "b"): 0.0, ("t", "a"): 0.5, ("u", "a"): 0.0, ("s", "c"): 0.0}
+    # Between the scan and the first exchange only the talk, checkpointed before, is spread into words.
+    assert "Generate" not in rows._jdf.queryExecution().executedPlan().toString()
