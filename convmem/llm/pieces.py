@@ -24,6 +24,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -202,12 +203,17 @@ class Search:
 
     def ids(self, text: str, to: int) -> list[int]:
         """The ids on the way from ``base`` to a boundary."""
-        runs: list[list[int]] = []
-        while to > self.base:
-            at, found = self.start[to - self.base], self.piece[to - self.base]
-            runs.append([found] if found >= 0 else [self.v.bytes[b] for b in text[at:to].encode()])
+        start, piece, base = self.start, self.piece, self.base
+        out: list[int] = []  # from the last one back
+        while to > base:
+            at, found = start[to - base], piece[to - base]
+            if found >= 0:
+                out.append(found)
+            else:
+                out += [self.v.bytes[b] for b in reversed(text[at:to].encode())]
             to = at
-        return [i for run in reversed(runs) for i in run]
+        out.reverse()
+        return out
 
     def commit(self, to: int) -> None:
         """What lies before a boundary is final: of it only the boundary's last piece and score are kept."""
@@ -230,12 +236,21 @@ def viterbi(text: str, v: Vocabulary) -> Iterator[list[int]]:
             return
 
 
+class _Known(dict):
+    """Ids of words; those of a word that is not remembered are searched when asked for."""
+
+    def __missing__(self, word: str) -> bytes:
+        return self.search(word)
+
+
 class Coder:
     """Ids of whole texts, and texts of ids."""
 
     def __init__(self, path: str, unigram: bool = False):
         self.v = Vocabulary(path, unigram)
-        self.known: dict[str, bytes] = {}
+        self.known = _Known()
+        self.known.search = self._long
+        self.text = pa.array(self.v.text, pa.binary())
 
     def learn(self, words: Iterable[str]) -> None:
         """Remember the ids of short words. In order, so that a word goes on from what the one before shares with it."""
@@ -257,9 +272,10 @@ class Coder:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [self.v.split((SPACE + t).replace(" ", SPACE)) if t else [] for t in texts]
         known = self.known
-        new = {w for words in split for w in words if w not in known and len(w) <= _LOOK}
-        self.learn(new)
-        return [b"".join([known[w] if len(w) <= _LOOK and w in known else self._long(w) for w in words]) for words in split]
+        if len(known) >= REMEMBERED:
+            known.clear()  # before the batch's words are looked up, so that none of them goes
+        self.learn([w for w in set().union(*split) if w not in known and len(w) <= _LOOK])
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
     def _long(self, word: str) -> bytes:
         return array("I", [i for run in viterbi(word, self.v) for i in run]).tobytes()
@@ -267,6 +283,14 @@ class Coder:
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
+    def bytes_of(self, ids: list[bytes]) -> list[bytes]:
+        """The bytes of each text's ids, without the leading space: what ``decode`` makes texts of, for many at once."""
+        ends = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int64)
+        found = self.text.take(pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        at = np.frombuffer(found.buffers()[1], np.int32)[found.offset : found.offset + len(found) + 1][ends].tolist()
+        data = found.buffers()[2].to_pybytes() if len(found) else b""
+        return [data[x + (data[x : x + 1] == b" " and x < y) : y] for x, y in zip(at, at[1:], strict=False)] if len(found) else [b""] * len(ids)
+
     def decode(self, ids: bytes) -> str:
         """The text of ids, without the leading space that encoding put there."""
         data = b"".join(map(self.v.text.__getitem__, array("I", ids)))
@@ -301,21 +325,28 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
     return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "ids").mapInArrow(run, "doc_id bigint, text string")
 
 
+def _measured(coder: Coder, batch: pa.RecordBatch) -> pa.RecordBatch:
+    n, crc, back, same = [], [], [], []
+    texts = [t or "" for t in batch.column("text").to_pylist()]
+    every = coder.encode_all(texts)
+    for text, ids, data in zip(texts, every, coder.bytes_of(every), strict=True):
+        equal = data == text.encode()
+        if not equal:  # what is no UTF-8 is replaced
+            again = data.decode("utf-8", "replace")
+            equal, data = again == text, again.encode()
+        n.append(len(ids) // 4)
+        crc.append(zlib.crc32(ids))
+        back.append(zlib.crc32(data))
+        same.append(equal)
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(back, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "n_ids", "ids_crc32", "decoded_crc32", "same"])
+
+
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_ids, ids_crc32, decoded_crc32, same): encodes and decodes every text in one pass."""
+
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(path)
         for batch in rebatched(source):
-            n, crc, back, same = [], [], [], []
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for text, ids in zip(texts, coder.encode_all(texts), strict=True):
-                again = coder.decode(ids)
-                n.append(len(ids) // 4)
-                crc.append(zlib.crc32(ids))
-                back.append(zlib.crc32(again.encode()))
-                same.append(again == text)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(back, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "n_ids", "ids_crc32", "decoded_crc32", "same"]
-            )
+            yield _measured(coder, batch)
 
     return documents(docs).mapInArrow(run, "doc_id bigint, n_ids bigint, ids_crc32 bigint, decoded_crc32 bigint, same boolean")
