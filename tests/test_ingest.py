@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from convmem.functions.text import FUNCTION_WORDS
 from convmem.operators import ingest, setjoin
+from convmem.plans import ingest as plans
 
 SCHEMA = "scope_id string, lane string, kind string, id string, pos bigint, summary string, content string, source_chat_id string, turn_start bigint"
 LANES = ("user_topics", "character_topics", "open_threads")
@@ -169,3 +170,42 @@ def test_set_join_in_tiles(spark, least, tile, run):
     want = sorted((a.set_id, b.set_id, round(alike(set(a.t), set(b.t)), 9)) for a in known for b in known if a.block == b.block and a.set_id < b.set_id and alike(set(a.t), set(b.t)) >= least)
     got = setjoin.similar_in_tiles(sets, least, rows_per_tile=tile, run=run)
     assert sorted((r.a, r.b, round(r.similarity, 9)) for r in got.collect()) == want and len(want) > 2
+
+
+def written(spark):
+    """Rows that shuffles have written so far."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    nothing = gateway.jvm.java.util.ArrayList
+    stages = store.stageList(nothing(), False, False, gateway.new_array(gateway.jvm.double, 0), nothing())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_pairs_of_sentences_write_no_candidates(spark, tmp_path):
+    """Sentences of one scope that nearly all have a word in common, but hardly any two: shuffles carry sentences, not pairs."""
+    rnd = random.Random(11)
+    word = lambda: f"w{min(rnd.randrange(1, 400), rnd.randrange(1, 400), rnd.randrange(1, 400))}"
+    said = [{word() for _ in range(rnd.randint(1, 14))} for _ in range(3000)]
+    spark.createDataFrame([(k, "a", "en", " ".join(sorted(s)) + ".") for k, s in enumerate(said)], "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    before = written(spark)
+    got = plans.sentence_pairs(spark, str(tmp_path)).collect()
+    assert written(spark) - before < 5 * len(said)
+    once = {}
+    for k, s in enumerate(said):
+        once.setdefault(frozenset(s), k * 100_000)
+    own = list(once.items())
+    want = {(a, b, round(len(s & t) / len(s | t), 6)) for i, (s, a) in enumerate(own) for t, b in own[i + 1 :] if len(s & t) / len(s | t) >= 0.35}
+    assert len(got) == len(want) and {(r.a, r.b, r.similarity) for r in got} == want and len(want) > 30
+
+
+@pytest.mark.parametrize(("least", "tile"), [(0.35, 10**6), (0.35, 300), (0.6, 300), (0.9, 10**6)])
+def test_set_join_by_word_pairs(spark, least, tile):
+    """Short and long sets, in two blocks, by one tile and by many."""
+    rnd = random.Random(int(least * 100) + tile)
+    sets = {(rnd.choice("xy"), " ".join(sorted({f"w{min(rnd.randrange(90), rnd.randrange(90))}" for _ in range(rnd.choice([1, 2, 3, 5, 9, 30, 130]))}))) for _ in range(300)}
+    sets |= {(b, f"{w} wz") for b, w in rnd.sample(sorted(sets), 100)}
+    rows = [(b, k, w) for k, (b, w) in enumerate(sorted(sets))]
+    split = {k: set(w.split()) for _, k, w in rows}
+    like = lambda a, b: len(split[a] & split[b]) / len(split[a] | split[b])
+    want = {(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and like(x[1], y[1]) >= least}
+    got = [(r.a, r.b) for r in setjoin.similar_by_word_pairs(spark.createDataFrame(rows, "block string, set_id long, words string"), least, tile).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
