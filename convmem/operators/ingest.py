@@ -106,9 +106,26 @@ def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return rows
 
 
+#: From so many words in a set, on average, most candidates that a prefix gives have nothing to do with each other, and their words would be sent with each.
+LONG = 50
+
+
+def _alike(sets: DataFrame, rules: Rules) -> DataFrame:
+    """(a, b, similarity): as ``setjoin.similar``; whole texts are compared in tiles."""
+    least = F.when(F.startswith("block", F.lit('["a"')), rules.least).otherwise(rules.least_incident)
+    if (sets.agg(F.avg(F.size("t"))).first()[0] or 0) < LONG:
+        return setjoin.similar(sets, least)
+    found = setjoin.similar_in_tiles(sets.select("block", "set_id", "t"), min(rules.least, rules.least_incident))
+    side = lambda c: sets.select(F.col("set_id").alias(c), F.col("probe").alias(f"p{c}"), F.col("target").alias(f"t{c}"), *[least.alias("least")] * (c == "a"))
+    found = checkpoint(found.join(side("a"), "a").join(side("b"), "b").where(F.col("similarity") >= F.col("least") - 1e-12))
+    one, other = found.where("pa and tb").select("a", "b", "similarity"), found.where("pb and ta").select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")
+    itself = sets.where("probe and target").select(F.col("set_id").alias("a"), F.col("set_id").alias("b"), F.lit(1.0).alias("similarity"))
+    return one.unionByName(other).unionByName(itself)
+
+
 def _edges(sets: DataFrame, rules: Rules) -> DataFrame:
     """(a, b, correction): a probing set and a target set that are alike enough in their family."""
-    found = setjoin.similar(sets, F.when(F.startswith("block", F.lit('["a"')), rules.least).otherwise(rules.least_incident))
+    found = _alike(sets, rules)
     side = lambda n: sets.select(F.col("set_id").alias(n), F.col("t").alias(f"t{n}"))
     close = found.where("similarity >= 0.5 and a <> b").join(side("a"), "a").join(side("b"), "b").where(X.correction(F.col("ta"), F.col("tb"))).select("a", "b", F.lit(True).alias("correction"))
     return found.join(close, ["a", "b"], "left").select("a", "b", F.coalesce("correction", F.lit(False)).alias("correction"))

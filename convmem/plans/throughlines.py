@@ -19,10 +19,15 @@ _MEANS, _NEAR = 0.3, 0.35
 
 
 def facts(spark, sf_dir):
+    """Facts without their texts, which ``texts`` has."""
     i = F.col("vec_id").cast("bigint")
-    texts = B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("fact"))
-    rows = B.table(spark, sf_dir, "embeddings").join(texts, "vec_id")
-    return rows.select(F.col("label").cast("string").alias("scope_id"), i.alias("id"), (i % 3).alias("pass"), i.alias("pos"), "fact", F.when(i % 2 == 0, "user_topics").otherwise("character_topics").alias("lane"), F.when(i % 5 > 1, F.lit("Ann")).when(i % 5 == 1, F.lit("Bo")).alias("subject"), F.col("embedding").alias("vector"))
+    sizes = B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.length("text").alias("chars"))
+    rows = B.table(spark, sf_dir, "embeddings").join(sizes, "vec_id")
+    return rows.select(F.col("label").cast("string").alias("scope_id"), i.alias("id"), (i % 3).alias("pass"), i.alias("pos"), "chars", F.when(i % 2 == 0, "user_topics").otherwise("character_topics").alias("lane"), F.when(i % 5 > 1, F.lit("Ann")).when(i % 5 == 1, F.lit("Bo")).alias("subject"), F.col("embedding").alias("vector"))
+
+
+def texts(spark, sf_dir):
+    return B.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").alias("fact"))
 
 
 _AGREED = f"""f AS MATERIALIZED (SELECT CAST(label AS VARCHAR) AS scope_id, CAST(vec_id AS BIGINT) AS id, vec_id % 3 AS pass, text AS fact, CASE WHEN vec_id % 2 = 0 THEN 'user_topics' ELSE 'character_topics' END AS lane,
@@ -36,12 +41,12 @@ c AS (SELECT scope_id, leader, subject, count(*) AS c, min({{'p': pass, 'i': id}
 b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY scope_id, leader ORDER BY c DESC, first) = 1), k AS (SELECT scope_id, leader, count(DISTINCT pass) AS seen FROM m GROUP BY 1, 2),
 agreed AS (SELECT scope_id, leader, rep.l AS lane, rep.f AS fact, subject, seen FROM b JOIN k USING (scope_id, leader) WHERE seen >= 2)"""
 
-Q["a3_consensus_by_meaning"] = lambda s, d: K.consensus_by_meaning(facts(s, d), 3, _MEANS)
+Q["a3_consensus_by_meaning"] = lambda s, d: K.consensus_by_meaning(facts(s, d), 3, _MEANS, texts(s, d))
 SQL["a3_consensus_by_meaning"] = f"WITH RECURSIVE {_AGREED} SELECT * FROM agreed"
 
 
 def ingested(spark, sf_dir):
-    agreed = K.consensus_by_meaning(facts(spark, sf_dir), 3, _MEANS).withColumn("keep", F.col("leader") % 11 != 0)
+    agreed = A.checkpoint(K.consensus_by_meaning(facts(spark, sf_dir), 3, _MEANS, texts(spark, sf_dir))).withColumn("keep", F.col("leader") % 11 != 0)
     known = spark.createDataFrame([], "name string, identity_key string").unionByName(B.table(spark, sf_dir, "region").where("r_regionkey = 0").select(F.lit("Ann").alias("name"), F.lit("k9").alias("identity_key")))
     none = spark.createDataFrame([], "scope_id string, lane string, kind string, id string, pos bigint, summary string, content string, source_chat_id string, turn_start bigint")
     return I.decisions(none, G.facts_for_ledgers(agreed.where("keep"), known, ["user", "self", "?"]))

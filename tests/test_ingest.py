@@ -209,3 +209,18 @@ def test_set_join_by_word_pairs(spark, least, tile):
     want = {(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and like(x[1], y[1]) >= least}
     got = [(r.a, r.b) for r in setjoin.similar_by_word_pairs(spark.createDataFrame(rows, "block string, set_id long, words string"), least, tile).collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_long_sets_are_compared_in_tiles(spark, monkeypatch):
+    """Whole texts find the same ones alike as by a prefix, in both families and roles, and their candidates are not written."""
+    rnd = random.Random(8)
+    texts = [[f"w{k}" for k in sorted(rnd.sample(range(160), rnd.randint(40, 110)))] for _ in range(60)]
+    texts += [sorted({*t[rnd.randint(0, 30) :], f"w{rnd.randint(160, 170)}"}) for t in texts]
+    data = [(f'["{rnd.choice("ab")}","s","l"]', t, rnd.random() < 0.7, rnd.random() < 0.8) for t in texts]
+    sets = setjoin.numbered_sets(spark.createDataFrame(data, "block string, t array<string>, probe boolean, target boolean"))
+    rules = ingest.Rules()
+    rows = lambda df: sorted((r.a, r.b, round(r.similarity, 9)) for r in df.collect())
+    want = rows(setjoin.similar(sets, F.when(F.startswith("block", F.lit('["a"')), rules.least).otherwise(rules.least_incident)))
+    monkeypatch.delattr(setjoin, "candidates")
+    assert rows(ingest._alike(sets, rules)) == want and len(want) > 60
+    assert {(r.a, r.b) for r in ingest._edges(sets, rules).collect()} == {p[:2] for p in want}

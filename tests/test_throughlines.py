@@ -126,3 +126,15 @@ def test_no_arc_of_fewer_than_three_kept(spark):
     none = spark.createDataFrame([], A.ARC), spark.createDataFrame([], A.MEMBER)
     arcs, members, recaps = run(spark, [beat(n, thread="t") for n in range(4)], *none, "2024-01-02", drop=("b0", "b1"))
     assert arcs.count() == members.count() == recaps.count() == 0
+
+
+def test_consensus_looks_up_only_what_it_returns(spark):
+    """Facts with lengths in place of their texts agree on the same, equal lengths and missing texts too."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(4)
+    rows = [(f"s{k % 3}", k, k // 3 % 3, k, rnd.choice([None, "a", "bb", "cc", "ddd " * (k % 4)]), rnd.choice(["x", "y"]), rnd.choice([None, "Ann", "Bo"]), [rnd.choice([0.0, 1.0]) for _ in range(3)]) for k in range(120)]
+    df = spark.createDataFrame(rows, "scope_id string, id long, pass int, pos long, fact string, lane string, subject string, vector array<double>")
+    want = K.consensus_by_meaning(df, 3).collect()
+    found = K.consensus_by_meaning(df.withColumn("chars", F.length("fact")).drop("fact"), 3, texts=df.select("id", "fact"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, want)) and want
