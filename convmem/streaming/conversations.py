@@ -150,9 +150,9 @@ class Threads(Follower):
         self.count = handle.getValueState("count", "n long")
 
     def load(self):
-        self.live = {k[0]: tuple(v) for k, v in self.state.iterator()}
+        self.live = {} if self.fresh else {k[0]: tuple(v) for k, v in self.state.iterator()}
         self.before = dict(self.live)
-        self.n = self.count.get()[0] if self.count.exists() else 0
+        self.n = self.counted = 0 if self.fresh else self.count.get()[0]
 
     def save(self):
         for n in self.before.keys() - self.live.keys():
@@ -160,7 +160,8 @@ class Threads(Follower):
         for n, v in self.live.items():
             if self.before.get(n) != v:
                 self.state.updateValue((n,), v)
-        self.count.update((self.n,))
+        if self.fresh or self.n != self.counted:
+            self.count.update((self.n,))
 
     def forget(self):
         self.state.clear()

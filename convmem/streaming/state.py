@@ -1,7 +1,8 @@
 """Processors that follow conversations: typed state, event-time timers, nothing capped.
 
 A conversation's rows of a micro-batch are taken in the order of their time and turn. Its state is
-read once for them and written once. A turn that was taken before is ignored, in whatever batch it
+read once for them and written once, for each call to the state store costs about as much as a turn: turns that were taken are
+kept in runs of numbers, and a conversation that has no state yet is asked for none. A turn that was taken before is ignored, in whatever batch it
 comes again; one that comes late, but within the watermark, is taken when it comes. When a
 conversation has been idle for long enough, a timer lets the processor say its last word and drops
 the state.
@@ -18,19 +19,23 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY_MS = 86_400_000
+#: So many turns, by their number, are one entry of what was taken.
+TURNS_PER_ENTRY = 64
 
 
 class Follower(StatefulProcessor):
     """``take`` makes rows of a turn; ``load`` and ``save`` move the state; ``idle`` makes rows when nothing has come for ``idle_ms``."""
 
     names: tuple[str, ...] = ()
+    #: Whether the conversation has no state yet.
+    fresh = False
 
     def __init__(self, idle_ms: int = 14 * DAY_MS):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "turn long", "at long")
+        self.seen = handle.getMapState("taken", "entry long", "turns array<long>")
         self.timer = handle.getValueState("timer", "last long, due long")
         self.open(handle)
 
@@ -52,35 +57,47 @@ class Follower(StatefulProcessor):
     def _frame(self, key: Any, rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame([(key[0], *r) for r in rows], columns=["conv_id", *self.names])
 
-    def _wait(self, last: int) -> None:
-        due, before = self.next_due(last), self.timer.get() if self.timer.exists() else None
-        if before is not None and before[1] != due:
-            self.handle.deleteTimer(before[1])
-        if before is None or before[1] != due:
+    def _wait(self, last: int | None, before: int | None) -> None:
+        """Sets the timer anew if it is due at another time than before; without any time, only notes that there is state."""
+        due = None if last is None else self.next_due(last)
+        if before is not None and before != due:
+            self.handle.deleteTimer(before)
+        if due is not None and before != due:
             self.handle.registerTimer(due)
         self.timer.update((last, due))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frame = pd.concat(list(rows)).sort_values(["ts", "turn"], kind="stable")
+        turns = [row for frame in rows for row in frame.itertuples(index=False)]
+        turns.sort(key=lambda r: (True, 0, r.turn) if pd.isna(r.ts) else (False, r.ts, r.turn))
+        self.fresh = not self.timer.exists()
+        last, due = (None, None) if self.fresh else self.timer.get()
         self.load()
         out: list[tuple] = []
-        last = self.timer.get()[0] if self.timer.exists() else None
-        for row in frame.itertuples(index=False):
-            turn = (int(row.turn),)
-            if self.seen.containsKey(turn):
+        taken: dict[int, set[int]] = {}
+        changed = set()
+        for row in turns:
+            turn = int(row.turn)
+            entry = turn // TURNS_PER_ENTRY
+            if entry not in taken:
+                taken[entry] = set(self.seen.getValue((entry,))[0]) if not self.fresh and self.seen.containsKey((entry,)) else set()
+            if turn in taken[entry]:
                 continue
+            taken[entry].add(turn)
+            changed.add(entry)
             at = None if pd.isna(row.ts) else int(row.ts.timestamp() * 1000)
-            self.seen.updateValue(turn, (at or 0,))
-            out += [(turn[0], *made) for made in self.take(row, at)]
+            out += [(turn, *made) for made in self.take(row, at)]
             last = at if last is None else max(last, at or last)
+        for entry in changed:
+            self.seen.updateValue((entry,), (sorted(taken[entry]),))
         self.save()
-        if last is not None:
-            self._wait(last)
+        self._wait(last, due)
         yield self._frame(key, out)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         at = expiredTimerInfo.getExpiryTimeInMs()
-        last = self.timer.get()[0] if self.timer.exists() else at
+        self.fresh = not self.timer.exists()
+        last = at if self.fresh else self.timer.get()[0]
+        last = at if last is None else last
         self.load()
         out = [(None, *made) for made in self.idle(at)]
         if last + self.idle_ms <= at:
@@ -89,8 +106,7 @@ class Follower(StatefulProcessor):
             self.timer.clear()
         else:
             self.save()
-            self.timer.clear()
-            self._wait(last)
+            self._wait(last, None)
         yield self._frame(key, out)
 
     def close(self) -> None: ...

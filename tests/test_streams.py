@@ -134,3 +134,60 @@ def test_commits_are_repeated_without_effect(spark, tmp_path, monkeypatch):
     assert rows() == want + [(3, t, "y") for t in range(12)]
     write(third.limit(0), 4)
     assert rows() == want + [(3, t, "y") for t in range(12)]
+
+
+class Store:
+    """A state store in memory that counts what it is asked."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def _state(self, is_map):
+        held, store = {}, self
+
+        class State:
+            def __getattr__(self, name):
+                store.calls += 1
+                key = lambda k: tuple(k) if is_map else 0
+                ways = {
+                    "exists": lambda: bool(held), "get": lambda: held.get(0), "update": lambda v: held.__setitem__(0, v), "clear": held.clear,
+                    "containsKey": lambda k: key(k) in held, "getValue": lambda k: held.get(key(k)), "updateValue": lambda k, v: held.__setitem__(key(k), v), "removeKey": lambda k: held.pop(key(k)), "iterator": lambda: iter(list(held.items())),
+                }
+                return ways[name]
+
+        return State()
+
+    def getMapState(self, *_):  # noqa: N802
+        return self._state(True)
+
+    def getValueState(self, *_):  # noqa: N802
+        return self._state(False)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.discard(at)
+
+
+def test_state_is_asked_by_conversation_not_by_turn():
+    import pandas as pd
+
+    store, follower = Store(), ST.Threads(lambda a, b: a == b, 14 * 86400)
+    follower.names = ("turn", "thread", "label", "beats", "participants", "state")
+    follower.init(store)
+    frame = lambda turns, timed=True: pd.DataFrame([(1, t, "user", "", pd.Timestamp(at(t)) if timed else pd.NaT, "a tower") for t in turns], columns=["conv_id", "turn", "role", "text", "ts", "label"])
+    taken = lambda *frames: [int(t) for made in follower.handleInputRows((1,), iter(frames), None) for t in made.turn]
+    assert taken(frame([3, 1]), frame([2, 1, *range(4, 130)])) == list(range(1, 130))
+    assert store.calls <= 12  # 129 turns
+    store.calls = 0
+    assert taken(frame([63, 64, 129, 130])) == [130] and store.calls <= 16
+    assert len(store.timers) == 1
+    # Without times there is no timer, but what was taken is known.
+    other, again = Store(), ST.Threads(lambda a, b: a == b, 14 * 86400)
+    again.names, follower = follower.names, again
+    follower.init(other)
+    assert taken(frame([5, 6], timed=False)) == [5, 6] and taken(frame([6, 7], timed=False)) == [7] and not other.timers
+    assert set(taken(frame([7, 8]))) == {8} and len(other.timers) == 1
