@@ -10,7 +10,9 @@ widens the beam further until the recall is right. Every reported pair's cosine
 double precision from the vectors as given, scaled by powers of two, which changes no digit.
 
 A task hands back, for every vector, how many rows it is linked to, and a spanning forest of
-the links, not the links. Graphs and blocks hold a bounded number of bytes, whatever the table.
+the links, not the links. Graphs and blocks hold a bounded number of bytes, whatever the table:
+a graph goes as its links and the vectors as given, in pieces, and what is derived from them is made
+where it is used; wide beams take fewer queries at once, and pairs found are gone through in slices.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, and rows
 without an id, link with nothing, not even their copies; vectors of different lengths do not
@@ -31,6 +33,14 @@ from convmem.llm.common import checkpoint
 from convmem.llm.components import components
 
 
+#: Members of beams that are held at once.
+BEAM_CELLS = 1 << 20
+#: Pairs that are computed in double precision at once.
+PAIRS_AT_ONCE = 1 << 16
+#: Bytes of a row that holds a piece of a graph.
+PIECE = 4 << 20
+
+
 class Graph:
     """A hierarchical navigable small-world graph over unit vectors; searches run for many queries at once.
 
@@ -170,13 +180,18 @@ class Graph:
         todo = np.arange(len(queries))
         entry = self._enter(queries, 0)
         n = len(self.unit)
+        own = self.unit[self.members[0]]
         while len(todo):
             beam = min(beam, n)
-            at, near = self._beam(queries[todo], self.unit[self.members[0]], self.links[0], entry[todo], beam)
-            wide = (near[:, -1] >= least) & (beam < n)
-            q, b = np.nonzero((near >= least) & ~wide[:, None])
-            found.append((todo[q], self.members[0][at[q, b]]))
-            todo, beam = todo[wide], 4 * beam
+            left, few = [], max(1, BEAM_CELLS // beam)
+            for start in range(0, len(todo), few):
+                some = todo[start : start + few]
+                at, near = self._beam(queries[some], own, self.links[0], entry[some], beam)
+                wide = (near[:, -1] >= least) & (beam < n)
+                q, b = np.nonzero((near >= least) & ~wide[:, None])
+                found.append((some[q], self.members[0][at[q, b]]))
+                left.append(some[wide])
+            todo, beam = np.concatenate(left), 4 * beam
         return np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64), np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
 
 
@@ -204,35 +219,50 @@ _KEY = ["dim", "shard", "asked"]
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """A list column of one length as rows of doubles, each scaled by a power of two so that its greatest component lies between a half and one."""
+    """A list column of one length as rows, as given."""
     flat = column.combine_chunks()
     flat = flat if isinstance(flat, pa.Array) else flat.chunk(0)
-    if not len(flat):
-        return np.zeros((0, 1))
-    rows = np.asarray(flat.flatten(), np.float64).reshape(len(flat), -1)
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.zeros((0, 1))
+
+
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    """Doubles, each row scaled by a power of two so that its greatest component lies between a half and one."""
+    rows = rows.astype(np.float64)
     return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1))[1][:, None])
 
 
+def _units(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors in single precision, lengths of the scaled rows), some rows at a time."""
+    unit, norm = np.empty(rows.shape, np.float32), np.empty(len(rows))
+    for at in range(0, len(rows), 4096):
+        part = _scaled(rows[at : at + 4096])
+        norm[at : at + 4096] = np.sqrt(np.einsum("ij,ij->i", part, part))
+        unit[at : at + 4096] = part / norm[at : at + 4096, None]
+    return unit, norm
+
+
 def build(shard: pa.Table) -> pa.Table:
-    """One row: a shard's graph with its vectors, ids and copies."""
+    """A shard's graph with its vectors, ids and copies, as pieces of some bytes."""
     raw = _matrix(shard.column("vector"))
-    norm = np.sqrt(np.einsum("ij,ij->i", raw, raw))
-    graph = Graph(raw / norm[:, None])
-    blob = pickle.dumps((shard.column("id").to_numpy(), shard.column("copies").to_numpy(), raw, norm, graph))
-    return pa.table({**{c: shard.column(c)[:1] for c in ("dim", "shard", "blocks")}, "graph": pa.array([blob], pa.binary())})
+    graph = Graph(_units(raw)[0])
+    graph.unit = None  # made anew from the vectors
+    blob = pickle.dumps((shard.column("id").to_numpy(), shard.column("copies").to_numpy(), raw, graph))
+    pieces = [blob[at : at + PIECE] for at in range(0, len(blob), PIECE)]
+    of = pa.array(np.zeros(len(pieces), np.int64))
+    return pa.table({**{c: shard.column(c).take(of) for c in ("dim", "shard", "blocks")}, "piece": pa.array(range(len(pieces)), pa.int32()), "graph": pa.array(pieces, pa.binary())})
 
 
-def _links_of(graph_row: pa.Table, queries: pa.Table, threshold: float, recall: float, at_once: int) -> pa.Table:
+def _links_of(pieces: pa.Table, queries: pa.Table, threshold: float, recall: float, at_once: int) -> pa.Table:
     """What one block of queries finds in one shard: (id, null, links) and (id, other, null), a forest."""
-    ids, copies, raw, norm, graph = pickle.loads(graph_row.column("graph")[0].as_py())
-    qids, column = queries.column("id").to_numpy(), queries.column("vector")
+    ids, copies, raw, graph = pickle.loads(b"".join(pieces.sort_by("piece").column("graph").to_pylist()))
+    graph.unit, norm = _units(raw)
+    qids, given = queries.column("id").to_numpy(), _matrix(queries.column("vector"))
     # Single precision may miss by a little: what is near the threshold is computed in double.
     floor = threshold - 1e-5
-    beam, exact, counts, edges = 12, False, [], []
+    beam, exact, counts, edges = 12, False, [], (np.zeros(0, np.int64), np.zeros(0, np.int64))
     for number, start in enumerate(range(0, len(qids), at_once)):
-        mine, qraw = qids[start : start + at_once], _matrix(column.slice(start, at_once))
-        qnorm = np.sqrt(np.einsum("ij,ij->i", qraw, qraw))
-        unit = (qraw / qnorm[:, None]).astype(np.float32)
+        mine, qraw = qids[start : start + at_once], given[start : start + at_once]
+        unit, qnorm = _units(qraw)
         audited = exact or number % 16 > 0
         while True:
             q, v = np.nonzero(unit @ graph.unit.T >= floor) if exact else graph.search(unit, beam, floor)
@@ -241,18 +271,22 @@ def _links_of(graph_row: pa.Table, queries: pa.Table, threshold: float, recall:
             # The audit failed: wider beams from here on; after the widest, a graph that cannot be walked is compared whole.
             exact, beam = beam >= len(ids), 2 * beam
             audited = exact
-        cosine = np.einsum("ij,ij->i", qraw[q], raw[v]) / (qnorm[q] * norm[v])
-        keep = (cosine >= threshold) & (mine[q] != ids[v])
-        q, v = q[keep], v[keep]
-        counts.append(np.bincount(q, weights=copies[v], minlength=len(mine)).astype(np.int64))
-        # Of a block's links only a forest is kept.
-        a, b = np.concatenate([mine[q], *[e[0] for e in edges]]), np.concatenate([ids[v], *[e[1] for e in edges]])
-        every, where = np.unique(np.concatenate([a, b]), return_inverse=True)
-        some = _forest(len(every), where[: len(a)], where[len(a) :])
-        edges = [(a[some], b[some])]
+        links = np.zeros(len(mine), np.int64)
+        for at in range(0, len(q), PAIRS_AT_ONCE):
+            x, y = q[at : at + PAIRS_AT_ONCE], v[at : at + PAIRS_AT_ONCE]
+            cosine = np.einsum("ij,ij->i", _scaled(qraw[x]), _scaled(raw[y])) / (qnorm[x] * norm[y])
+            keep = (cosine >= threshold) & (mine[x] != ids[y])
+            x, y = x[keep], y[keep]
+            links += np.bincount(x, weights=copies[y], minlength=len(mine)).astype(np.int64)
+            # Of a block's links only a forest is kept.
+            a, b = np.concatenate([mine[x], edges[0]]), np.concatenate([ids[y], edges[1]])
+            every, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+            some = _forest(len(every), where[: len(a)], where[len(a) :])
+            edges = (a[some], b[some])
+        counts.append(links)
     links = np.concatenate(counts)
     some = np.flatnonzero(links)
-    a, b = edges[0]
+    a, b = edges
     return pa.table(
         {
             "id": pa.array(np.concatenate([qids[some], a]), pa.int64()),
@@ -271,8 +305,8 @@ def linked(vectors: DataFrame, threshold: float, shard_bytes: int, block_bytes:
     rows = checkpoint(sized.join(dealt, "dim"))
     own = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
     columns = ["dim", "shard", "blocks", "id", "vector", "copies"]
-    graphs = checkpoint(own.select(*columns).groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, blocks int, graph binary"))
-    graphs = graphs.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("asked"), "graph")
+    graphs = checkpoint(own.select(*columns).groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, blocks int, piece int, graph binary"))
+    graphs = graphs.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("asked"), "piece", "graph")
     queries = rows.select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int").alias("asked"), "id", "vector")
 
     def run(graph: pa.Table, block: pa.Table) -> pa.Table:
@@ -283,7 +317,7 @@ def linked(vectors: DataFrame, threshold: float, shard_bytes: int, block_bytes:
     return graphs.groupBy(*_KEY).cogroup(queries.groupBy(*_KEY)).applyInArrow(run, _FOUND)
 
 
-def near_duplicates(table: DataFrame, threshold: float = 0.9, shard_bytes: int = 64 << 20, block_bytes: int = 8 << 20, recall: float = 0.98) -> DataFrame:
+def near_duplicates(table: DataFrame, threshold: float = 0.9, shard_bytes: int = 32 << 20, block_bytes: int = 8 << 20, recall: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
     # Single-precision components are sent as such.
     kind = "array<float>" if table.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 from convmem.llm import embedding_dedup as E
 
@@ -62,3 +63,29 @@ def test_tiny_huge_and_other_lengths(spark):
     want = {i: (int(link[k].sum()), flat[comp[k]]) for k, i in enumerate(flat)}
     assert got == want | {3: (1, 3), 4: (1, 3), 9: (0, 9), None: (0, None)}
     assert E.near_duplicates(df.where("vec_id > 100")).count() == 0
+
+
+def test_a_graph_goes_in_pieces_and_pairs_in_slices(monkeypatch):
+    """A graph takes little more than its vectors as given, in rows of bounded size, and slices of beams and pairs change nothing."""
+    rng = np.random.default_rng(3)
+    centre = np.repeat(rng.normal(size=(40, 64)), 50, axis=0)
+    vectors = (centre + 0.05 * rng.normal(size=centre.shape)).astype(np.float32)
+    n = len(vectors)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 64, pa.int32()), pa.array(vectors.ravel()))
+    zero = pa.array(np.zeros(n, np.int32))
+    shard = pa.table({"dim": zero, "shard": zero, "blocks": zero, "id": pa.array(range(n), pa.int64()), "vector": lists, "copies": pa.array(np.ones(n, np.int64))})
+    asked = shard.select(["id", "vector"])
+    found = []
+    for piece, cells, pairs in ((4 << 20, 1 << 20, 1 << 16), (10_000, 200, 77)):
+        for name, value in {"PIECE": piece, "BEAM_CELLS": cells, "PAIRS_AT_ONCE": pairs}.items():
+            monkeypatch.setattr(E, name, value)
+        graph = E.build(shard)
+        sizes = [len(x) for x in graph.column("graph").to_pylist()]
+        assert max(sizes) <= piece and sum(sizes) < 1.6 * vectors.nbytes
+        got = E._links_of(graph.take(rng.permutation(len(sizes))), asked, 0.9, 0.98, 256).to_pylist()
+        found.append({r["id"]: r["links"] for r in got if r["links"] is not None})
+        edges = [(r["id"], r["other"]) for r in got if r["other"] is not None]
+        assert len(edges) == n - 40 and all(a // 50 == b // 50 for a, b in edges)
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1)[:, None]
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    assert found[0] == found[1] == dict(enumerate(want.tolist()))
